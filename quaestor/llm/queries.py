@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fertility, zstd_quality
+from . import bpe, cross_polytope, fertility, kdtree, minhash, mixing, zstd_quality
 from .common import documents
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -17,10 +17,26 @@ def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge(documents(spark, sf_dir), PIECES, RANKS, public_tokenizers.PATTERN)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(documents(spark, sf_dir))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN)
 
 
+def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.98)
+
+
+def op8_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.shard(documents(spark, sf_dir), shards=8)
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), shingle_words=2, percent=80)
+
+
 def op10_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = zstd_quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -28,6 +44,6 @@ def op10_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(zstd_quality.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted", "size_difference")
 
 
-QUERIES = {f.__name__: f for f in (op1_fertility, op4_bpe, op10_zstd)}
+QUERIES = {f.__name__: f for f in (op1_fertility, op2_mixing, op4_bpe, op7_cross_polytope, op8_kdtree, op9_minhash, op10_zstd)}
 
 ORACLES: dict[str, str] = {}
