@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import store, with_offsets, word_count
 
 #: Words in a block, blocks in an output shard, rounds of a permutation, intervals of a lookup by number.
-BLOCK, SHARD, ROUNDS, BUCKETS = 128, 2048, 8, 4096
+BLOCK, SHARD, ROUNDS, BUCKETS = 64, 4096, 8, 4096
 #: Weights of the sources in turn, and how many times its size a source's target may be.
 WEIGHTS, CAP = (5, 2, 1), 3
 

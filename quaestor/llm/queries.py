@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cross_polytope, fertility, kdtree, minhash, mixing, zstd_quality
+from . import bpe, cross_polytope, fertility, kdtree, licenses, lm, minhash, mixing, passages, zstd_quality
 from .common import documents
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -21,10 +21,24 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir))
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, sf_dir))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN)
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    target = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 AND toxic = 0")
+    return lm.score(docs, lm.fit(docs, target))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir), licenses.known(spark))
+
+
 def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.98)
 
@@ -44,6 +58,6 @@ def op10_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(zstd_quality.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted", "size_difference")
 
 
-QUERIES = {f.__name__: f for f in (op1_fertility, op2_mixing, op4_bpe, op7_cross_polytope, op8_kdtree, op9_minhash, op10_zstd)}
+QUERIES = {f.__name__: f for f in (op1_fertility, op2_mixing, op3_passages, op4_bpe, op5_lm, op6_licenses, op7_cross_polytope, op8_kdtree, op9_minhash, op10_zstd)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_licenses": licenses.oracle()}
