@@ -35,16 +35,27 @@ LEAST_TEXTS = 50
 #: The lowest token entropy in bits; texts of under STEADY words can't reach it and are not held to it.
 LEAST_ENTROPY = 3.0
 
-#: Ranges of letters, as they stand in a regular expression's class.
+#: First and last code points of ranges that count as a script's letters.
 SCRIPTS = {
-    "latin": r"A-Za-z\x{C0}-\x{24F}\x{1E00}-\x{1EFF}",
-    "greek": r"\x{370}-\x{3FF}\x{1F00}-\x{1FFF}",
-    "cyrillic": r"\x{400}-\x{52F}",
-    "hebrew": r"\x{590}-\x{5FF}",
-    "arabic": r"\x{600}-\x{6FF}\x{750}-\x{77F}\x{8A0}-\x{8FF}",
-    "indic": r"\x{900}-\x{DFF}",
-    "cjk": r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}",
+    "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F), (0x1E00, 0x1EFF)],
+    "greek": [(0x370, 0x3FF), (0x1F00, 0x1FFF)],
+    "cyrillic": [(0x400, 0x52F)],
+    "hebrew": [(0x590, 0x5FF)],
+    "arabic": [(0x600, 0x6FF), (0x750, 0x77F), (0x8A0, 0x8FF)],
+    "indic": [(0x900, 0xDFF)],
+    "cjk": [(0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7AF)],
 }
+_RANGES = sorted((low, high + 1, i) for i, ranges in enumerate(SCRIPTS.values()) for low, high in ranges)
+_EDGES = np.array([x for low, high, _ in _RANGES for x in (low, high)], dtype=np.uint32)
+#: The script between two edges; the last number stands for none.
+_BETWEEN = np.array([len(SCRIPTS)] + [x for _, _, i in _RANGES for x in (i, len(SCRIPTS))])
+
+
+def script(text: str) -> str:
+    """The script of most letters of a text, `other` if it has none; ties go to the one named first."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    counts = np.bincount(_BETWEEN[np.searchsorted(_EDGES, points, side="right")], minlength=len(SCRIPTS) + 1)[:-1]
+    return list(SCRIPTS)[int(counts.argmax())] if counts.any() else "other"
 
 
 class Meter:
@@ -61,14 +72,14 @@ class Meter:
         self.bytes_bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def measure(self, text: str | None) -> tuple:
-        """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars_per_token, byte_share, token_entropy.
+        """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, script, chars_per_token, byte_share, token_entropy.
 
         Both vocabularies read the words joined by single spaces.
         """
         text = text or ""
         own = words(text)
         chars = len(text) - sum(map(text.count, WHITE))
-        base = len(own), chars, sum(map(text.count, SYMBOLS)), _repeated_lines(text), _repeated_words(own)
+        base = len(own), chars, sum(map(text.count, SYMBOLS)), _repeated_lines(text), _repeated_words(own), script(text)
         if not own:
             return (*base, None, None, None)
         plain = b" ".join(own).decode("utf-8", "replace")
@@ -111,7 +122,7 @@ def _meter(*paths: str) -> Meter:
     return _meters[paths]
 
 
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars_per_token double, byte_share double, token_entropy double"
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, chars_per_token double, byte_share double, token_entropy double"
 
 
 def measure(docs: DataFrame, piece_path: str, rank_path: str, pattern: str) -> DataFrame:
@@ -127,14 +138,6 @@ def measure(docs: DataFrame, piece_path: str, rank_path: str, pattern: str) -> D
     return docs.withColumn("measures", measures("text"))
 
 
-def script(text: Column) -> Column:
-    """The script of most letters of a text, `other` if it has none; ties go to the one named first."""
-    text = F.coalesce(text, F.lit(""))
-    counts = [F.struct(F.length(F.regexp_replace(text, f"[^{letters}]+", "")).alias("n"), F.lit(-i).alias("rank"), F.lit(name).alias("name")) for i, (name, letters) in enumerate(SCRIPTS.items())]
-    most = F.greatest(*counts)
-    return F.when(most["n"] > 0, most["name"]).otherwise("other")
-
-
 def judge(docs: DataFrame, piece_path: str, rank_path: str, pattern: str, text: str = "text", lang: str = "lang") -> DataFrame:
     """A row for each of docs: doc_id, the measures, script, base_failed, fertility_failed, kept.
 
@@ -144,7 +147,7 @@ def judge(docs: DataFrame, piece_path: str, rank_path: str, pattern: str, text:
     empty texts fail the base. Measures are taken once, into a stored table, and languages counted from there.
     """
     read = measure(docs.select("doc_id", F.col(lang).alias("lang"), F.col(text).alias("text")), piece_path, rank_path, pattern)
-    m = store(read.select("doc_id", "lang", script(F.col("text")).alias("script"), "measures.*"), "fertility")
+    m = store(read.select("doc_id", "lang", "measures.*"), "fertility")
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     steady = m.where(~base & (F.col("n_words") >= STEADY))
     middle = steady.groupBy("lang").agg(F.percentile_approx("chars_per_token", 0.5, 10_000).alias("median"), F.count("*").alias("n_texts"))
