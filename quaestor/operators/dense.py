@@ -37,14 +37,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     found = None
     rows = queries.select("query_id", "vector").orderBy("query_id").toLocalIterator()
     while block := [r for _, r in zip(range(QUERY_BLOCK), rows, strict=False)]:
-        part = _block(vectors, [r[0] for r in block], np.array([r[1] for r in block], dtype=np.float64), k)
+        part = _block(vectors, [r[0] for r in block], np.array([r[1] for r in block], dtype=np.float64), k, dict(queries.dtypes)["query_id"])
         found = part if found is None else found.unionAll(part)
     if found is None:
         return top_k(queries.select("query_id").join(vectors.select("id"), F.lit(False)).withColumn("score", F.lit(0.0)), k)
     return top_k(found, k)
 
 
-def _block(vectors: DataFrame, ids: list, matrix: np.ndarray, k: int) -> DataFrame:
+def _block(vectors: DataFrame, ids: list, matrix: np.ndarray, k: int, query_type: str) -> DataFrame:
     names = np.array(ids)
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -54,4 +54,4 @@ def _block(vectors: DataFrame, ids: list, matrix: np.ndarray, k: int) -> DataFra
             at = np.argsort(-s, axis=1, kind="stable")[:, :k]
             yield pd.DataFrame({"query_id": np.repeat(names, at.shape[1]), "id": batch["id"].to_numpy()[at.ravel()], "score": np.take_along_axis(s, at, axis=1).ravel()})
 
-    return vectors.select("id", "vector").mapInPandas(best, "query_id long, id long, score double")
+    return vectors.select("id", "vector").mapInPandas(best, f"query_id {query_type}, id {dict(vectors.dtypes)['id']}, score double")

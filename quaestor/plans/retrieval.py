@@ -51,10 +51,10 @@ def metadata_filter_search(spark, sf_dir):
     return dense.search(found, V.question_vectors(spark, sf_dir), K).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH {V.DENSE}, r AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM dense WHERE label IN (1, 2) AND query_id % 100 = 0) SELECT * FROM r WHERE rank <= 5""")
+@query(f"""WITH {V.DENSE}, r AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM dense WHERE label IN (1, 2) ) SELECT * FROM r WHERE rank <= 5""")
 def prefilter_search(spark, sf_dir):
-    """Two labels, a stated set of questions, filtered before the products."""
-    q = V.question_vectors(spark, sf_dir).where("query_id % 100 = 0")
+    """Two labels, filtered before the products."""
+    q = V.question_vectors(spark, sf_dir)
     return dense.search(V.vectors(spark, sf_dir).where(F.col("label").isin(1, 2)), q, K).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -110,14 +110,14 @@ def allowed_semi(spark, sf_dir):
     return _bm25(spark, sf_dir).join(allowed, "id", "left_semi").select("query_id", "id", "score")
 
 
-_HITS = f"""WITH {V.CHUNKS}, q AS (SELECT item_id AS query_id, lower(text) AS anchor FROM benchmark), hits AS (SELECT query_id, chunk_id, doc_id, posicion, texto, ticker, fiscal_year, item, n_tokens FROM q JOIN chunks ON chunks.doc_id % 40 = q.query_id % 40 AND posicion < 8),
+_HITS = f"""WITH {V.CHUNKS}, q AS (SELECT item_id AS query_id, lower(text) AS anchor FROM benchmark), hits AS (SELECT query_id, chunk_id, doc_id, posicion, texto, ticker, fiscal_year, item, n_tokens FROM q JOIN chunks ON chunks.doc_id % 40 = q.query_id % 40),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_tokens DESC, chunk_id) AS rank FROM hits)"""
 
 
 def _ranked_chunks(spark, sf_dir):
     """A ranking of chunks for each question: by tokens, of documents dealt to it by number."""
     q = V.questions(spark, sf_dir).withColumn("anchor", F.lower("text")).drop("text").withColumn("part", F.col("query_id") % 40)
-    c = V.chunks(spark, sf_dir).where("posicion < 8").withColumn("part", F.col("doc_id") % 40)
+    c = V.chunks(spark, sf_dir).withColumn("part", F.col("doc_id") % 40)
     w = Window.partitionBy("query_id").orderBy(F.desc("n_tokens"), "chunk_id")
     return c.join(q, "part").withColumn("rank", F.row_number().over(w).cast("long"))
 
@@ -173,11 +173,11 @@ def hit_projection(spark, sf_dir):
     return _ranked_chunks(spark, sf_dir).where("rank <= 5").select("query_id", "chunk_id", "ticker", "fiscal_year", "item", "posicion", F.round(F.col("n_tokens") / F.lit(7.0), 4).alias("puntuacion"))
 
 
-@query(_HITS + """ SELECT query_id, count(*) <= 20 AS within_k, count(DISTINCT chunk_id) = count(*) AS unique_ids, bool_and(posicion < 8) AS filter_respected FROM ranked WHERE rank <= 20 GROUP BY 1""")
+@query(_HITS + """ SELECT query_id, count(*) <= 20 AS within_k, count(DISTINCT chunk_id) = count(*) AS unique_ids, bool_and(doc_id % 40 = query_id % 40) AS filter_respected FROM ranked WHERE rank <= 20 GROUP BY 1""")
 def search_contract(spark, sf_dir):
     """At most k rows, unique ids, filters respected."""
     r = _ranked_chunks(spark, sf_dir).where("rank <= 20")
-    return r.groupBy("query_id").agg((F.count("*") <= 20).alias("within_k"), (F.count_distinct("chunk_id") == F.count("*")).alias("unique_ids"), F.bool_and(F.col("posicion") < 8).alias("filter_respected"))
+    return r.groupBy("query_id").agg((F.count("*") <= 20).alias("within_k"), (F.count_distinct("chunk_id") == F.count("*")).alias("unique_ids"), F.bool_and(F.col("doc_id") % 40 == F.col("query_id") % 40).alias("filter_respected"))
 
 
 @query(f"""WITH {V.VECTORS} SELECT id, len(vector)::BIGINT AS dimension, len(vector) = 64 AS right_dimension, len(list_filter(vector, lambda x: NOT isfinite(x))) = 0 AS finite, abs(sqrt(list_inner_product(vector::DOUBLE[], vector::DOUBLE[])) - 1) <= 1e-5 AS unit FROM vectors""")
