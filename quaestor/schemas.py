@@ -4,14 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-SECTION = T.StructType.fromDDL("ticker string not null, fiscal_year int not null, item string not null, texto string not null, cik long, empresa string, n_tokens int, item_origen string, url_origen string")
-CHUNK = T.StructType.fromDDL("chunk_id string not null, ticker string not null, fiscal_year int not null, item string not null, posicion int not null, texto string not null, n_tokens int not null, contiene_tabla boolean not null, inicio_car int not null, fin_car int not null")
-FACT = T.StructType.fromDDL("ticker string, fiscal_year int, concept string, value double, unit string, period_end string, form string")
-VECTOR = T.StructType.fromDDL("id string not null, vector array<float> not null")
-CASE = T.StructType.fromDDL(
-    "id string not null, pregunta string not null, familia string not null, ticker string not null, fiscal_year int not null, respuesta_esperada string not null, cifra_esperada double, unidad string, concept_xbrl string, "
-    "item_esperado string, ancla_texto string, ancla_inicio int, ancla_fin int, chunk_id_esperado string, herramienta_esperada array<string>, autor string, respuesta_en_corpus boolean, fuente_esperada string"
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "strings": T.ArrayType(T.StringType()), "floats": T.ArrayType(T.FloatType())}
+
+
+def _schema(fields: str) -> T.StructType:
+    """`name kind` parts, with `!` after a kind that can't be null; needs no session."""
+    parts = [f.split() for f in fields.split(", ")]
+    return T.StructType([T.StructField(name, _KINDS[kind.rstrip("!")], not kind.endswith("!")) for name, kind in parts])
+
+
+SECTION = _schema("ticker string!, fiscal_year int!, item string!, texto string!, cik long, empresa string, n_tokens int, item_origen string, url_origen string")
+CHUNK = _schema("chunk_id string!, ticker string!, fiscal_year int!, item string!, posicion int!, texto string!, n_tokens int!, contiene_tabla boolean!, inicio_car int!, fin_car int!")
+FACT = _schema("ticker string, fiscal_year int, concept string, value double, unit string, period_end string, form string")
+VECTOR = _schema("id string!, vector floats!")
+CASE = _schema(
+    "id string!, pregunta string!, familia string!, ticker string!, fiscal_year int!, respuesta_esperada string!, cifra_esperada double, unidad string, concept_xbrl string, "
+    "item_esperado string, ancla_texto string, ancla_inicio int, ancla_fin int, chunk_id_esperado string, herramienta_esperada strings, autor string, respuesta_en_corpus boolean, fuente_esperada string"
 )
-RESULT = T.StructType.fromDDL("id string, familia string, ticker string, latencia_s double, coste_usd double, llamadas int, cita boolean, cifra boolean, trayectoria boolean, recall double, acierto boolean, error string")
+RESULT = _schema("id string, familia string, ticker string, latencia_s double, coste_usd double, llamadas int, cita boolean, cifra boolean, trayectoria boolean, recall double, acierto boolean, error string")
 #: Names that a case can't do without.
 CASE_REQUIRED = ("id", "pregunta", "familia", "ticker", "fiscal_year", "respuesta_esperada")
