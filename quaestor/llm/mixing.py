@@ -89,7 +89,9 @@ def plan(sources: DataFrame, seed: int = 17, shard: int = SHARD) -> DataFrame:
     extra = _within(extra, "u", short, "short_low", "short_high", moved).groupBy("shard", "src").agg(F.count("*").alias("n"))
     settled = counts.select("shard", "src", F.col("keep").alias("n")).unionAll(extra).groupBy("shard", "src").agg(F.sum("n").alias("n")).where("n > 0")
     settled = settled.withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    slots = settled.join(sources.select("src", "blocks"), "src").select("shard", "src", "blocks", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)).alias("slot"))
+    # the draws are few and small; what they stand for is work for many tasks
+    settled = settled.join(sources.select("src", "blocks"), "src").repartition(max(spark.sparkContext.defaultParallelism, min(20_000, total // 25_000)), "shard", "src")
+    slots = settled.select("shard", "src", "blocks", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)).alias("slot"))
     slots = slots.withColumn("epoch", F.floor(F.col("slot") / F.col("blocks")))
     return slots.select("shard", "src", "slot", "epoch", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("src"), F.col("epoch")).alias("block"))
 
