@@ -19,9 +19,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates (shingles of five words, 0.8)."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.select(*COLUMNS).dropDuplicates(["doc_id"]).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """Keeps the document with the smallest id of each group of near duplicates (shingles of five words, 0.8).
+
+    Of rows with one id one stays; rows without an id are in no group and stay.
+    """
+    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    named = docs.select(*COLUMNS).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
+    return named.select(*COLUMNS).unionAll(docs.select(*COLUMNS).where("doc_id IS NULL"))
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
