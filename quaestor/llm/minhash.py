@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, store, words
 
-#: Bands of ROWS slots each. At a similarity of 0.8 two sets miss each other in all bands with probability 1e-5.
-BANDS, ROWS = 48, 7
+#: Bands of ROWS slots each. At a similarity of 0.8 two sets miss each other in all bands with probability 5e-7.
+BANDS, ROWS = 48, 6
 SLOTS = BANDS * ROWS
 #: Hashes of words a worker keeps.
 KEPT_WORDS = 500_000
@@ -90,7 +90,12 @@ def band_keys(slots: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
+SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, slots binary"
+#: Members of a bucket are compared in blocks of so many, a task holding two blocks; by slots they must agree in this
+#: share to be confirmed on the full sets. At a similarity of 0.8 that is over four deviations below what is expected.
+BLOCK, LIKELY = 2000, 0.7
+#: Texts of a component, and texts to be compared with it, that a task holds.
+PART = 250
 
 
 def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
@@ -103,14 +108,76 @@ def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
                 own = np.unique(shingle_hashes([w.lower() for w in words(text)], shingle_words))
                 if len(own):
                     twice = mix(own + np.uint64(0x2545F4914F6CDD1D))
-                    out.append((doc_id, len(own), own.sum().view(np.int64), twice.sum().view(np.int64), band_keys(signature(own))))
+                    slots = signature(own)
+                    out.append((doc_id, len(own), own.sum().view(np.int64), twice.sum().view(np.int64), band_keys(slots), slots.astype(np.uint8).tobytes()))
                 else:
-                    out.append((doc_id, 0, 0, 0, None))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "d1", "d2", "bands"]).astype({"doc_id": "Int64"})
+                    out.append((doc_id, 0, 0, 0, None, None))
+            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "d1", "d2", "bands", "slots"]).astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SKETCH)
 
 
+def _across(group: pd.DataFrame) -> pd.DataFrame:
+    """In a pair of blocks of one bucket: (rep, component), where the rep's slots agree in LIKELY of all with some member of another component."""
+    slots = np.frombuffer(b"".join(group["slots"]), dtype=np.uint8).reshape(len(group), SLOTS)
+    rep, block, component = group["rep"].to_numpy(), group["block"].to_numpy(), group["component"].to_numpy()
+    crossing = group["low"].iat[0] != group["high"].iat[0]
+    number, part = np.unique(component, return_inverse=True)
+    most = np.bincount(part, minlength=len(number)).argmax()
+    found = set()
+    for i in np.flatnonzero(part != most):
+        others = (part != part[i]) & ((part == most) | (rep > rep[i]))
+        if crossing:
+            others &= block != block[i]
+        j = np.flatnonzero(others)
+        found |= {(int(rep[i]), int(c)) for c in np.unique(component[j[(slots[j] == slots[i]).mean(axis=1) >= LIKELY]])}
+    return pd.DataFrame(sorted(found), columns=["rep", "component"]).astype("int64")
+
+
+def unlinked(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep, component): a set and a component of others that it may be linked with, as buckets of `members` (key, rep, component) show.
+
+    A bucket is dealt to pairs of blocks, so none is held by one task. Most members of a large bucket are in one
+    component by now; only the others are compared, with all, and a task gives components, not pairs.
+    """
+    several = members.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least <> most AND n > 2")
+    several = store(several.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "several")
+    rows = members.join(several, "key").join(sets.select("rep", "slots"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    return rows.select("key", "low", "high", "block", "rep", "component", "slots").groupBy("key", "low", "high").applyInPandas(_across, "rep long, component long").distinct()
+
+
+def confirm_with_components(asked: DataFrame, members: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """For asked (rep, component) links (a, b) of the rep with members of the component, counted on the full sets; one from each task.
+
+    Both sides of a component are dealt to parts of about PART texts, and each pair of parts is a task.
+    """
+    whole = members.select("rep", "component").distinct().join(asked.select("component").distinct(), "component")
+    parts = whole.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("int").alias("rights")).join(asked.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("int").alias("lefts")), "component")
+    parts = store(parts, "parts")
+    deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(parts, "component").select("component", "rep", F.lit(True).alias("asks"), deal("lefts").alias("left"), every("rights").alias("right"))
+    right = whole.join(parts, "component").select("component", "rep", F.lit(False).alias("asks"), every("lefts").alias("left"), deal("rights").alias("right"))
+    rows = left.unionByName(right).join(texts.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"), "rep")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        ours = [(r, _set(t, shingle_words)) for r, t in zip(group["rep"], group["text"], strict=True)]
+        asks = group["asks"].to_numpy()
+        theirs = [ours[i] for i in np.flatnonzero(~asks)]
+        out = []
+        for i in np.flatnonzero(asks):
+            a, x = ours[i]
+            for b, y in theirs:
+                least, most = sorted((len(x), len(y)))
+                if 100 * least >= percent * most and 100 * (both := len(x & y)) >= percent * (least + most - both) and both:
+                    out.append((a, b))
+                    break
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return rows.groupBy("component", "left", "right").applyInPandas(compare, "a long, b long")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     """Of pairs (a, b) those with 100 * intersection >= percent * union, counted on the full sets of shingles."""
 
@@ -129,7 +196,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int
 
     left = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    return pairs.join(left, "b").join(right, "a").where(alike("text_a", "text_b")).select("a", "b").distinct()
+    return pairs.hint("merge").join(left, "b").hint("merge").join(right, "a").where(alike("text_a", "text_b")).select("a", "b").distinct()
 
 
 def _set(text: str, size: int) -> set:
@@ -148,21 +215,27 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
     Equal sets first become one, by digest, so groups of copies cost a row each from there on. In each bucket the
     member whose hash with the bucket is smallest is the centre, and the others make a pair with it: as many pairs
-    as rows, whatever a bucket's size, with another centre in another band. Members that are then in different
-    components of a bucket go through further rounds with new centres, until no bucket is left where any two members
-    in different components haven't been compared with a common or their own centre.
+    as rows, whatever a bucket's size, with another centre in another band. Pairs are confirmed on the full sets.
+    Members of a bucket that are then still in different components are compared by their slots, in blocks; where
+    these agree enough, the one is compared on full sets with all of the other's component, in parts. So no link
+    between members of a bucket is lost, and no group's pairs are written out.
     """
     s = store(sketches(docs, shingle_words), "sketches")
-    sets = s.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"))
+    sets = s.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("slots").alias("slots"))
     sets = store(sets, "sets")
     buckets = sets.select("rep", F.explode("bands").alias("key"))
-    centres = buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key"), "rep"))["rep"].alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
-    star = buckets.join(centres, "key").where("rep <> centre")
-    pairs = store(star.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct(), "pairs")
+    centres = store(buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key"), "rep"))["rep"].alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n"), "centres")  # a table of its own: then the join's hot keys can be split
+    star = store(buckets.join(centres, "key"), "stars")
+    pairs = store(star.where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-    texts = store(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "texts")
+    texts = store(docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi"), "texts")
     links = store(confirm(pairs, texts, shingle_words, percent), "links")
     component = store(connected_components(links), "components")
+    members = star.join(component, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component_id", "rep").alias("component"))
+    members = store(members, "members")
+    asked = store(unlinked(members, sets), "asked")
+    more = store(confirm_with_components(asked, members, texts, shingle_words, percent), "links")
+    component = store(connected_components(links.unionAll(more)), "components")
     rep = sets.join(component, F.col("rep") == F.col("id"), "left").select("d1", "d2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
     out = s.join(rep, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
