@@ -94,5 +94,5 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text") -> DataFrame:
         light = store(_split(light, ["d0", "d1", "d2", "d3"], share), "nodes")
     dealt = light.select("digest", "node").unionAll(own).withColumnRenamed("node", "shard")
     out = rows.join(dealt, "digest").withColumn("one", F.lit(1))
-    out = with_offsets(out, "shard", ["digest", "doc_id"], "one")
+    out = with_offsets(out, "shard", ["doc_id", "digest"], "one")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("start").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
