@@ -40,10 +40,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row's token ids, their number, and whether they decode to the text."""
-    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe.encode(docs.select("doc_id", "source", "text"), path, pattern)
-    out = bpe.decode(ids, path, pattern)
-    return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+    out = bpe.encode_and_check(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.drop("text")
 
 
 STAGES = [("quality classifier", quality), ("MinHash near-dedup", near_dedup), ("substring dedup", passage_dedup), ("mixing sources to target weights", mix), ("byte-level BPE", encode)]

@@ -15,13 +15,14 @@ import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A worker keeps at most so many sets with transitions, and so many encoded matches; beyond that it starts anew.
-MAX_STATES, MAX_MATCHES = 200_000, 500_000
+MAX_STATES, MAX_MATCHES = 200_000, 350_000
 #: Longer matches are encoded without being kept.
 KEPT_BYTES = 48
 
@@ -292,7 +293,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", to: str
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(path, pattern)
         for t in texts:
-            yield pd.Series([c.encode(x) for x in t], dtype="object")
+            yield pd.Series([np.array(c.encode(x), dtype=np.int32) for x in t], dtype="object")
 
     return docs.withColumn(to, ids(text))
 
@@ -309,6 +310,27 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", to: str =
     return docs.withColumn(to, texts(ids))
 
 
+def encode_and_check(docs: DataFrame, path: str, pattern: str, rows: int = 200) -> DataFrame:
+    """docs with n_tokens, ids (array<int>) and round_trip: whether the ids, decoded as a stream, give the text (null: the empty one).
+
+    Results leave a worker in batches of a few rows, so that it never holds the ids of many texts. Columns of these
+    names are replaced.
+    """
+    docs = docs.drop("n_tokens", "ids", "round_trip")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = codec(path, pattern)
+        for batch in batches:
+            for at in range(0, len(batch), rows):
+                part = batch.iloc[at : at + rows]
+                ids = [np.array(c.encode(t), dtype=np.int32) for t in part["text"]]
+                same = ["".join(c.decode_stream(i.tolist())) == (t or "") for i, t in zip(ids, part["text"], strict=True)]
+                yield part.assign(n_tokens=[len(i) for i in ids], ids=ids, round_trip=same)
+
+    kinds = ", ".join(f"`{n}` {k}" for n, k in docs.dtypes)
+    return docs.mapInPandas(run, f"{kinds}, n_tokens long, ids array<int>, round_trip boolean")
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """For each row of docs its doc_id, n_tokens, and the SHA-256 of its ids (decimal, joined by commas) and of the bytes they decode to.
 

@@ -135,9 +135,9 @@ def mixed_texts(docs: DataFrame, seed: int = 17, block: int = BLOCK, shard: int
     placed = store(with_offsets(keyed, "src", ["doc_id", "size"], "size").where("size > 0"), "placed")
     part = _pieces(placed.select("src", "start", "size"), block).join(times, ["src", "block"])
     part = part.groupBy("src", "start").agg(F.sort_array(F.collect_list(F.struct("first", "words", "times"))).alias("parts"))
-    whole = placed.join(part, ["src", "start"]).withColumn("n", F.explode(F.sequence(F.lit(1), F.array_max("parts.times"))))
+    # units before the explode: so they are found once for a row, not once for each part
     units = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    whole = whole.withColumn("units", units)
+    whole = placed.join(part, ["src", "start"]).withColumn("units", units).withColumn("n", F.explode(F.sequence(F.lit(1), F.array_max("parts.times"))))
     cut = F.transform(F.filter("parts", lambda p: p["times"] >= F.col("n")), lambda p: F.array_join(F.slice("units", (p["first"] + 1).cast("int"), p["words"].cast("int")), ""))
     whole = whole.withColumn("text", F.regexp_replace(F.array_join(cut, ""), r"^[\x20\x09-\x0D]+", ""))
     if "n_chars" in names:
