@@ -106,12 +106,12 @@ class Models:
 
 
 def fit(docs: DataFrame, target_ids: DataFrame) -> Models:
-    """Models from all documents, and from those whose doc_id is in target_ids (both shuffled by id, none broadcast).
+    """Models from all documents, and from those whose doc_id is in target_ids (both shuffled by id at any size, none broadcast).
 
     The tables have a fixed size, TOTAL counts each, whatever the corpus; that bounds what the driver and the tasks get.
     """
     ids = target_ids.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct()
-    marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left").select("text", F.col("_id").isNotNull().alias("is_target"))
+    marked = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == F.col("_id"), "left").select("text", F.col("_id").isNotNull().alias("is_target"))
     sums = np.zeros((2, TOTAL), dtype=np.int64)
     for row in store(count(marked, 32), "counts").toLocalIterator():
         at = slice(row["block"] * BLOCK, (row["block"] + 1) * BLOCK)
