@@ -7,128 +7,193 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import store, words
 from .minhash import mix, word_hashes
 
-#: Words of the shared vocabulary, by hash; places of the bigram tables, by hash; places in a block of a table.
-VOCABULARY, PLACES, BLOCK = 1 << 16, 1 << 22, 1 << 12
+#: A chunk of documents is closed when it has so many words or rows; counts are dealt to a block for each so many characters.
+CHUNK_WORDS, CHUNK_ROWS, BLOCK_CHARS = 500_000, 10_000, 2_000_000
+#: Bits of the hash that names a word or a pair of words.
+KEY_BITS = 48
 #: How many tokens' worth the unigram model counts after a word.
 PRIOR = 50.0
-#: A partition's counts go out in blocks; a count is the sum over all partitions.
-COUNTS = "block int, background binary, target binary"
-TOTAL = VOCABULARY + PLACES
+WORD, PAIR = 0, 1
+
+CHUNKS = "chunk long, doc_ids array<long>, lengths array<int>, vocabulary binary, tokens binary"
+ASKED = "block long, chunk long, kind int, keys binary, background binary, target binary"
+TOLD = "block long, chunk long, kind int, background binary, target binary, n_different long"
 
 
 def tokens(text: str | None) -> np.ndarray:
-    """The words of a whole text, A-Z in lower case, as numbers of the vocabulary."""
-    return (word_hashes([w.lower() for w in words(text)]) % np.uint64(VOCABULARY)).astype(np.int64)
+    """A hash for each word of a whole text, A-Z in lower case."""
+    return word_hashes([w.lower() for w in words(text)])
 
 
-def pairs(ids: np.ndarray) -> np.ndarray:
-    """The places of each token after the one before it; the first has none."""
-    return (mix(ids[:-1].astype(np.uint64) * np.uint64(VOCABULARY) + ids[1:].astype(np.uint64)) % np.uint64(PLACES)).astype(np.int64)
+def keys(first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
+    """The names of words, or of pairs of words."""
+    mixed = mix(first) if second is None else mix(mix(first) * np.uint64(0x9E3779B97F4A7C15) + second)
+    return mixed >> np.uint64(64 - KEY_BITS)
 
 
-def _pack(counts: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(counts.tobytes())
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers, byte plane by byte plane: planes of small numbers take next to nothing."""
+    return zstandard.ZstdCompressor(level=1).compress(values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=np.int64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1).astype(np.uint64)
 
 
-def count(docs: DataFrame, partitions: int) -> DataFrame:
-    """(block, background, target): counts over all rows of docs, and over those with `is_target`.
+def _pack_sorted(values: np.ndarray) -> bytes:
+    return _pack(np.diff(values, prepend=np.uint64(0)))
 
-    A task keeps its sums in two arrays of TOTAL places and sends their blocks that aren't all zero; these are dealt by
-    block and added up one after another, so that no task holds more than its own blocks.
-    """
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((2, TOTAL), dtype=np.int64)
-        for batch in batches:
-            for wanted in (False, True):
-                ids = [tokens(t) for t in batch["text"][batch["is_target"] == wanted]]
-                if ids := [x for x in ids if len(x)]:
-                    one = np.bincount(np.concatenate(ids), minlength=VOCABULARY)
-                    two = np.bincount(np.concatenate([pairs(x) for x in ids]), minlength=PLACES)
-                    sums[0, :VOCABULARY] += one
-                    sums[0, VOCABULARY:] += two
-                    if wanted:
-                        sums[1, :VOCABULARY] += one
-                        sums[1, VOCABULARY:] += two
-        blocks = sums.reshape(2, -1, BLOCK)
-        some = np.flatnonzero(blocks[0].any(axis=1))
-        for at in range(0, len(some), 64):
-            yield pd.DataFrame([(int(b), _pack(blocks[0, b]), _pack(blocks[1, b])) for b in some[at : at + 64]], columns=["block", "background", "target"])
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
+def _unpack_sorted(packed: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(packed), dtype=np.uint64)
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """Documents in chunks: ids, numbers of words, the different words' hashes, and each word's place among these."""
+
+    def close(number: int, ids: list, texts: list[np.ndarray]) -> pd.DataFrame:
+        vocabulary, places = np.unique(np.concatenate(texts), return_inverse=True)
+        row = (number, ids, [len(t) for t in texts], _pack_sorted(vocabulary), _pack(places))
+        return pd.DataFrame([row], columns=["chunk", "doc_ids", "lengths", "vocabulary", "tokens"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, n, ids, texts = TaskContext.get().partitionId() << 32, 0, [], []
         for batch in batches:
-            for b, background, target in zip(batch["block"], batch["background"], batch["target"], strict=True):
-                sums.setdefault(b, np.zeros((2, BLOCK), dtype=np.int64))
-                sums[b] += np.stack([_unpack(background), _unpack(target)])
-        yield pd.DataFrame([(int(b), _pack(s[0]), _pack(s[1])) for b, s in sums.items()], columns=["block", "background", "target"])
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                ids.append(None if pd.isna(doc_id) else int(doc_id))
+                texts.append(tokens(text))
+                n += len(texts[-1])
+                if n >= CHUNK_WORDS or len(ids) == CHUNK_ROWS:
+                    yield close(number, ids, texts)
+                    number, n, ids, texts = number + 1, 0, [], []
+        if ids:
+            yield close(number, ids, texts)
 
-    return docs.select("text", "is_target").mapInPandas(part, COUNTS).repartition(partitions, "block").mapInPandas(add, COUNTS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, CHUNKS)
 
 
-class Models:
-    """Two bigram models over one vocabulary, matched in order, smoothing and size.
+def _grams(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk: its words' keys, its pairs' keys, the place of each pair's first word, and the document of each word."""
+    own = _unpack_sorted(row.vocabulary)[_unpack(row.tokens).astype(np.int64)]
+    document = np.repeat(np.arange(len(row.lengths)), row.lengths)
+    first = np.flatnonzero(document[:-1] == document[1:])
+    return keys(own), keys(own[first], own[first + 1]), first, document
 
-    p(w | v) = (c(v, w) + PRIOR * p(w)) / (c(v) + PRIOR), with p(w) from counts and 1. The background's counts are
-    scaled to the target's number of tokens, so that the prior weighs the same in both.
-    """
 
-    def __init__(self, background: np.ndarray, target: np.ndarray):
-        n = max(1, int(target[:VOCABULARY].sum()))
-        self.one, self.two = [], []
-        for counts in (target, background):
-            scale = n / max(1, int(counts[:VOCABULARY].sum()))
-            self.one.append((counts[:VOCABULARY] * scale).astype(np.float32))
-            self.two.append((counts[VOCABULARY:] * scale).astype(np.float32))
-
-    def bits(self, text: str | None) -> tuple[int, float | None, float | None]:
-        """The number of tokens and the mean bits for one, by the target's and the background's model."""
-        ids = tokens(text)
-        if not len(ids):
-            return 0, None, None
-        at, out = pairs(ids), []
-        for one, two in zip(self.one, self.two, strict=True):
-            alone = (one[ids].astype(np.float64) + 1) / (float(one.sum(dtype=np.float64)) + VOCABULARY)
-            p = alone.copy()
-            p[1:] = (np.minimum(two[at], one[ids[:-1]]) + PRIOR * alone[1:]) / (one[ids[:-1]].astype(np.float64) + PRIOR)
-            out.append(float(-np.log2(p).mean()))
-        return len(ids), out[0], out[1]
-
-
-def fit(docs: DataFrame, target_ids: DataFrame) -> Models:
-    """Models from all documents, and from those whose doc_id is in target_ids (both shuffled by id at any size, none broadcast).
-
-    The tables have a fixed size, TOTAL counts each, whatever the corpus; that bounds what the driver and the tasks get.
-    """
-    ids = target_ids.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct()
-    marked = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == F.col("_id"), "left").select("text", F.col("_id").isNotNull().alias("is_target"))
-    sums = np.zeros((2, TOTAL), dtype=np.int64)
-    for row in store(count(marked, 32), "counts").toLocalIterator():
-        at = slice(row["block"] * BLOCK, (row["block"] + 1) * BLOCK)
-        sums[0, at], sums[1, at] = _unpack(row["background"]), _unpack(row["target"])
-    return Models(sums[0], sums[1])
+def ids_of(ids: list) -> pd.Series:
+    """Exact ids, with nulls (which pandas would turn into floats)."""
+    return pd.Series([None if pd.isna(i) else int(i) for i in ids], dtype="Int64")
 
 
-def score(docs: DataFrame, models: Models) -> DataFrame:
-    """For each row of docs: doc_id, n_tokens, target_bits, background_bits (means for a token), difference (target less background).
+def _ask(blocks: int):
+    """Each chunk's different keys, with how often all of its documents have them, and its target documents; a row for each block."""
 
-    The lower the difference, the more a document is like the target. Texts without words have nulls.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                one, two, first, document = _grams(row)
+                is_target = np.zeros(len(row.lengths), dtype=bool)
+                if row.targets is not None:
+                    is_target[np.asarray(row.targets, dtype=np.int64)] = True
+                wanted = is_target[document]
+                for kind, own, by in ((WORD, one, wanted), (PAIR, two, wanted[first])):
+                    if not len(own):
+                        continue
+                    different, at = np.unique(own, return_inverse=True)
+                    n, n_target = np.bincount(at, minlength=len(different)), np.bincount(at[by], minlength=len(different))
+                    block = block_of(different, blocks)
+                    starts = np.flatnonzero(np.diff(block, prepend=-1))
+                    out = [(int(block[a]), row.chunk, kind, _pack_sorted(different[a:b]), _pack(n[a:b]), _pack(n_target[a:b])) for a, b in zip(starts, [*starts[1:], len(different)], strict=True)]
+                    yield pd.DataFrame(out, columns=["block", "chunk", "kind", "keys", "background", "target"])
+
+    return run
+
+
+def block_of(own: np.ndarray, blocks: int) -> np.ndarray:
+    """Blocks are ranges of keys, so that keys in order are blocks in order. At most 2**32 blocks."""
+    return (((own >> np.uint64(KEY_BITS - 32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
+
+
+def _tell(group: pd.DataFrame) -> pd.DataFrame:
+    """In a block: the sums over all chunks, for each chunk's keys; and a row without a chunk that counts the different words."""
+    out = []
+    for kind, rows in group.groupby("kind"):
+        asked = [_unpack_sorted(x) for x in rows["keys"]]
+        different, at = np.unique(np.concatenate(asked), return_inverse=True)
+        sums = [np.bincount(at, weights=np.concatenate([_unpack(x) for x in rows[c]]), minlength=len(different)).astype(np.uint64)[at] for c in ("background", "target")]
+        ends = np.cumsum([len(x) for x in asked])[:-1]
+        out += [(b, c, kind, _pack(x), _pack(y), None) for b, c, x, y in zip(rows["block"], rows["chunk"], *(np.split(s, ends) for s in sums), strict=True)]
+        if kind == WORD:
+            out.append((rows["block"].iat[0], None, kind, None, None, len(different)))
+    return pd.DataFrame(out, columns=["block", "chunk", "kind", "background", "target", "n_different"]).astype({"chunk": "Int64", "n_different": "Int64"})
+
+
+def _bits(n: float, n_target: float, different: int):
+    """Scores the documents of each chunk from the sums that its blocks told.
+
+    n, n_target: words of all documents and of the target's; different: different words of all.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(models)
 
-    @F.pandas_udf("n_tokens long, target_bits double, background_bits double")
-    def bits(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for t in texts:
-            yield pd.DataFrame([shared.value.bits(x) for x in t], columns=["n_tokens", "target_bits", "background_bits"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                one, two, first, document = _grams(row)
+                told = sorted([] if row.told is None else row.told, key=lambda t: (t["kind"], t["block"]))
+                lengths = np.asarray(row.lengths, dtype=np.int64)
+                means = []
+                for column, scale in (("target", 1.0), ("background", n_target / max(1.0, n))):
+                    of = []
+                    for kind, own in ((WORD, one), (PAIR, two)):
+                        sums = [_unpack(t[column]) for t in told if t["kind"] == kind]
+                        of.append(np.concatenate(sums)[np.unique(own, return_inverse=True)[1]] * scale if sums else np.zeros(0))
+                    alone = (of[0] + 1) / (n_target + different)
+                    p = alone.copy()
+                    p[first + 1] = (np.minimum(of[1], of[0][first]) + PRIOR * alone[first + 1]) / (of[0][first] + PRIOR)
+                    sums = np.bincount(document, weights=-np.log2(p), minlength=len(lengths))
+                    means.append([s / k if k else None for s, k in zip(sums, lengths.tolist(), strict=True)])
+                frame = pd.DataFrame({"doc_id": ids_of(row.doc_ids), "n_tokens": lengths})
+                frame["target_bits"], frame["background_bits"] = (pd.Series(m, dtype="float64") for m in means)
+                yield frame
+
+    return run
+
+
+def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """For each row of docs: doc_id, n_tokens, target_bits, background_bits (means for a token), difference (target less background).
 
-    return docs.select("doc_id", bits("text").alias("b")).select("doc_id", "b.*").withColumn("difference", F.col("target_bits") - F.col("background_bits"))
+    The background's model is of all rows of docs, the target's of those whose doc_id is in target_ids. Both are bigram
+    models over the words of docs, matched in vocabulary, order, smoothing and size:
+    p(w | v) = (c(v, w) + PRIOR * p(w)) / (c(v) + PRIOR), with p(w) from counts and 1, and the background's counts scaled
+    to the target's number of words. A document's own counts are in the models that it is scored by. The lower the
+    difference, the more a document is like the target. Texts without words have nulls; rows without an id are
+    background.
+
+    Every different pair of words is counted, in a table that grows with the corpus and that no task or driver holds:
+    chunks of documents send each of their different keys once, with its counts, to the key's block; the block adds up
+    and answers each chunk. So a hot word costs a row's entry for each chunk, not for each occurrence. What the driver
+    gets are three sums.
+    """
+    blocks = 1 + int((docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0) // BLOCK_CHARS)
+    whole = store(chunks(docs), "chunks")
+    ids = target_ids.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null").distinct()
+    listed = whole.select("chunk", F.posexplode("doc_ids").alias("at", "_id"))
+    targets = store(listed.join(ids.hint("merge"), "_id").groupBy("chunk").agg(F.collect_list("at").alias("targets")), "targets")
+    marked = whole.join(targets.hint("merge"), "chunk", "left")
+    asked = marked.select("chunk", "lengths", "vocabulary", "tokens", "targets").mapInPandas(_ask(blocks), ASKED)
+    told = store(asked.groupBy("block").applyInPandas(_tell, TOLD), "told")
+    total = lambda c: F.coalesce(F.sum(F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)), F.lit(0))
+    n = whole.agg(total("lengths")).first()[0]
+    n_target = whole.select("chunk", "lengths").join(targets, "chunk").agg(total(F.transform("targets", lambda i: F.element_at("lengths", i + 1)))).first()[0]
+    different = told.where("chunk is null").agg(F.coalesce(F.sum("n_different"), F.lit(0))).first()[0]
+    answers = told.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("kind", "block", "background", "target")).alias("told"))
+    rows = whole.join(answers.hint("merge"), "chunk", "left").select("doc_ids", "lengths", "vocabulary", "tokens", "told")
+    scored = rows.mapInPandas(_bits(float(n), float(n_target), int(different)), "doc_id long, n_tokens long, target_bits double, background_bits double")
+    return scored.withColumn("difference", F.col("target_bits") - F.col("background_bits"))

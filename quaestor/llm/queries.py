@@ -32,7 +32,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     target = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 AND toxic = 0")
-    return lm.score(docs, lm.fit(docs, target))
+    return lm.score(docs, target)
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,28 +110,36 @@ def test_licenses(spark, crowded, empty):
     assert licenses.scan(crowded, known).count() == crowded.count() and licenses.scan(empty, known).count() == 0
 
 
-def test_language_models_equal_brute_force(spark, docs, rows, empty):
+@pytest.mark.parametrize("chunk_words", [lm.CHUNK_WORDS, 50])
+def test_language_models_equal_brute_force(spark, docs, crowded, rows, empty, monkeypatch, chunk_words):
+    monkeypatch.setattr(lm, "CHUNK_WORDS", chunk_words)
+    monkeypatch.setattr(lm, "BLOCK_CHARS", 100 * chunk_words)
     target = spark.createDataFrame([(i,) for i in (1, 2, 3, 45, 45, None)], "doc_id long")
-    models = lm.fit(docs, target)
-    out = {r.doc_id: r for r in lm.score(docs, models).collect() if r.doc_id is not None}
+    found = lm.score(crowded, target).collect()
+    out = {r.doc_id: r for r in found if r.doc_id is not None}
+    assert Counter(r.doc_id for r in found) == Counter(r[0] for r in rows)
     one, two = [Counter(), Counter()], [Counter(), Counter()]
+    split = lambda t: [w.lower() for w in (t or "").encode().split()]
     for i, t, *_ in rows:
-        ids = lm.tokens(t)
+        own = split(t)
         for k in range(2 if i in (1, 2, 3, 45) else 1):
-            one[k].update(ids.tolist())
-            two[k].update(lm.pairs(ids).tolist() if len(ids) else [])
-    n = one[1].total()
-    for i in (0, 1, 45, 59, 58):
-        ids = lm.tokens(rows[i][1] if i < 53 else next(t for d, t, *_ in rows if d == i))
+            one[k].update(own)
+            two[k].update(zip(own, own[1:], strict=False))
+    n, different = one[1].total(), len(one[0])
+    for i, t, *_ in rows:
+        own = split(t)
+        if i is None or not own:
+            continue
         for name, k in (("background_bits", 0), ("target_bits", 1)):
             scale = n / one[k].total()
-            p1 = lambda w: (one[k][w] * scale + 1) / (n + lm.VOCABULARY)  # noqa: B023, E731
-            bits = [-math.log2(p1(ids[0]))]
-            for v, w, at in zip(ids, ids[1:], lm.pairs(ids), strict=False):
-                bits.append(-math.log2((min(two[k][at], one[k][v]) * scale + lm.PRIOR * p1(w)) / (one[k][v] * scale + lm.PRIOR)))
-            assert math.isclose(getattr(out[i], name), sum(bits) / len(bits), rel_tol=1e-5)
-    assert out[54].n_tokens == 0 and out[54].difference is None and out[1].difference < out[0].difference
-    assert lm.score(empty, lm.fit(empty, target)).count() == 0
+            p1 = lambda w: (one[k][w] * scale + 1) / (n + different)  # noqa: B023, E731
+            bits = [-math.log2(p1(own[0]))]
+            for v, w in zip(own, own[1:], strict=False):
+                bits.append(-math.log2((two[k][v, w] * scale + lm.PRIOR * p1(w)) / (one[k][v] * scale + lm.PRIOR)))
+            assert math.isclose(getattr(out[i], name), sum(bits) / len(bits), rel_tol=1e-9)
+    assert out[54].n_tokens == out[55].n_tokens == 0 and out[54].difference is None and out[1].difference < out[0].difference
+    assert lm.score(empty, target).count() == 0
+    assert {r.difference for r in lm.score(docs, target.limit(0)).collect()} == {0.0, None}
 
 
 @pytest.fixture(scope="module")
