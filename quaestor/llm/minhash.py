@@ -17,7 +17,7 @@ from .common import connected_components, store, words
 BANDS, ROWS = 48, 6
 SLOTS = BANDS * ROWS
 #: Hashes of words a worker keeps.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 100_000
 
 _word_hash: dict[bytes, int] = {}
 
