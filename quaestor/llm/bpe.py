@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: A worker keeps at most so many sets with transitions, and so many encoded matches; beyond that it starts anew.
 MAX_STATES, MAX_MATCHES = 200_000, 350_000
+#: Of what a worker keeps by default, the share that it keeps where texts and ids stay in memory beside it.
+FEWER = 0.3
 #: Longer matches are encoded without being kept.
 KEPT_BYTES = 48
 
@@ -36,7 +38,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes the bytes of one match at a time by the ranks."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], max_states: int):
+        self.max_states = max_states
         self.ranks, self.bytes_of = ranks, {v: k for k, v in ranks.items()}
         self.trie: list[dict[int, int]] = [{}]
         self.token_at: list[int] = [-1]
@@ -112,7 +115,7 @@ class Transducer:
                     i += 1
                 else:
                     j += 1
-            if len(self._stay) > 4 * MAX_STATES:
+            if len(self._stay) > 4 * self.max_states:
                 self._stay.clear()
             self._stay[a, b] = known
         return known
@@ -147,7 +150,7 @@ class Transducer:
         """The ids of one match. Where only one reading is left, its tokens go out and the rest starts from there."""
         if (whole := self.ranks.get(raw)) is not None:
             return [whole]
-        if len(self.sets) > MAX_STATES:
+        if len(self.sets) > self.max_states:
             self._forget()
         out: list[int] = []
         ends: list[int] = []
@@ -218,8 +221,9 @@ def _edge(character: str) -> bool:
 class Codec:
     """Encodes and decodes texts; keeps the ids of the units between spaces that it has met."""
 
-    def __init__(self, path: str, pattern: str):
-        self.transducer = Transducer(load_ranks(path))
+    def __init__(self, path: str, pattern: str, share: float = 1.0):
+        self.max_matches = int(share * MAX_MATCHES)
+        self.transducer = Transducer(load_ranks(path), int(share * MAX_STATES))
         self.pattern = regex.compile(pattern)
         self.kept: dict[str, list[int]] = {}
         self.matches: dict[str, list[int]] = {}
@@ -231,7 +235,7 @@ class Codec:
             if ids is None:
                 ids = self.transducer.encode(match.encode("utf-8", "replace"))
                 if len(match) <= KEPT_BYTES:
-                    if len(self.matches) > MAX_MATCHES:
+                    if len(self.matches) > self.max_matches:
                         self.matches.clear()
                     self.matches[match] = ids
             out += ids
@@ -258,7 +262,7 @@ class Codec:
             ids = self._by_match(" " * (at > 0) + " ".join(units[at:done]))
             found[at:done] = [ids] + [()] * (done - at - 1)
             if at and len(unit) <= KEPT_BYTES and _edge(unit[:1]) and _edge(unit[-1:]):
-                if len(self.kept) > MAX_MATCHES:
+                if len(self.kept) > self.max_matches:
                     self.kept.clear()
                 self.kept[unit] = found[at] if done == at + 1 else self._by_match(" " + unit)
         return list(chain.from_iterable(found))
@@ -313,13 +317,13 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", to: str =
 def encode_and_check(docs: DataFrame, path: str, pattern: str, rows: int = 200) -> DataFrame:
     """docs with n_tokens, ids (array<int>) and round_trip: whether the ids, decoded as a stream, give the text (null: the empty one).
 
-    Results leave a worker in batches of a few rows, so that it never holds the ids of many texts. Columns of these
-    names are replaced.
+    Results leave a worker in batches of a few rows, so that it never holds the ids of many texts; what it keeps goes
+    when its task ends. Columns of these names are replaced.
     """
     docs = docs.drop("n_tokens", "ids", "round_trip")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(path, pattern)
+        c = Codec(path, pattern, FEWER)
         for batch in batches:
             for at in range(0, len(batch), rows):
                 part = batch.iloc[at : at + rows]
