@@ -1,6 +1,6 @@
 """All queries by name, and their SQL."""
 
-from . import judging, reports, retrieval, rows_only, texts  # noqa: F401
+from . import judging, reports, retrieval, rows_only, searching, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
