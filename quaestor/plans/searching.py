@@ -67,3 +67,67 @@ def searched_contract(spark, sf_dir):
     """At most k rows, unique ids, the filter respected, of a search in one year."""
     h = hits(spark, sf_dir, fiscal_year=2024)
     return h.groupBy("query_id").agg((F.count("*") <= K).alias("within_k"), (F.count_distinct("chunk_id") == F.count("*")).alias("unique_ids"), F.bool_and(F.col("fiscal_year") == 2024).alias("filter_respected"))
+
+
+# Measures of a search: a question's whole text is its anchor, found if a hit holds it.
+
+
+def owners(spark, sf_dir):
+    """(query_id, doc_id, start, stop): documents that hold a question's text in normal form; where it stands, if they hold it exactly.
+
+    A run of four words, the second to fifth, is the join's key. Questions of under six words are tested one by one.
+    """
+    q = V.questions(spark, sf_dir).withColumn("form", T.lowered(F.col("text"))).withColumn("words", F.split("form", " "))
+    keyed = q.where("size(words) >= 6").withColumn("key", F.xxhash64(*(F.col("words")[i] for i in range(1, 5))))
+    d = V.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
+    words = F.split(T.lowered(F.col("body")), " ")
+    # whole words only: an anchor's first and last word may be parts of a document's, its second to fifth are not
+    runs = d.select("doc_id", words.alias("w")).where("size(w) >= 4").select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 4), lambda i: F.xxhash64(*(F.element_at("w", i + j) for j in range(1, 5))))).alias("key"))
+    pairs = keyed.join(runs, "key").select("query_id", "text", "form", "doc_id").distinct().join(d, "doc_id")
+    few = q.where("size(words) < 6 AND form <> ''").select("query_id", "text", "form").join(d, F.contains(T.lowered(F.col("body")), F.col("form")))
+    both = pairs.select("query_id", "text", "form", "doc_id", "body").unionAll(few.select("query_id", "text", "form", "doc_id", "body"))
+    at = F.expr("instr(body, text)").cast("long")
+    return both.where(F.contains(T.lowered(F.col("body")), F.col("form"))).select("query_id", "doc_id", F.when(at > 0, at - 1).alias("start"), F.when(at > 0, at - 1 + F.length("text")).alias("stop"))
+
+
+def found(spark, sf_dir):
+    """For each hit: whether it holds the whole anchor, exactly or in normal form, and whether it is of the anchor's own document too.
+
+    A hit of the anchor's own document counts if it covers the anchor's span or holds it in normal form.
+    """
+    h = hits(spark, sf_dir).join(V.questions(spark, sf_dir), "query_id").join(owners(spark, sf_dir).withColumn("owned", F.lit(True)), ["query_id", "doc_id"], "left")
+    exact, form = F.contains("texto", F.col("text")), F.contains(T.lowered(F.col("texto")), T.lowered(F.col("text")))
+    covered = F.coalesce((F.col("inicio_car") <= F.col("start")) & (F.col("fin_car") >= F.col("stop")), F.lit(False))
+    return h.select("query_id", "rank", exact.alias("hit"), form.alias("loose"), F.coalesce(F.col("owned") & (covered | form), F.lit(False)).alias("own"))
+
+
+@query()
+def searched_anchor_recall_trace(spark, sf_dir):
+    """The exact, whole anchor among the first five hits, whatever the document."""
+    return found(spark, sf_dir).groupBy("query_id").agg(F.bool_or(F.col("hit") & (F.col("rank") <= 5)).alias("hit"))
+
+
+@query()
+def searched_anchor_recall_isolated(spark, sf_dir):
+    """The same ticker and year; the anchor's span covered or its text held in normal form among the first five hits."""
+    return found(spark, sf_dir).groupBy("query_id").agg(F.bool_or(F.col("own") & (F.col("rank") <= 5)).alias("hit"))
+
+
+@query()
+def searched_anchor_rank(spark, sf_dir):
+    """The rank of the first of the hits that holds the anchor in normal form, null if none does."""
+    return found(spark, sf_dir).groupBy("query_id").agg(F.min(F.when(F.col("loose"), F.col("rank"))).alias("first_rank"))
+
+
+@query()
+def searched_recall_at_k(spark, sf_dir):
+    """The share of all questions with the anchor in normal form among five hits, 0 without questions."""
+    hit = found(spark, sf_dir).groupBy("query_id").agg(F.bool_or(F.col("loose") & (F.col("rank") <= 5)).alias("hit"))
+    both = V.questions(spark, sf_dir).select("query_id").join(hit, "query_id", "left")
+    return both.agg(F.round(F.coalesce(F.avg(F.coalesce("hit", F.lit(False)).cast("int")), F.lit(0.0)), 6).alias("recall"))
+
+
+@query()
+def searched_anchor_rank_pivot(spark, sf_dir):
+    """The first rank by exact and by normal form."""
+    return found(spark, sf_dir).groupBy("query_id").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("exact"), F.min(F.when(F.col("loose"), F.col("rank"))).alias("loose"))

@@ -96,3 +96,24 @@ def test_views_of_the_hits(spark, small, ranking):
     assert all(r.within_k and r.unique_ids and r.filter_respected for r in rows["searched_contract"]) and len(rows["searched_contract"]) == 8
     one_year = {q: [i for _, i in b if "-2024-" in i][:20] for q, b in best.items()}
     assert {(r.query_id, r.chunk_id) for r in searching.hits(spark, small[0], fiscal_year=2024).collect()} == {(q, i) for q, b in one_year.items() for i in b}
+
+
+def test_whole_anchors(spark, small, ranking):
+    d, docs, asked, _ = small
+    chunks, best = ranking
+    bodies = {i: t for i, t, *_ in docs}
+    holding = {(q, i) for q, a in asked.items() for i, t in bodies.items() if squeezed(a) in squeezed(t)}
+    assert {(r.query_id, r.doc_id, r.start) for r in searching.owners(spark, d).collect()} == {(q, i, bodies[i].find(asked[q]) if asked[q] in bodies[i] else None) for q, i in holding}
+    assert any(asked[q] not in bodies[i] for q, i in holding)
+    got = {n: {r.query_id: r[1] for r in QUERIES[n](spark, d).collect()} for n in ("searched_anchor_recall_trace", "searched_anchor_recall_isolated", "searched_anchor_rank")}
+    pivot = {r.query_id: (r.exact, r.loose) for r in QUERIES["searched_anchor_rank_pivot"](spark, d).collect()}
+    for q, b in best.items():
+        exact = [rank for rank, (_, i) in enumerate(b[:20], 1) if asked[q] in chunks[i][2]]
+        loose = [rank for rank, (_, i) in enumerate(b[:20], 1) if squeezed(asked[q]) in squeezed(chunks[i][2])]
+        assert got["searched_anchor_recall_trace"][q] == any(r <= 5 for r in exact)
+        assert got["searched_anchor_recall_isolated"][q] == any(r <= 5 for r in loose)
+        assert got["searched_anchor_rank"][q] == min(loose, default=None) and pivot[q] == (min(exact, default=None), min(loose, default=None))
+        # a text that has no more than the anchor's beginning is no hit
+        begun = [rank for rank, (_, i) in enumerate(b, 1) if chunks[i][2].startswith(asked[q][:12]) and squeezed(asked[q]) not in squeezed(chunks[i][2])]
+        assert begun and not set(begun) & set(loose)
+    assert QUERIES["searched_recall_at_k"](spark, d).first().recall == round(sum(got["searched_anchor_rank"][q] is not None and got["searched_anchor_rank"][q] <= 5 for q in asked) / len(asked), 6)
