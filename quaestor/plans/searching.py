@@ -12,6 +12,8 @@ from .registry import query
 
 #: What a search returns for each question.
 K = 20
+#: Dense candidates of each question for fusion.
+CANDIDATES = 50
 
 
 def hits(spark, sf_dir, k=K, **wanted):
@@ -131,3 +133,60 @@ def searched_recall_at_k(spark, sf_dir):
 def searched_anchor_rank_pivot(spark, sf_dir):
     """The first rank by exact and by normal form."""
     return found(spark, sf_dir).groupBy("query_id").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("exact"), F.min(F.when(F.col("loose"), F.col("rank"))).alias("loose"))
+
+
+# The ablation: six retrievers over all documents.
+
+CONFIGS = ("bm25", "flat", "filtered", "fused", "rewrite", "rewrite_fused")
+
+
+def configurations(spark, sf_dir, k=K):
+    """(config, query_id, id, rank): the k best documents of each question by each retriever.
+
+    filtered keeps to vectors of the label of the question's own. A rewrite is the recorded one or the question itself; there is
+    no encoder for it here, so it is ranked by BM25, and rewrite_fused fuses that with the question's vector.
+    """
+    v, q = V.vectors(spark, sf_dir), V.question_vectors(spark, sf_dir)
+    corpus = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    c = V.table(spark, sf_dir, "conversations").where("turn = 0 AND role = 'user'").select(F.col("conv_id").alias("query_id"), F.col("text").alias("rewrite"))
+    said = V.questions(spark, sf_dir).join(c, "query_id", "left").select("query_id", F.coalesce("rewrite", "text").alias("text"))
+    near = dense.search(v, q, CANDIDATES).drop("rank")
+    plain, rewritten = lexical.bm25(corpus, V.questions(spark, sf_dir)), lexical.bm25(corpus, said)
+    labelled = q.join(v.select(F.col("id").alias("query_id"), "label"), "query_id")
+    filtered = None
+    for r in labelled.select("label").distinct().orderBy("label").collect():
+        part = dense.search(v.where(F.col("label").eqNullSafe(r.label)), labelled.where(F.col("label").eqNullSafe(r.label)), k)
+        filtered = part if filtered is None else filtered.unionAll(part)
+    lists = {"bm25": dense.top_k(plain, k), "flat": dense.top_k(near, k), "fused": fusion.fuse_global(near, plain, k), "rewrite": dense.top_k(rewritten, k), "rewrite_fused": fusion.fuse_global(near, rewritten, k)}
+    if filtered is not None:
+        lists["filtered"] = filtered
+    out = None
+    for name, found_ in lists.items():
+        part = found_.select(F.lit(name).alias("config"), "query_id", "id", F.col("rank").cast("long").alias("rank"))
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def grid(spark, sf_dir):
+    """(config, k, strict, query_id, hit, first_rank): each question under each setting, also if nothing was found."""
+    held = owners(spark, sf_dir).select("query_id", F.col("doc_id").alias("id"), F.col("start").isNotNull().alias("exact"))
+    ranks = configurations(spark, sf_dir).join(held, ["query_id", "id"]).groupBy("config", "query_id").agg(F.min(F.when(F.col("exact"), F.col("rank"))).alias("exact"), F.min("rank").alias("loose"))
+    every = V.questions(spark, sf_dir).select("query_id").withColumn("config", F.explode(F.array(*map(F.lit, CONFIGS))))
+    every = every.withColumn("k", F.explode(F.array(*(F.lit(k).cast("long") for k in (1, 5, 20))))).withColumn("strict", F.explode(F.array(F.lit(True), F.lit(False))))
+    first = F.when(F.col("strict"), F.col("exact")).otherwise(F.col("loose"))
+    g = every.join(ranks, ["config", "query_id"], "left").withColumn("first_rank", first)
+    return g.select("config", "k", "strict", "query_id", F.coalesce(F.col("first_rank") <= F.col("k"), F.lit(False)).alias("hit"), "first_rank")
+
+
+@query()
+def searched_recall_study(spark, sf_dir):
+    """Recall of six retrievers by k and strictness, and what was missed."""
+    missed = F.array_join(F.sort_array(F.collect_list(F.when(~F.col("hit"), F.col("query_id")))).cast("array<string>"), ", ")
+    return grid(spark, sf_dir).groupBy("config", "k", "strict").agg(F.count("*").alias("n"), F.count(F.when(F.col("hit"), 1)).alias("hits"), F.round(F.avg(F.col("hit").cast("int")), 3).alias("recall"), missed.alias("missed"))
+
+
+@query()
+def searched_recall_pooled_best(spark, sf_dir):
+    """The best of all settings, ties by an explicit order."""
+    p = grid(spark, sf_dir).groupBy("config", "k", "strict").agg(F.round(F.sum(F.col("hit").cast("int")) / F.count("*"), 6).alias("pooled"))
+    return p.orderBy(F.desc("pooled"), "k", "strict", "config").limit(1)

@@ -117,3 +117,31 @@ def test_whole_anchors(spark, small, ranking):
         begun = [rank for rank, (_, i) in enumerate(b, 1) if chunks[i][2].startswith(asked[q][:12]) and squeezed(asked[q]) not in squeezed(chunks[i][2])]
         assert begun and not set(begun) & set(loose)
     assert QUERIES["searched_recall_at_k"](spark, d).first().recall == round(sum(got["searched_anchor_rank"][q] is not None and got["searched_anchor_rank"][q] <= 5 for q in asked) / len(asked), 6)
+
+
+def test_six_retrievers_are_compared(spark, small):
+    d, docs, asked, talks = small
+    bodies = {i: t for i, t, *_ in docs}
+    near = {q: sorted((-round(math.cos(q) * math.cos(i) + math.sin(q) * math.sin(i), 5), i) for i in bodies) for q in asked}
+    said = {q: talks.get(q, t) for q, t in asked.items()}
+    order = {"flat": {q: [i for _, i in near[q]] for q in asked}, "filtered": {q: [i for _, i in near[q] if i % 4 == q % 4] for q in asked}}
+    for lexical, fused, text in (("bm25", "fused", asked), ("rewrite", "rewrite_fused", said)):
+        best = bm25(bodies, text)
+        order[lexical] = {q: [i for _, i in best[q]] for q in asked}
+        order[fused] = {}
+        for q in asked:
+            at = {i: r for r, i in enumerate(order[lexical][q], 1)}
+            order[fused][q] = [i for *_, i in sorted((-round(1 / (60 + r) + 1 / (60 + at.get(i, 1_000_000)), 9), r, i) for r, i in enumerate(order["flat"][q], 1))]
+    got = defaultdict(dict)
+    for r in searching.configurations(spark, d).collect():
+        got[r.config].setdefault(r.query_id, {})[r["rank"]] = r.id
+    assert {c: {q: [x[r] for r in sorted(x)] for q, x in v.items()} for c, v in got.items()} == {c: {q: x[:20] for q, x in v.items()} for c, v in order.items()}
+    study = {(r.config, r.k, r.strict): r for r in QUERIES["searched_recall_study"](spark, d).collect()}
+    assert len(study) == 36
+    share = {}
+    for (c, k, strict), r in study.items():
+        hit = {q for q, a in asked.items() if any((a in bodies[i]) if strict else squeezed(a) in squeezed(bodies[i]) for i in order[c][q][:k])}
+        assert (r.n, r.hits, r.missed) == (8, len(hit), ", ".join(str(q) for q in sorted(set(asked) - hit)))
+        share[c, k, strict] = len(hit) / 8
+    best = QUERIES["searched_recall_pooled_best"](spark, d).collect()
+    assert [(b.config, b.k, b.strict) for b in best] == [min(share, key=lambda x: (-share[x], x[1], x[2], x[0]))]
