@@ -30,9 +30,11 @@ BANDS = {
 #: A language's own band reaches so many median absolute deviations to either side of its median (for texts of
 #: STEADY words and more; shorter texts scatter, by the root of their length), and at least so many shares of it.
 DEVIATIONS, STEADY, LEAST_SHARE = 8.0, 200, 0.08
-#: Languages with fewer measured texts have no band of their own.
-LEAST_TEXTS = 50
-#: The lowest token entropy in bits; texts of under STEADY words can't reach it and are not held to it.
+#: A language's figures weigh by its number of texts against those of the script with this weight; a script's likewise
+#: against the middle of its widest band and the deviation that fills it.
+PRIOR_TEXTS = 50
+#: The lowest token entropy in bits; texts of under STEADY tokens, which can't have as much, are held to a share by the
+#: logarithm of their length.
 LEAST_ENTROPY = 3.0
 
 #: First and last code points of ranges that count as a script's letters.
@@ -72,7 +74,7 @@ class Meter:
         self.bytes_bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def measure(self, text: str | None) -> tuple:
-        """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, script, chars_per_token, byte_share, token_entropy.
+        """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, script, chars_per_token, byte_share, token_entropy, n_pieces.
 
         Both vocabularies read the words joined by single spaces.
         """
@@ -81,13 +83,13 @@ class Meter:
         chars = len(text) - sum(map(text.count, WHITE))
         base = len(own), chars, sum(map(text.count, SYMBOLS)), _repeated_lines(text), _repeated_words(own), script(text)
         if not own:
-            return (*base, None, None, None)
+            return (*base, None, None, None, 0)
         plain = b" ".join(own).decode("utf-8", "replace")
         ids = np.array(self.pieces.encode(plain, num_threads=1), dtype=np.int64)
         counts = np.unique(ids, return_counts=True)[1]
         share = counts / max(1, len(ids))
         entropy = float(-(share * np.log2(share)).sum()) + 0.0
-        return (*base, chars / max(1, len(self.bytes_bpe.encode_ordinary(plain))), float(self.is_byte[ids].mean()) if len(ids) else 0.0, entropy)
+        return (*base, chars / max(1, len(self.bytes_bpe.encode_ordinary(plain))), float(self.is_byte[ids].mean()) if len(ids) else 0.0, entropy, len(ids))
 
 
 def _repeated_lines(text: str) -> int:
@@ -122,7 +124,7 @@ def _meter(*paths: str) -> Meter:
     return _meters[paths]
 
 
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, chars_per_token double, byte_share double, token_entropy double"
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, chars_per_token double, byte_share double, token_entropy double, n_pieces long"
 
 
 def measure(docs: DataFrame, piece_path: str, rank_path: str, pattern: str) -> DataFrame:
@@ -143,25 +145,42 @@ def judge(docs: DataFrame, piece_path: str, rank_path: str, pattern: str, text:
 
     Base: fewer than 10 words, or over a fifth of the words in repeated windows. Fertility: outside the widest band of
     the script, outside the band that all texts of the language set by median and deviation of characters per
-    token, or of too low an entropy. A null language has a band like any other. kept is false if either fails; null and
-    empty texts fail the base. Measures are taken once, into a stored table, and languages counted from there.
+    token (short texts by their deviation scaled to STEADY words), or of too low an entropy for its length. The fewer texts a
+    language has, the more its band leans to the script's. A null language has a band like any other. kept is false if
+    either fails; null and empty texts fail the base. Measures are taken once, into a stored table, and languages counted
+    from there.
     """
     read = measure(docs.select("doc_id", F.col(lang).alias("lang"), F.col(text).alias("text")), piece_path, rank_path, pattern)
     m = store(read.select("doc_id", "lang", "measures.*"), "fertility")
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    steady = m.where(~base & (F.col("n_words") >= STEADY))
-    middle = steady.groupBy("lang").agg(F.percentile_approx("chars_per_token", 0.5, 10_000).alias("median"), F.count("*").alias("n_texts"))
-    same = F.col("a.lang").eqNullSafe(F.col("b.lang"))
-    spread = steady.alias("a").join(middle.alias("b"), same).groupBy("b.lang", "median", "n_texts").agg(F.percentile_approx(F.abs(F.col("chars_per_token") - F.col("median")), 0.5, 10_000).alias("deviation"))
-    own = spread.where(F.col("n_texts") >= LEAST_TEXTS)
-    out = m.alias("a").join(own.alias("b"), same, "left").select("a.*", "median", "deviation")
+    out = _with_middle(_with_middle(m, m, "script"), m, "lang")
     low, high, most_bytes = (_of_script(i) for i in range(3))
-    shaky = F.sqrt(F.greatest(F.lit(1.0), F.lit(float(STEADY)) / F.greatest(F.col("n_words"), F.lit(1))))
-    width = F.greatest(DEVIATIONS * F.col("deviation"), LEAST_SHARE * F.col("median")) * shaky
-    off = F.abs(F.col("chars_per_token") - F.col("median")) > width
-    wild = (F.col("chars_per_token") < low) | (F.col("chars_per_token") > high) | (F.col("byte_share") > most_bytes) | ((F.col("n_words") >= STEADY) & (F.col("token_entropy") < LEAST_ENTROPY))
-    out = out.withColumn("base_failed", base).withColumn("fertility_failed", F.coalesce(wild, F.lit(True)) | F.coalesce(off, F.lit(False)))
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("fertility_failed")).drop("median", "deviation")
+    median, deviation = (low + high) / 2, (high - low) / (2 * DEVIATIONS)
+    for key in ("script", "lang"):
+        n = F.coalesce(f"{key}_texts", F.lit(0))
+        median, deviation = ((F.coalesce(n * F.col(f"{key}_{name}"), F.lit(0.0)) + PRIOR_TEXTS * prior) / (n + PRIOR_TEXTS) for name, prior in (("median", median), ("deviation", deviation)))
+    width = F.greatest(DEVIATIONS * deviation, LEAST_SHARE * median) * _shaky()
+    off = F.abs(F.col("chars_per_token") - median) > width
+    least = LEAST_ENTROPY * F.least(F.lit(1.0), F.log2(F.greatest("n_pieces", F.lit(1)).cast("double")) / F.log2(F.lit(float(STEADY))))
+    wild = (F.col("chars_per_token") < low) | (F.col("chars_per_token") > high) | (F.col("byte_share") > most_bytes) | (F.col("token_entropy") < least)
+    out = out.withColumn("base_failed", base).withColumn("fertility_failed", F.coalesce(wild | off, F.lit(True)))
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("fertility_failed")).drop("n_pieces", *(f"{key}_{name}" for key in ("script", "lang") for name in ("median", "texts", "deviation")))
+
+
+def _shaky() -> Column:
+    """How much wider a text of few words scatters than one of STEADY words."""
+    return F.sqrt(F.greatest(F.lit(1.0), F.lit(float(STEADY)) / F.greatest(F.col("n_words"), F.lit(1))))
+
+
+def _with_middle(out: DataFrame, m: DataFrame, key: str) -> DataFrame:
+    """Adds the median of characters per token over all texts of the same key, their number, and the median deviation."""
+    median, texts, deviation = (f"{key}_{name}" for name in ("median", "texts", "deviation"))
+    told = m.where("chars_per_token is not null").select(key, "chars_per_token", "n_words")
+    middle = told.groupBy(key).agg(F.percentile_approx("chars_per_token", 0.5, 10_000).alias(median), F.count("*").alias(texts))
+    same = F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}"))
+    far = F.abs(F.col("chars_per_token") - F.col(median)) / _shaky()
+    spread = told.alias("a").join(middle.alias("b"), same).groupBy(f"b.{key}", median, texts).agg(F.percentile_approx(far, 0.5, 10_000).alias(deviation))
+    return out.alias("a").join(spread.alias("b"), same, "left").select("a.*", median, texts, deviation)
 
 
 def _of_script(i: int) -> Column:

@@ -95,6 +95,20 @@ def test_fertility_bands(spark):
     assert not out.fertility_failed[:60].any() and out.fertility_failed[60]
 
 
+@pytest.mark.parametrize("n_texts", [60, 20])
+def test_fertility_bands_of_short_texts(spark, n_texts):
+    rng = np.random.default_rng(2)
+    names = "table house river window people school water garden evening market stone paper letter doctor winter island bridge summer kitchen forest".split()
+    good = [" ".join(rng.permutation([f"{a} {b} and" for a in names for b in names])[:30]) for _ in range(n_texts)]
+    noise = " ".join("".join(rng.choice(list("aeioubcdfg"), 9)) for _ in range(90))
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*good, noise, "ha " * 60])], "doc_id long, text string, lang string")
+    out = fertility.judge(df, PIECES, RANKS, P.PATTERN).toPandas().set_index("doc_id").sort_index()
+    low, high, _ = fertility.BANDS["latin"]
+    assert (out.n_words < fertility.STEADY).all() and low < out.chars_per_token[n_texts] < high
+    assert not out.fertility_failed[:n_texts].any() and out.fertility_failed[n_texts] and out.fertility_failed[n_texts + 1]
+    assert set(out.columns) >= {"chars_per_token", "kept"} and "n_pieces" not in out
+
+
 def test_scripts():
     assert [fertility.script(t) for t in ("abc Ж", "Привет, мир", "漢字かな x", "12 — ", "")] == ["latin", "cyrillic", "cjk", "other", "other"]
 
