@@ -1,5 +1,7 @@
 """Public licence texts and notices whose digests a scan knows. Fixed values, as their publishers give them."""
 
+from pathlib import Path
+
 _PERMISSION = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -41,3 +43,21 @@ Permission is granted to anyone to use this software for any purpose, including
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
 }
+
+#: Titles that stand over texts of KNOWN in files of their own.
+_TITLES = {
+    "MIT-text": ("The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "ISC License (ISC)", "The ISC License", "ISC License (ISCL)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD 0-Clause License", "Zero-Clause BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License"),
+}
+#: Long texts, a file each.
+_FILES = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0")
+
+
+def more() -> list[tuple[str, str]]:
+    """(license_id, text) besides KNOWN: its texts under their titles, and the long ones."""
+    titled = [("MIT" if name == "MIT-text" else name, f"{title}\n\n{KNOWN[name]}") for name, titles in _TITLES.items() for title in titles]
+    return titled + [(name, (Path(__file__).parent / "license_files" / name).read_text("utf-8")) for name in _FILES]

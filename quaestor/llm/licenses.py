@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .license_texts import KNOWN
+from .license_texts import KNOWN, more
 
 #: Spellings that count as one, as whole words after normalising: the left becomes the right.
 SPELLINGS = {
@@ -26,7 +26,12 @@ SPELLINGS = {
     "https": "http",
 }
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line that only says who holds the rights.
+#: What follows `copyright` where a licence's own sentence was wrapped before it.
+BODY = "act|and|are|as|claims?|disclaimer|doctrines|for|holders?|if|in|infringement|interests?|is|law|laws|license|licenses|licence|licences|like|notice|notices|of|on|or|owners?|ownership|patent|permission|protection|resulting|rights|statements?|status|the software|to|treaty|under"
+#: A line that only says who holds the rights: `copyright` with a sign, a year or a holder, a sign with a year or a short
+#: name, or `all rights reserved` alone.
+HOLDER = rf"(^|\n)[ \t]*(?:copyright:?[ \t]*(?:\(c\)|©|\d{{4}})[^\n]*|copyright:?[ \t]+(?!(?:{BODY})\b)[^\n]+|\(c\)[ \t]*\d{{4}}[^\n]*|\(c\)[ \t]+\S+(?:[ \t]+\S+){{0,3}}[ \t\r]*(?=\n|\z)|©[^\n]*|all rights reserved[. \t\r]*(?=\n|\z))"
+#: The same in the SQL of oracle(), which deletes any line with such a beginning.
 COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 #: What isn't a letter or digit; characters beyond ASCII stay.
 PUNCTUATION = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
@@ -34,7 +39,7 @@ PUNCTUATION = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
 def canonical(text: Column) -> Column:
     """A text's canonical form: A-Z in lower case, no copyright lines, words joined by single spaces, one spelling."""
-    plain = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), COPYRIGHT, "$1")
+    plain = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), HOLDER, "$1")
     out = F.concat(F.lit(" "), F.trim(F.regexp_replace(plain, PUNCTUATION, " ")), F.lit(" "))
     for old, new in SPELLINGS.items():
         out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
@@ -43,7 +48,7 @@ def canonical(text: Column) -> Column:
 
 def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """(digest, license_id) of known texts; of texts with one canonical form the least id counts."""
-    table = spark.createDataFrame(sorted((texts or KNOWN).items()), "license_id string, text string")
+    table = spark.createDataFrame(sorted(texts.items() if texts else [*KNOWN.items(), *more()]), "license_id string, text string")
     return table.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 

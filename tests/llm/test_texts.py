@@ -2,6 +2,8 @@
 
 import hashlib
 import math
+import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -13,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quaestor.llm import bpe, fertility, licenses, lm, zstd_quality
+from quaestor.llm import bpe, fertility, license_texts, licenses, lm, zstd_quality
 
 PIECES, RANKS = P.path("piece_bpe_32k.model"), P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -124,6 +126,20 @@ def test_licenses(spark, crowded, empty):
     assert licenses.scan(crowded, known).count() == crowded.count() and licenses.scan(empty, known).count() == 0
 
 
+def test_licenses_in_published_layouts(spark):
+    wrap = lambda t, n: "\n\n".join(p if "(c)" in p.lower() else textwrap.fill(p, n) for p in re.split(r"\n\s*\n", t))
+    whole = {k: v for k, v in licenses.KNOWN.items() if not k.endswith("notice") and not k.startswith("MIT")} | {"MIT": licenses.KNOWN["MIT-text"]}
+    titles = {"ISC": "ISC License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "0BSD": "BSD Zero Clause License", "Zlib": "zlib License", "MIT": "The MIT License (MIT)"}
+    lines = ("Copyright (c) 2019, A Holder <a@b.c>", "Copyright The Holders of it", "© 2020 Somebody\nAll rights reserved.", "Copyright: 2001-2004 Some Others")
+    data = [(k, f"{titles[k]}\n\n{line}\n\n{wrap(t, n)}") for k, t in whole.items() for n, line in zip((60, 72, 78, 20), lines, strict=True)]
+    data += [("ISC", "Copyright (c) 2004-2010 by Somebody\n\n" + licenses.KNOWN["ISC"].replace("above copyright", "above\ncopyright"))]
+    data += [("Apache-2.0", t := dict(license_texts.more())["Apache-2.0"]), ("Apache-2.0", t.replace("[yyyy] [name of copyright owner]", "2020 Somebody"))]
+    data += [(k, wrap(t, n)) for k, t in license_texts.more() if k in ("GPL-2.0", "GPL-3.0", "MPL-2.0") for n in (70, 100)]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(data)], "doc_id long, text string")
+    out = {r.doc_id: r.license_id for r in licenses.scan(df, licenses.known(spark)).collect()}
+    assert [(i, k) for i, (k, _) in enumerate(data)] == sorted((i, {"MIT-text": "MIT"}.get(k, k)) for i, k in out.items())
+
+
 @pytest.mark.parametrize("chunk_words", [lm.CHUNK_WORDS, 50])
 def test_language_models_equal_brute_force(spark, docs, crowded, rows, empty, monkeypatch, chunk_words):
     monkeypatch.setattr(lm, "CHUNK_WORDS", chunk_words)
