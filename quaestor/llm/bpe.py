@@ -12,8 +12,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,8 +21,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A worker keeps at most so many sets with transitions, and so many encoded matches; beyond that it starts anew.
-MAX_STATES, MAX_MATCHES = 200_000, 350_000
+#: A worker keeps at most so many sets with transitions, beyond which it starts anew, and so many encoded matches, of
+#: which those go that were not met lately.
+MAX_STATES, MAX_MATCHES = 200_000, 600_000
 #: Of what a worker keeps by default, the share that it keeps where texts and ids stay in memory beside it.
 FEWER = 0.3
 #: Longer matches are encoded without being kept.
@@ -54,12 +55,13 @@ class Transducer:
                 node = down[b]
             self.token_at[node] = rank
         self._spines: dict[int, tuple[list, list]] = {}
-        self._stay: dict[tuple[int, int], bool] = {}
+        self._stay: dict[int, bool] = {}
         self._forget()
 
     def _forget(self) -> None:
-        #: A set is a sorted tuple of (last finished token or -1, place in the trie of the one being read); 0 is the start.
-        self.sets: list[tuple] = [((-1, 0),)]
+        #: A set is a sorted tuple of hypotheses: last finished token and 1 (0: none), then, in the lower 32 bits, the
+        #: place in the trie of the one being read; place 0 is the start.
+        self.sets: list[tuple] = [(0,)]
         self.number = {self.sets[0]: 0}
         #: By set and byte: the next set, the token that ends with the byte (-1: none), and whether no other reading is open.
         self.steps: list[dict[int, tuple[int, int, bool]]] = [{}]
@@ -100,7 +102,7 @@ class Transducer:
 
         Of merges of one rank the leftmost comes first: one inside `a` before one across, one across before one in `b`.
         """
-        known = self._stay.get((a, b))
+        known = self._stay.get(a << 32 | b)
         if known is None:
             right, left, i, j, known = self._edges(a)[1], self._edges(b)[0], 0, 0, True
             while True:
@@ -117,27 +119,29 @@ class Transducer:
                     j += 1
             if len(self._stay) > 4 * self.max_states:
                 self._stay.clear()
-            self._stay[a, b] = known
+            self._stay[a << 32 | b] = known
         return known
 
     def _step(self, state: int, byte: int) -> tuple[int, int, bool]:
         moved, ended, trie, stay = [], -1, self.trie, self._stay
-        for last, node in self.sets[state]:
-            node = trie[node].get(byte, -1)
-            if node < 0:
+        for hypothesis in self.sets[state]:
+            node = trie[hypothesis & 0xFFFFFFFF].get(byte)
+            if node is None:
                 continue
+            last = hypothesis >> 32
             if trie[node]:
-                moved.append((last, node))
+                moved.append(last << 32 | node)
             token = self.token_at[node]
             if token >= 0 and ended < 0:
-                if last >= 0:
-                    known = stay.get((last, token))
-                    if not (self.stays(last, token) if known is None else known):
+                if last:
+                    known = stay.get(last - 1 << 32 | token)
+                    if not (self.stays(last - 1, token) if known is None else known):
                         continue
                 ended = token
         if ended >= 0:
-            moved.append((ended, 0))
-        new = tuple(sorted(moved))
+            moved.append(ended + 1 << 32)
+        moved.sort()
+        new = tuple(moved)
         target = self.number.get(new)
         if target is None:
             target = self.number[new] = len(self.sets)
@@ -213,71 +217,107 @@ class Utf8:
         return left
 
 
-def _edge(character: str) -> bool:
-    """Whether a unit can be cut off beside this character: there is one, and it isn't white space."""
-    return bool(character) and not character.isspace()
+class Streams:
+    """Decodes tokens by the UTF-8 machine, whose runs over a token are kept.
+
+    A place is the machine's unfinished bytes; from each place a token leads to a text and to the next place. Both are
+    found by the machine when first met. Most tokens are whole characters: those are read off as they come.
+    """
+
+    def __init__(self, bytes_of: dict[int, bytes]):
+        self.bytes_of = bytes_of
+        self.moves: dict[bytes, dict[int, tuple[str, bytes]]] = {}
+        self.whole: dict[int, str] = {}
+        for i in bytes_of:
+            text, held = self._run(b"", i)
+            if not held:
+                self.whole[i] = text
+
+    def _run(self, held: bytes, token: int) -> tuple[str, bytes]:
+        machine = Utf8()
+        machine.feed(held)
+        return machine.feed(self.bytes_of[token]), bytes(machine.held)
+
+    def pieces(self, ids: Iterable[int]) -> Iterator[str]:
+        """After each id, the characters that are complete by then."""
+        held = b""
+        for i in ids:
+            moves = self.moves.setdefault(held, {})
+            move = moves.get(i)
+            if move is None:
+                move = moves[i] = self._run(held, i)
+            held = move[1]
+            if move[0]:
+                yield move[0]
+        if held:
+            yield "\ufffd"
+
+    def text(self, ids: list[int]) -> str:
+        """All pieces joined; stretches of whole tokens need no machine."""
+        read = list(map(self.whole.get, ids))
+        if None not in read:
+            return "".join(read)
+        out, at = [], 0
+        while at < len(read):
+            try:
+                broken = read.index(None, at)
+            except ValueError:
+                broken = len(read)
+            out += read[at:broken]
+            held, at = b"", broken
+            while at < len(read) and (held or read[at] is None):
+                moves = self.moves.setdefault(held, {})
+                move = moves.get(ids[at])
+                if move is None:
+                    move = moves[ids[at]] = self._run(held, ids[at])
+                held, at = move[1], at + 1
+                out.append(move[0])
+            if held:
+                out.append("\ufffd")
+        return "".join(out)
 
 
 class Codec:
-    """Encodes and decodes texts; keeps the ids of the units between spaces that it has met."""
+    """Encodes and decodes texts; keeps the ids of the matches that it has met."""
 
     def __init__(self, path: str, pattern: str, share: float = 1.0):
         self.max_matches = int(share * MAX_MATCHES)
         self.transducer = Transducer(load_ranks(path), int(share * MAX_STATES))
+        self.streams = Streams(self.transducer.bytes_of)
         self.pattern = regex.compile(pattern)
-        self.kept: dict[str, list[int]] = {}
-        self.matches: dict[str, list[int]] = {}
-
-    def _by_match(self, part: str) -> list[int]:
-        out: list[int] = []
-        for match in self.pattern.findall(part):
-            ids = self.matches.get(match)
-            if ids is None:
-                ids = self.transducer.encode(match.encode("utf-8", "replace"))
-                if len(match) <= KEPT_BYTES:
-                    if len(self.matches) > self.max_matches:
-                        self.matches.clear()
-                    self.matches[match] = ids
-            out += ids
-        return out
+        #: By match its ids as bytes of 32-bit numbers: those met lately, and those before.
+        self.kept: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def _ids(self, match: str) -> bytes:
+        ids = self.before.get(match)
+        if ids is None:
+            ids = array("i", self.transducer.encode(match.encode("utf-8", "replace"))).tobytes()
+            if len(match) > KEPT_BYTES:
+                return ids
+        if len(self.kept) >= self.max_matches // 2:
+            self.kept, self.before = {}, self.kept
+        self.kept[match] = ids
+        return ids
+
+    def encode_array(self, text: str | None) -> np.ndarray:
+        """The ids of each match of the pattern, one after another (None: of an empty text)."""
+        matches = self.pattern.findall(text or "")
+        found = list(map(self.kept.get, matches))
+        if None in found:
+            found = [self._ids(m) if ids is None else ids for m, ids in zip(matches, found, strict=True)]
+        return np.frombuffer(b"".join(found), dtype=np.int32)
 
     def encode(self, text: str | None) -> list[int]:
-        """The ids of each match of the pattern, one after another (None: of an empty text).
-
-        A single space between two other characters that aren't white space always starts a match, whatever stands
-        before it; so the text is cut there, and a piece after such a space is looked up or matched by itself.
-        """
-        units = (text or "").split(" ")
-        found = list(map(self.kept.get, units))
-        found[0] = None
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        done = 0
-        for at in missing:
-            if at < done:
-                continue
-            done = at + 1
-            while done < len(units) and not (_edge(units[done - 1][-1:]) and _edge(units[done][:1])):
-                done += 1
-            unit = units[at]
-            ids = self._by_match(" " * (at > 0) + " ".join(units[at:done]))
-            found[at:done] = [ids] + [()] * (done - at - 1)
-            if at and len(unit) <= KEPT_BYTES and _edge(unit[:1]) and _edge(unit[-1:]):
-                if len(self.kept) > self.max_matches:
-                    self.kept.clear()
-                self.kept[unit] = found[at] if done == at + 1 else self._by_match(" " + unit)
-        return list(chain.from_iterable(found))
-
-    def decode_bytes(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.transducer.bytes_of.__getitem__, ids))
+        return self.encode_array(text).tolist()
 
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
         """The text of ids as they come: after each id, the characters that are complete by then."""
-        machine = Utf8()
-        for i in ids:
-            if done := machine.feed(self.transducer.bytes_of[i]):
-                yield done
-        if left := machine.end():
-            yield left
+        return self.streams.pieces(ids)
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids, decoded as a stream."""
+        return self.streams.text(ids)
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -297,7 +337,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", to: str
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(path, pattern)
         for t in texts:
-            yield pd.Series([np.array(c.encode(x), dtype=np.int32) for x in t], dtype="object")
+            yield pd.Series([c.encode_array(x) for x in t], dtype="object")
 
     return docs.withColumn(to, ids(text))
 
@@ -309,7 +349,7 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", to: str =
     def texts(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(path, pattern)
         for s in series:
-            yield pd.Series([None if x is None else "".join(c.decode_stream(x)) for x in s], dtype="object")
+            yield pd.Series([None if x is None else c.decode(x.tolist()) for x in s], dtype="object")
 
     return docs.withColumn(to, texts(ids))
 
@@ -327,8 +367,8 @@ def encode_and_check(docs: DataFrame, path: str, pattern: str, rows: int = 200)
         for batch in batches:
             for at in range(0, len(batch), rows):
                 part = batch.iloc[at : at + rows]
-                ids = [np.array(c.encode(t), dtype=np.int32) for t in part["text"]]
-                same = ["".join(c.decode_stream(i.tolist())) == (t or "") for i, t in zip(ids, part["text"], strict=True)]
+                ids = [c.encode_array(t) for t in part["text"]]
+                same = [c.decode(i.tolist()) == (t or "") for i, t in zip(ids, part["text"], strict=True)]
                 yield part.assign(n_tokens=[len(i) for i in ids], ids=ids, round_trip=same)
 
     kinds = ", ".join(f"`{n}` {k}" for n, k in docs.dtypes)
@@ -348,17 +388,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for t in texts:
             out = []
             for x in t:
-                ids = c.encode(x)
-                raw = c.decode_bytes(ids)
-                out.append((len(ids), hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), _valid(raw)))
+                ids = c.encode_array(x).tolist()
+                decoded = c.decode(ids)
+                out.append((len(ids), hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), decoded == (x or "")))
             yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256", "valid_utf8"])
 
     return docs.select("doc_id", digests("text").alias("d")).select("doc_id", "d.*")
-
-
-def _valid(raw: bytes) -> bool:
-    try:
-        raw.decode()
-    except UnicodeDecodeError:
-        return False
-    return True

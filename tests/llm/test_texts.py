@@ -50,6 +50,22 @@ def test_utf8_machine(raw, step):
     assert "".join(m.feed(raw[i : i + step]) for i in range(0, len(raw), step)) + m.end() == raw.decode("utf-8", "replace")
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 255) | st.integers(256, 50255), max_size=30))
+def test_streams_of_any_ids(codec, ids):
+    raw = b"".join(codec.transducer.bytes_of[i] for i in ids)
+    assert codec.decode(ids) == "".join(codec.decode_stream(ids)) == raw.decode("utf-8", "replace")
+
+
+def test_decoding_runs_the_utf8_machine(codec, monkeypatch):
+    fed = []
+    feed = bpe.Utf8.feed
+    monkeypatch.setattr(bpe.Utf8, "feed", lambda self, raw: fed.append(raw) or feed(self, raw))
+    streams = bpe.Streams(codec.transducer.bytes_of)
+    ids = codec.encode("plain 漢字 🙂")
+    assert {codec.transducer.bytes_of[i] for i in ids} <= set(fed) and streams.text(ids) == "plain 漢字 🙂"
+
+
 def test_few_states_kept(codec, library, monkeypatch):
     monkeypatch.setattr(bpe, "MAX_STATES", 3)
     monkeypatch.setattr(bpe, "MAX_MATCHES", 3)
