@@ -209,11 +209,31 @@ def vectors():
     return out
 
 
-@pytest.mark.parametrize("block", [2000, 3])
-def test_cross_polytope_equals_brute_force(spark, block, monkeypatch):
+@pytest.mark.parametrize("small", [64, 1])
+def test_close_pairs_in_groups(small, monkeypatch):
+    monkeypatch.setattr(cross_polytope, "SMALL", small)
+    rng = np.random.default_rng(2)
+    x = cross_polytope._unit(np.repeat(rng.normal(size=(20, 8)), 5, axis=0) + rng.normal(size=(100, 8)) * 0.2)
+    group = np.sort(rng.integers(0, 9, 100))
+    a, b = cross_polytope._close(x, group, 0.9)
+    want = {(i, j) for i in range(100) for j in range(i + 1, 100) if group[i] == group[j] and x[i] @ x[j] >= 0.9}
+    assert len(want) > 20 and set(zip(a.tolist(), b.tolist(), strict=True)) == want
+
+
+def test_cross_polytope_misses_few():
+    rng = np.random.default_rng(3)
+    a = cross_polytope._unit(rng.normal(size=(4000, 64)))
+    b = rng.normal(size=(4000, 64))
+    b = cross_polytope._unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    x, y = cross_polytope.keys(a), cross_polytope.keys(0.98 * a + np.sqrt(1 - 0.98**2) * b)
+    assert (x[:, :, :, None] == y[:, :, None, :]).any(axis=(1, 2, 3)).mean() > 0.999
+
+
+@pytest.mark.parametrize(("block", "kind"), [(2000, "float"), (3, "double")])
+def test_cross_polytope_equals_brute_force(spark, block, kind, monkeypatch):
     monkeypatch.setattr(cross_polytope, "BLOCK", block)
     data = vectors()
-    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").selectExpr("*", "'x' AS rep", "'y' AS key", "'z' AS weight")
+    df = spark.createDataFrame(data, f"vec_id long, embedding array<{kind}>, label int").selectExpr("*", "'x' AS rep", "'y' AS key", "'z' AS weight")
     out = cross_polytope.near_duplicates(df).toPandas()
     assert len(out) == len(data)
     ok = {i: np.array(v, dtype=np.float64) for i, v, lab in data if i is not None and v and lab is not None and None not in v and np.isfinite(v).all() and any(v)}
