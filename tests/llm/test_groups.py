@@ -1,6 +1,7 @@
 """Near duplicates, passages, mixing, shards, vectors and the pipeline, against brute force."""
 
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -116,6 +117,36 @@ def test_passages_find_every_exact_repeat(spark, empty):
     assert 60 not in kept and kept[0] == data[0][1] and not any(shared[0] in kept[i] and i > min(j for j in kept if shared[0] in kept[j]) for i in kept)
 
 
+@pytest.mark.parametrize("n_words", [50, 60, 80, 200])
+def test_changed_passages_are_found(spark, n_words):
+    """Of passages with changed words, at a similarity of 0.8 or more by brute force, nine of ten are reported or more."""
+    rng = random.Random(n_words)
+    data, alike = [], []
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for i in range(150):
+        own = prose(rng, n_words).split()
+        changed = list(own)
+        for at in rng.sample(range(n_words), rng.randint(1, 1 + n_words // 60)):
+            changed[at : at + 1] = rng.choice(([prose(rng, 1)], [], [own[at], prose(rng, 1)]))
+        a, b = shingles(own), shingles(changed)
+        if len(changed) >= 50 and len(a & b) >= 0.8 * len(a | b):
+            alike.append(2 * i + 1)
+        data += [(2 * i + k, " ".join((prose(rng, 60), " ".join(x), prose(rng, 60)))) for k, x in enumerate((own, changed))]
+    out = passages.repeated_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    got = {r.doc_id for r in out if r.first_doc_id == r.doc_id - 1 and r.word_from < 60 + n_words and r.word_to > 60}
+    print(n_words, len(alike), len(got & set(alike)))
+    assert len(alike) > 60 and len(got & set(alike)) >= 0.9 * len(alike)
+    assert all(r.doc_id % 2 for r in out)
+
+
+def test_windows_of_one_word_repeated():
+    began = time.process_time()
+    w = passages.compact_windows(np.zeros(500_000, dtype=np.uint64))
+    assert len(w) == 500_000 - passages.WINDOW + 1 and (w[:, 2] == 499_999).all() and time.process_time() - began < 5
+    cycle = passages.compact_windows(np.tile(np.arange(100, dtype=np.uint64), 3000))
+    assert time.process_time() - began < 10 and len(cycle) < 300_000
+
+
 def test_cut_keeps_the_rest():
     assert passages._cut("a b\nc  d e", [(1, 3)]) == "a  d e" and passages._cut(" a b", [(0, 2)]) == ""
 
