@@ -28,10 +28,15 @@ def word_count(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for shared intermediate tables; a temporary one where it names none (local runs)."""
+    """The folder the cluster names for shared intermediate tables; where a local session names none, a temporary one.
+
+    A cluster without such a folder is an error: its executors would each write to their own disks.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="quaestor-"))
     return _own_folder[0]
@@ -40,10 +45,18 @@ def shared_folder(spark: SparkSession) -> str:
 def store(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends here, and the work is done once."""
     path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(stored: DataFrame) -> None:
+    """Deletes a table of store() that nothing reads any more."""
+    spark = stored.sparkSession
+    for folder in {file.rsplit("/", 1)[0] for file in stored.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_offsets(df: DataFrame, key: str, order: list[str], size: str, chunks: int = 1024) -> DataFrame:
     """Adds `start`: the sum of `size` over the rows that stand before this one under its (non-null) `key`.
 
@@ -73,7 +86,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        e = store(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, e = e, store(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        drop(before)
         state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
             break
