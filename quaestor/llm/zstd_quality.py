@@ -10,14 +10,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop, store
+
 #: At most so many labelled rows of each class are learnt from: a bound of the model, whatever the table's size.
 SAMPLE_PER_CLASS = 3000
 #: Bytes of one dictionary.
 DICT_BYTES = 64 * 1024
 #: A text is compressed in pieces of so many bytes, all of them: the dictionary then counts alike everywhere in it.
 PIECE = 1024
-#: A sampled row longer than so many pieces is learnt from by so many pieces, evenly spread over all of it.
-SAMPLE_PIECES = 16
+#: A dictionary is made from at most so many pieces of its class's sampled rows, those with the smallest hashes.
+SAMPLE_PIECES = 6000
 
 
 def _pieces(text: str | None) -> list[bytes]:
@@ -49,8 +51,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * difference + self.shift, -30, 30)))
 
 
-def _dictionary(texts: list[str]) -> bytes:
-    pieces = [p for t in texts for p in _pieces(t) if len(p) >= 8]
+def _dictionary(pieces: list[bytes]) -> bytes:
+    pieces = [p for p in pieces if len(p) >= 8]
     try:
         return zstandard.train_dictionary(DICT_BYTES, pieces, level=1).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few samples to train from: the raw text is a dictionary of its own
@@ -75,25 +77,19 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(b[0] / scale), float(b[1])
 
 
-def fit(rows: pd.DataFrame) -> Model:
-    """A model from rows (fold, text, quality): even folds make the dictionaries, odd ones set the curve."""
-    rows = pd.DataFrame({"fold": rows["fold"].astype("int64") % 2, "text": rows["text"], "quality": rows["quality"].astype("int64")})
-    learn, tune = rows[rows.fold == 0], rows[rows.fold == 1]
-    model = Model(*(_dictionary(learn.text[learn.quality == q].tolist()) for q in (1, 0)), 0.0, 0.0)
-    model.slope, model.shift = _logistic(np.array([model.difference(t) for t in tune.text]), tune.quality.to_numpy())
-    return model
-
-
 def held_out(doc_id):
     """The rows that no label is learnt from: crc32 of the id as text leaves 1 when divided by 3 (null: false)."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
-    """Fits on at most `per_class` labelled documents of each class that are not held out.
+def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, pieces: int = SAMPLE_PIECES) -> Model:
+    """Fits on at most `per_class` labelled documents of each class that are not held out, on the whole of their texts.
 
     The rows are those whose hashed ids are smallest. Their ids, at most 2 * per_class, are broadcast to the scan of
-    the documents, so that no text is shuffled; labels that are neither 0 nor 1 and null ids are left out.
+    the documents, so that no text but theirs moves; labels that are neither 0 nor 1 and null ids are left out. Rows of
+    even hash make the dictionaries: their texts are cut to pieces on the executors, and at most `pieces` of all of
+    these, by hash, come to the driver for each class. The others set the curve: they are compressed on the executors,
+    and a number for each comes back. So the driver's share is bounded, however long the texts.
     """
     rank = F.xxhash64("doc_id", "quality")
     usable = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).dropDuplicates()
@@ -101,28 +97,43 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     for q in (0, 1):
         some = usable.where(F.col("quality") == q).withColumn("rank", rank).orderBy("rank", "doc_id").limit(per_class)
         chosen = some if chosen is None else chosen.unionAll(some)
-    far = F.length("text") / F.lit(SAMPLE_PIECES)
-    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_PIECES - 1)), lambda i: F.col("text").substr((i * far + 1).cast("int"), F.lit(PIECE))), "")
-    learnt = F.when(F.length("text") > PIECE * SAMPLE_PIECES, spread).otherwise(F.col("text"))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("rank", "doc_id", "quality", learnt.alias("text"))
-    rows = texts.toPandas().sort_values(["rank", "doc_id", "text"], kind="stable").drop_duplicates(["rank", "doc_id", "quality"])
-    rows["fold"] = (rows["rank"] // 7) % 2
-    return fit(rows)
-
+    fold = F.pmod(F.xxhash64("rank"), F.lit(2)).alias("fold")
+    texts = store(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text", fold), "labelled")
+
+    @F.pandas_udf("array<binary>")
+    def cut(series: pd.Series) -> pd.Series:
+        return series.map(_pieces)
+
+    learnt = texts.where("fold = 0").select("doc_id", "quality", F.posexplode(cut("text")).alias("at", "piece"))
+    order = [F.xxhash64("doc_id", "at", "piece"), "doc_id", "at", "piece"]
+    made = []
+    for q in (1, 0):
+        best = learnt.where(F.col("quality") == q).orderBy(*order).limit(pieces).orderBy("doc_id", "at", "piece")
+        made.append(_dictionary([bytes(r.piece) for r in best.select("piece").collect()]))
+    model = Model(*made, 0.0, 0.0)
+    tuned = differences(texts.where("fold = 1"), model).select("size_difference", "quality").orderBy("size_difference", "quality").toPandas()
+    drop(texts)
+    model.slope, model.shift = _logistic(tuned["size_difference"].to_numpy(), tuned["quality"].to_numpy())
+    return model
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with size_difference, score (0 to 1, higher: likelier good) and predicted (1 if score >= 0.5).
 
-    Any text gets a score, null and empty ones that of a difference of 0. Columns of these names are replaced.
-    """
+def differences(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with size_difference; a column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("size_difference", "score", "predicted")
 
     @F.pandas_udf("double")
     def difference(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in texts:
             yield pd.Series([shared.value.difference(x) for x in t], dtype="float64")
 
-    scored = docs.withColumn("size_difference", difference("text"))
+    return docs.withColumn("size_difference", difference("text"))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with size_difference, score (0 to 1, higher: likelier good) and predicted (1 if score >= 0.5).
+
+    Any text gets a score, null and empty ones that of a difference of 0. Columns of these names are replaced.
+    """
+    scored = differences(docs.drop("score", "predicted"), model)
     curve = 1 / (1 + F.exp(-(F.lit(float(model.slope)) * F.col("size_difference") + F.lit(float(model.shift)))))
     return scored.withColumn("score", curve).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int"))
