@@ -57,13 +57,18 @@ def drop(stored: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def with_offsets(df: DataFrame, key: str, order: list[str], size: str, chunks: int = 1024) -> DataFrame:
+#: Rows of a chunk in with_offsets, about.
+CHUNK_ROWS = 50_000
+
+
+def with_offsets(df: DataFrame, key: str, order: list[str], size: str, rows: int) -> DataFrame:
     """Adds `start`: the sum of `size` over the rows that stand before this one under its (non-null) `key`.
 
     The order under a key is by a hash chunk of the first `order` column and then by `order`. Each chunk is summed
     by itself and moved by the sum of the chunks before it, so that a key with a third of all rows is spread over
-    `chunks` groups.
+    many groups: as many as `rows`, the number of df's rows, asks for.
     """
+    chunks = max(64, rows // CHUNK_ROWS)
     df = df.withColumn("_chunk", F.pmod(F.xxhash64(order[0]), F.lit(chunks)).cast("int"))
     before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     moved = df.groupBy(key, "_chunk").agg(F.sum(size).alias("_sum")).select(key, "_chunk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_moved"))

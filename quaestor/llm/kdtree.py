@@ -12,17 +12,22 @@ from .common import store, with_offsets
 HEAVY = 32
 #: A median is found in two passes over histograms of so many bins for each node; 2 ** 20 places in all.
 BINS = 1024
+#: Length, language, source.
+DIMENSIONS = ["d0", "d1", "d2"]
 
 
 def _dimensions(docs: DataFrame) -> DataFrame:
     """A row for each different text: its digest, weight (bytes and 1 for each row), and its metadata as numbers from 0 to 1.
 
-    Length on a log scale; language, source and the text's own checksum by hash. A group takes the least language and
-    source of its rows. A null text is a group of its own.
+    Length on a log scale between the shortest and the longest; language and source by hash. A group takes the least
+    language and source of its rows. A null text is a group of its own.
     """
     unit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 30)) / float(1 << 30)
     groups = docs.groupBy("digest").agg(F.sum("size").alias("weight"), F.count("*").alias("n_rows"), F.min("size").alias("size"), F.min("lang").alias("lang"), F.min("source").alias("source"))
-    return groups.select("digest", "weight", "n_rows", F.least(F.lit(1.0), F.log2(F.col("size") + 1.0) / 40).alias("d0"), unit("lang").alias("d1"), unit("source").alias("d2"), unit("digest").alias("d3"))
+    sizes = docs.agg(F.min("size"), F.max("size")).first()
+    low, high = (float(x or 1) for x in sizes)
+    length = (F.log2("size") - F.log2(F.lit(low))) / F.log2(F.lit(high / low)) if high > low else F.lit(0.0)
+    return groups.select("digest", "weight", "n_rows", length.alias("d0"), unit("lang").alias("d1"), unit("source").alias("d2"))
 
 
 def _widest(nodes: DataFrame, dims: list[str]) -> DataFrame:
@@ -91,8 +96,8 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text") -> DataFrame:
     for level in range(levels):
         room = lambda node, depth: sum(max(0.0, target - x) for i, x in enumerate(load) if i >> (levels - depth) == node)
         share = {n: room(2 * n, level + 1) / (room(n, level) or 1.0) for n in range(1 << level)}
-        light = store(_split(light, ["d0", "d1", "d2", "d3"], share), "nodes")
+        light = store(_split(light, DIMENSIONS, share), "nodes")
     dealt = light.select("digest", "node").unionAll(own).withColumnRenamed("node", "shard")
     out = rows.join(dealt, "digest").withColumn("one", F.lit(1))
-    out = with_offsets(out, "shard", ["doc_id", "digest"], "one")
+    out = with_offsets(out, "shard", ["doc_id", "digest"], "one", rows.count())
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("start").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -65,7 +65,7 @@ def plan(sources: DataFrame, seed: int = 17, shard: int = SHARD) -> DataFrame:
 
     Each place of a shard draws a source by its part of all slots, which gives the shard multinomial counts. Summed
     over shards these miss what each source should have by chance; draws beyond a source's slots, the last ones, go to
-    the sources that fell short, in order. A slot's epoch and index then give its block through the source's
+    the sources that fell short, in order of shards' hashed chunks. A slot's epoch and index then give its block through the source's
     permutation of that epoch, so a block comes as often as there are whole epochs, or once more.
     """
     spark = sources.sparkSession
@@ -73,8 +73,8 @@ def plan(sources: DataFrame, seed: int = 17, shard: int = SHARD) -> DataFrame:
     places = spark.range(total).select(F.floor(F.col("id") / shard).alias("shard"), F.pmod(draw("slot", F.lit(seed), F.col("id")), F.lit(max(1, total))).alias("u"))
     counts = _within(places, "u", sources, "low", "high", total).groupBy("shard", "src").agg(F.count("*").alias("n"), F.first("slots").alias("slots"))
     counts = store(counts, "draws")
-    before = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("keep", F.greatest(F.lit(0), F.least(F.col("n"), F.col("slots") - F.col("from"))))
+    n_counts = counts.count()
+    counts = with_offsets(counts, "src", ["shard"], "n", n_counts).withColumnRenamed("start", "from").withColumn("keep", F.greatest(F.lit(0), F.least(F.col("n"), F.col("slots") - F.col("from"))))
     # draws to hand on and to hand out, as numbers in one line for all sources
     drawn = sources.join(counts.groupBy("src").agg(F.sum("n").alias("drawn")), "src", "left").withColumn("over", F.coalesce("drawn", F.lit(0)) - F.col("slots"))
     line = Window.orderBy("src").rowsBetween(Window.unboundedPreceding, -1)
@@ -88,7 +88,7 @@ def plan(sources: DataFrame, seed: int = 17, shard: int = SHARD) -> DataFrame:
     short = drawn.where("short > 0").select("src", "short_low", (F.col("short_low") + F.col("short")).alias("short_high"))
     extra = _within(extra, "u", short, "short_low", "short_high", moved).groupBy("shard", "src").agg(F.count("*").alias("n"))
     settled = counts.select("shard", "src", F.col("keep").alias("n")).unionAll(extra).groupBy("shard", "src").agg(F.sum("n").alias("n")).where("n > 0")
-    settled = settled.withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    settled = with_offsets(settled, "src", ["shard"], "n", n_counts).withColumnRenamed("start", "from")
     # the draws are few and small; what they stand for is work for many tasks
     settled = settled.join(sources.select("src", "blocks"), "src").repartition(max(spark.sparkContext.defaultParallelism, min(20_000, total // 25_000)), "shard", "src")
     slots = settled.select("shard", "src", "blocks", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)).alias("slot"))
@@ -115,7 +115,7 @@ def taken(docs: DataFrame, seed: int = 17, block: int = BLOCK, shard: int = SHAR
     sources = store(targets(sizes, block), "sources")
     times = plan(sources, seed, shard).groupBy("src", "block").agg(F.count("*").alias("times"))
     rows = sizes.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("doc_id", "size", "src", "source_size", "target")
-    placed = store(with_offsets(rows, "src", ["doc_id", "size"], "size"), "places")
+    placed = store(with_offsets(rows, "src", ["doc_id", "size"], "size", sizes.count()), "places")
     part = _pieces(placed, block).join(times, ["src", "block"]).groupBy("src", "start", "size", "doc_id").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     same = (F.col("p.size") > 0) & (F.col("p.src") == F.col("t.src")) & (F.col("p.start") == F.col("t.start"))
     return placed.alias("p").join(part.alias("t"), same, "left").select("p.doc_id", "p.size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
@@ -132,7 +132,7 @@ def mixed_texts(docs: DataFrame, seed: int = 17, block: int = BLOCK, shard: int
     sources = store(targets(sized.select("source", "size"), block), "sources")
     times = plan(sources, seed, shard).groupBy("src", "block").agg(F.count("*").cast("int").alias("times"))
     keyed = sized.join(sources.select(F.col("source").alias("_source"), "src"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    placed = store(with_offsets(keyed, "src", ["doc_id", "size"], "size").where("size > 0"), "placed")
+    placed = store(with_offsets(keyed, "src", ["doc_id", "size"], "size", docs.count()).where("size > 0"), "placed")
     part = _pieces(placed.select("src", "start", "size"), block).join(times, ["src", "block"])
     part = part.groupBy("src", "start").agg(F.sort_array(F.collect_list(F.struct("first", "words", "times"))).alias("parts"))
     # units before the explode: so they are found once for a row, not once for each part

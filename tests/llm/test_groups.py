@@ -227,6 +227,32 @@ def test_shards_are_even(spark):
     assert out[out.doc_id >= 5000].shard.nunique() == 1
 
 
+def test_shards_follow_the_tree(spark):
+    """The tree by hand: each node's halves lie apart on its widest dimension, but for one bin, and weigh what is asked."""
+    rng = random.Random(6)
+    data = [(i, "x" * int(2 ** rng.uniform(0, 11)), rng.choice(["en", "fr", "de", None]), rng.choice("abcdefgh")) for i in range(3000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    from pyspark.sql import functions as F
+
+    rows = df.selectExpr("doc_id", "lang", "source", "sha2(concat(binary('1'), binary(text)), 256) AS digest", "octet_length(text) + 1L AS size")
+    points = kdtree._dimensions(rows).toPandas().set_index("digest")
+    dealt = kdtree.shard(df, 8).select("doc_id", "shard").join(rows.select("doc_id", "digest"), "doc_id").select("digest", F.col("shard").alias("to")).distinct().toPandas().set_index("digest")["to"]
+    assert dealt.index.is_unique and points.d0.min() == 0 and points.d0.max() == 1
+    points["to"] = dealt
+    points = points[points.weight * 8 * kdtree.HEAVY <= points.weight.sum()]
+    used = set()
+    for depth in range(3):
+        for node, part in points.groupby(points.to // (8 >> depth)):
+            width = part[kdtree.DIMENSIONS].max() - part[kdtree.DIMENSIONS].min()
+            d = width.idxmax()
+            used.add(d)
+            right = part.to // (8 >> depth + 1) % 2 == 1
+            bins = np.minimum(np.floor((part[d] - part[d].min()) / width[d] * kdtree.BINS), kdtree.BINS - 1)
+            assert bins[~right].max() <= bins[right].min(), (depth, node, d)
+            assert abs(part.weight[right].sum() / part.weight.sum() - 0.5) < 0.02
+    assert "d0" in used and len(used) > 1
+
+
 def vectors():
     rng = np.random.default_rng(5)
     out, i = [], 0
