@@ -180,6 +180,7 @@ def _with_middle(out: DataFrame, m: DataFrame, key: str) -> DataFrame:
     same = F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}"))
     far = F.abs(F.col("chars_per_token") - F.col(median)) / _shaky()
     spread = told.alias("a").join(middle.alias("b"), same).groupBy(f"b.{key}", median, texts).agg(F.percentile_approx(far, 0.5, 10_000).alias(deviation))
+    spread = store(spread, "middles")  # a row for each key: Spark broadcasts it if its measured size allows
     return out.alias("a").join(spread.alias("b"), same, "left").select("a.*", median, texts, deviation)
 
 
