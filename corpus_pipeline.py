@@ -10,20 +10,10 @@ from quaestor.llm import bpe, minhash, mixing, passages, zstd_quality
 from quaestor.llm.common import documents, store
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Rows of a batch that goes to a Python worker; texts are long.
-BATCH_ROWS = 1000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Sets the session's batches to BATCH_ROWS at most, so that workers and executors hold few texts at once."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the compression classifier predicts to be good."""
-    small_batches(spark)
     model = zstd_quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return zstd_quality.score(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
 
@@ -31,17 +21,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near duplicates (shingles of five words, 0.8).
 
-    Of rows with one id one stays; rows without an id are in no group and stay.
+    Of rows with one id the one with the greatest text stays; rows without an id are in no group and stay.
     """
-    small_batches(spark)
     kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.select(*COLUMNS).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
-    return named.select(*COLUMNS).unionAll(docs.select(*COLUMNS).where("doc_id IS NULL"))
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    named = docs.select(*COLUMNS).where("doc_id IS NOT NULL").join(kept.hint("merge"), "doc_id", "left_semi")
+    single = named.groupBy("doc_id").agg(F.max(F.struct(*rest)).alias("row")).select("doc_id", "row.*")
+    return single.select(*COLUMNS).unionAll(docs.select(*COLUMNS).where("doc_id IS NULL"))
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that an earlier document has too; a document that loses all of its words goes."""
-    small_batches(spark)
     return passages.without_repeats(docs.select(*COLUMNS))
 
 
@@ -52,7 +42,6 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row's token ids, their number, and whether they decode to the text."""
-    small_batches(spark)
     out = bpe.encode_and_check(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.drop("text")
 
