@@ -97,18 +97,18 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
     for q in (0, 1):
         some = usable.where(F.col("quality") == q).withColumn("rank", rank).orderBy("rank", "doc_id").limit(per_class)
         chosen = some if chosen is None else chosen.unionAll(some)
-    fold = F.pmod(F.xxhash64("rank"), F.lit(2)).alias("fold")
-    texts = store(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text", fold), "labelled")
+    fold = F.pmod(F.floor(F.col("rank").cast("decimal(38,0)") / 7), F.lit(2)).cast("int").alias("fold")
+    texts = store(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("rank", "doc_id", "quality", "text", fold), "labelled")
 
     @F.pandas_udf("array<binary>")
     def cut(series: pd.Series) -> pd.Series:
         return series.map(_pieces)
 
-    learnt = texts.where("fold = 0").select("doc_id", "quality", F.posexplode(cut("text")).alias("at", "piece"))
+    learnt = texts.where("fold = 0").select("rank", "doc_id", "quality", F.posexplode(cut("text")).alias("at", "piece"))
     order = [F.xxhash64("doc_id", "at", "piece"), "doc_id", "at", "piece"]
     made = []
     for q in (1, 0):
-        best = learnt.where(F.col("quality") == q).orderBy(*order).limit(pieces).orderBy("doc_id", "at", "piece")
+        best = learnt.where(F.col("quality") == q).orderBy(*order).limit(pieces).orderBy("rank", "doc_id", "at", "piece")
         made.append(_dictionary([bytes(r.piece) for r in best.select("piece").collect()]))
     model = Model(*made, 0.0, 0.0)
     tuned = differences(texts.where("fold = 1"), model).select("size_difference", "quality").orderBy("size_difference", "quality").toPandas()
