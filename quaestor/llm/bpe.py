@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_parts
+
 #: A worker keeps at most so many sets with transitions, beyond which it starts anew, and so many encoded matches, of
 #: which those go that were not met lately.
 MAX_STATES, MAX_MATCHES = 200_000, 600_000
@@ -372,7 +374,7 @@ def encode_and_check(docs: DataFrame, path: str, pattern: str, rows: int = 200)
                 yield part.assign(n_tokens=[len(i) for i in ids], ids=ids, round_trip=same)
 
     kinds = ", ".join(f"`{n}` {k}" for n, k in docs.dtypes)
-    return docs.mapInPandas(run, f"{kinds}, n_tokens long, ids array<int>, round_trip boolean")
+    return map_parts(docs, run, f"{kinds}, n_tokens long, ids array<int>, round_trip boolean")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:

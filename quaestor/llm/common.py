@@ -4,13 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows that a worker turns into Python objects at once; texts are long.
+ROWS_AT_ONCE = 1000
+
 _own_folder: list[str] = []
 
 
@@ -23,6 +31,22 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def map_parts(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """As mapInPandas, but in parts of a batch, whatever size the session's batches have."""
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), ROWS_AT_ONCE):
+                yield batch.slice(at, ROWS_AT_ONCE).to_pandas(integer_object_nulls=True)
+
+    def all_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in run(parts(batches)):
+            yield pa.RecordBatch.from_pandas(frame, schema=out, preserve_index=False)
+
+    return df.mapInArrow(all_parts, schema)
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -50,11 +74,15 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop(stored: DataFrame) -> None:
-    """Deletes a table of store() that nothing reads any more."""
+    """Deletes a table of store() that nothing reads any more, and lets Spark's cleaner take the shuffle files of finished plans.
+
+    The cleaner deletes those of plans that the driver's collector has found dead; left alone, that may be half an hour.
+    """
     spark = stored.sparkSession
     for folder in {file.rsplit("/", 1)[0] for file in stored.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.System.gc()
 
 
 #: Rows of a chunk in with_offsets, about.

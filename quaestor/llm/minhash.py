@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, store, words
+from .common import connected_components, map_parts, store, words
 
 #: Bands of ROWS slots each. At a similarity of 0.8 two sets miss each other in all bands with probability 5e-7.
 BANDS, ROWS = 48, 6
@@ -114,7 +114,7 @@ def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
                     out.append((doc_id, 0, 0, 0, None, None))
             yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "d1", "d2", "bands", "slots"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SKETCH)
+    return map_parts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SKETCH)
 
 
 def _across(group: pd.DataFrame) -> pd.DataFrame:
