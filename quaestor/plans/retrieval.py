@@ -110,34 +110,6 @@ def allowed_semi(spark, sf_dir):
     return _bm25(spark, sf_dir).join(allowed, "id", "left_semi").select("query_id", "id", "score")
 
 
-_HITS = f"""WITH {V.CHUNKS}, q AS (SELECT item_id AS query_id, lower(text) AS anchor FROM benchmark), hits AS (SELECT query_id, chunk_id, doc_id, posicion, texto, ticker, fiscal_year, item, n_tokens FROM q JOIN chunks ON chunks.doc_id % 40 = q.query_id % 40),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_tokens DESC, chunk_id) AS rank FROM hits)"""
-
-
-def _ranked_chunks(spark, sf_dir):
-    """A ranking of chunks for each question: by tokens, of documents dealt to it by number."""
-    q = V.questions(spark, sf_dir).withColumn("anchor", F.lower("text")).drop("text").withColumn("part", F.col("query_id") % 40)
-    c = V.chunks(spark, sf_dir).withColumn("part", F.col("doc_id") % 40)
-    w = Window.partitionBy("query_id").orderBy(F.desc("n_tokens"), "chunk_id")
-    return c.join(q, "part").withColumn("rank", F.row_number().over(w).cast("long"))
-
-
-@query(_HITS + """, p AS (SELECT query_id, chunk_id, rank, regexp_replace(chunk_id, '-[^-]*$', '-0000') AS parent FROM ranked),
-one AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent ORDER BY rank, chunk_id) AS n FROM p), k AS (SELECT query_id, parent, chunk_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS parent_rank FROM one WHERE n = 1) SELECT * FROM k WHERE parent_rank <= 3""")
-def parent_expand(spark, sf_dir):
-    """The best chunk of each section, three sections."""
-    hits = _ranked_chunks(spark, sf_dir).select("query_id", F.col("chunk_id").alias("id"), T.parent_id(F.col("chunk_id")).alias("parent"), "rank")
-    out = fusion.best_of_parent(hits, 3)
-    return out.select("query_id", "parent", F.col("id").alias("chunk_id"), "rank", F.col("parent_rank").cast("long").alias("parent_rank"))
-
-
-@query(_HITS + """, b AS (SELECT query_id, regexp_replace(chunk_id, '-[^-]*$', '-0000') AS parent, min(rank) AS rank, count(*) AS n FROM ranked WHERE rank <= 20 GROUP BY ALL) SELECT * FROM b""")
-def best_parent(spark, sf_dir):
-    """Each section's best rank among twenty hits."""
-    r = _ranked_chunks(spark, sf_dir).where("rank <= 20")
-    return r.groupBy("query_id", T.parent_id(F.col("chunk_id")).alias("parent")).agg(F.min("rank").alias("rank"), F.count("*").alias("n"))
-
-
 @query("""SELECT b.item_id AS query_id, coalesce(c.text, b.text) AS query, c.text IS NOT NULL AS rewritten FROM benchmark b LEFT JOIN conversations c ON c.conv_id = b.item_id AND c.turn = 0 AND c.role = 'user'""")
 def rewrite_fallback(spark, sf_dir):
     """The recorded rewrite, or the question itself."""
@@ -145,41 +117,6 @@ def rewrite_fallback(spark, sf_dir):
     return V.questions(spark, sf_dir).join(c, "query_id", "left").select("query_id", F.coalesce("rewrite", "text").alias("query"), F.col("rewrite").isNotNull().alias("rewritten"))
 
 
-_RENDER = _HITS + r""", lines AS (SELECT query_id, rank, printf('[%s] %s FY%d Item %s (puntuación %.4f)', chunk_id, ticker, fiscal_year, item, n_tokens / 100::DOUBLE) || chr(10) || texto AS line FROM ranked WHERE rank <= 3),
-texts AS (SELECT query_id, string_agg(line, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS rendered FROM lines GROUP BY 1)"""
-
-
-def _rendered(spark, sf_dir):
-    line = F.concat(F.format_string("[%s] %s FY%d Item %s (puntuación %.4f)", "chunk_id", "ticker", "fiscal_year", "item", F.col("n_tokens") / F.lit(100.0)), F.lit("\n"), "texto")
-    r = _ranked_chunks(spark, sf_dir).where("rank <= 3").select("query_id", F.struct("rank", line.alias("line")).alias("l"))
-    return r.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_list("l"))["line"], "\n\n---\n\n").alias("rendered"))
-
-
-@query(_RENDER + " SELECT query_id, rendered FROM texts")
-def render_hits(spark, sf_dir):
-    """The text that a search tool returns."""
-    return _rendered(spark, sf_dir)
-
-
-@query(_RENDER + r""" SELECT query_id, array_to_string(regexp_extract_all(rendered, '(?m)^\[([A-Z0-9.-]+-\d{4}-[A-Z0-9.-]+-\d{4,})\]\s', 1), ',') AS ids FROM texts""")
-def parse_hit_ids(spark, sf_dir):
-    """The ids back from a rendered text, in order."""
-    return _rendered(spark, sf_dir).select("query_id", F.array_join(T.hit_ids(F.col("rendered")), ",").alias("ids"))
-
-
-@query(_HITS + """ SELECT query_id, chunk_id, ticker, fiscal_year, item, posicion, round(n_tokens / 7::DOUBLE, 4) AS puntuacion FROM ranked WHERE rank <= 5""")
-def hit_projection(spark, sf_dir):
-    """What a hit shows."""
-    return _ranked_chunks(spark, sf_dir).where("rank <= 5").select("query_id", "chunk_id", "ticker", "fiscal_year", "item", "posicion", F.round(F.col("n_tokens") / F.lit(7.0), 4).alias("puntuacion"))
-
-
-@query(_HITS + """ SELECT query_id, count(*) <= 20 AS within_k, count(DISTINCT chunk_id) = count(*) AS unique_ids, bool_and(doc_id % 40 = query_id % 40) AS filter_respected FROM ranked WHERE rank <= 20 GROUP BY 1""")
-def search_contract(spark, sf_dir):
-    """At most k rows, unique ids, filters respected."""
-    r = _ranked_chunks(spark, sf_dir).where("rank <= 20")
-    return r.groupBy("query_id").agg((F.count("*") <= 20).alias("within_k"), (F.count_distinct("chunk_id") == F.count("*")).alias("unique_ids"), F.bool_and(F.col("doc_id") % 40 == F.col("query_id") % 40).alias("filter_respected"))
-
-
 @query(f"""WITH {V.VECTORS} SELECT id, len(vector)::BIGINT AS dimension, len(vector) = 64 AS right_dimension, len(list_filter(vector, lambda x: NOT isfinite(x))) = 0 AS finite, abs(sqrt(list_inner_product(vector::DOUBLE[], vector::DOUBLE[])) - 1) <= 1e-5 AS unit FROM vectors""")
 def vector_checks(spark, sf_dir):
     """Dimension, finite numbers, unit length."""
@@ -194,9 +131,6 @@ def l2_normalize(spark, sf_dir):
     return v.select("id", F.round(F.element_at(N.normalized(F.col("vector")), 1), 6).alias("first_component"), F.round(N.norm(F.col("vector")), 6).alias("length"))
 
 
-# Measures of a search: a question's text is its anchor, found if a hit holds it.
-
-
 @query("""SELECT b.item_id AS query_id, count(d.doc_id) AS n_docs, min(d.doc_id) AS first_doc FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1""")
 def text_contains_join(spark, sf_dir):
     """Documents that hold a question's text, by a run of four of its words as key and then `contains`."""
@@ -219,71 +153,6 @@ def _containing(spark, sf_dir):
     return V.questions(spark, sf_dir).select("query_id").join(found.unionAll(few), "query_id", "left")
 
 
-_TRACE_HITS = _HITS + """, a AS (SELECT item_id AS query_id, text AS anchor FROM benchmark), found AS (SELECT r.query_id, r.rank, contains(r.texto, substring(a.anchor, 1, 12)) AS hit, contains(lower(trim(regexp_replace(r.texto, '\\s+', ' ', 'g'))), lower(substring(a.anchor, 1, 12))) AS loose FROM ranked r JOIN a USING (query_id))"""
-
-
-def _found(spark, sf_dir):
-    start = V.questions(spark, sf_dir).select("query_id", F.substring("text", 1, 12).alias("start"))
-    r = _ranked_chunks(spark, sf_dir).join(start, "query_id")
-    return r.select("query_id", "rank", F.contains("texto", F.col("start")).alias("hit"), F.contains(T.lowered(F.col("texto")), F.lower("start")).alias("loose"))
-
-
-@query(_TRACE_HITS + " SELECT query_id, bool_or(hit AND rank <= 5) AS hit FROM found GROUP BY 1")
-def anchor_recall_trace(spark, sf_dir):
-    """An exact anchor among the first k hits, whatever the document."""
-    return _found(spark, sf_dir).groupBy("query_id").agg(F.bool_or(F.col("hit") & (F.col("rank") <= 5)).alias("hit"))
-
-
-@query(_TRACE_HITS + " SELECT query_id, bool_or(loose AND rank <= 5) AS hit FROM found GROUP BY 1")
-def anchor_recall_isolated(spark, sf_dir):
-    """The anchor in normal form among the first k hits of the question's own documents."""
-    return _found(spark, sf_dir).groupBy("query_id").agg(F.bool_or(F.col("loose") & (F.col("rank") <= 5)).alias("hit"))
-
-
-@query(_TRACE_HITS + " SELECT query_id, min(rank) FILTER (loose) AS first_rank FROM found GROUP BY 1")
-def anchor_rank(spark, sf_dir):
-    """The first hit's rank, null if none."""
-    return _found(spark, sf_dir).groupBy("query_id").agg(F.min(F.when(F.col("loose"), F.col("rank"))).alias("first_rank"))
-
-
-_STUDY = _TRACE_HITS + """, grid AS (SELECT query_id, k, strict, bool_or((CASE WHEN strict THEN hit ELSE loose END) AND rank <= k) AS hit, min(rank) FILTER (CASE WHEN strict THEN hit ELSE loose END) AS first_rank FROM found, (VALUES (1), (5), (20)) ks(k), (VALUES (true), (false)) s(strict) GROUP BY ALL)"""
-
-
-def _grid(spark, sf_dir):
-    """The study's settings (six of them) for each ranked hit, by explode."""
-    f = _found(spark, sf_dir).withColumn("k", F.explode(F.array(*(F.lit(k) for k in (1, 5, 20))))).withColumn("strict", F.explode(F.array(F.lit(True), F.lit(False))))
-    hit = F.when(F.col("strict"), F.col("hit")).otherwise(F.col("loose"))
-    return f.groupBy("query_id", F.col("k").cast("long").alias("k"), "strict").agg(F.bool_or(hit & (F.col("rank") <= F.col("k"))).alias("hit"), F.min(F.when(hit, F.col("rank"))).alias("first_rank"))
-
-
-@query(_STUDY + " SELECT k::BIGINT AS k, strict, count(*) AS n, count(*) FILTER (hit) AS hits, round(avg(hit::INT), 3) AS recall, coalesce(string_agg(query_id::VARCHAR, ', ' ORDER BY query_id) FILTER (NOT hit), '') AS missed FROM grid GROUP BY ALL")
-def recall_study(spark, sf_dir):
-    """Recall by setting, and what was missed."""
-    g = _grid(spark, sf_dir).groupBy("k", "strict")
-    missed = F.array_join(F.sort_array(F.collect_list(F.when(~F.col("hit"), F.col("query_id")))).cast("array<string>"), ", ")
-    return g.agg(F.count("*").alias("n"), F.count(F.when(F.col("hit"), 1)).alias("hits"), F.round(F.avg(F.col("hit").cast("int")), 3).alias("recall"), missed.alias("missed"))
-
-
-@query(_STUDY + " SELECT round(avg(hit::INT), 6) AS recall FROM grid WHERE k = 5 AND NOT strict")
-def recall_at_k(spark, sf_dir):
-    """One number, 0 without questions."""
-    return _grid(spark, sf_dir).where("k = 5 AND NOT strict").agg(F.round(F.coalesce(F.avg(F.col("hit").cast("int")), F.lit(0.0)), 6).alias("recall"))
-
-
-@query(_STUDY + ", p AS (SELECT k, strict, sum(hit::INT)::DOUBLE / count(*) AS pooled FROM grid GROUP BY ALL) SELECT k::BIGINT AS k, strict, round(pooled, 6) AS pooled FROM p ORDER BY pooled DESC, k, strict LIMIT 1")
-def recall_pooled_best(spark, sf_dir):
-    """The best setting, ties by an explicit order."""
-    p = _grid(spark, sf_dir).groupBy("k", "strict").agg(F.round(F.sum(F.col("hit").cast("int")) / F.count("*"), 6).alias("pooled"))
-    return p.orderBy(F.desc("pooled"), "k", "strict").limit(1)
-
-
-@query(_STUDY + " SELECT query_id, max(first_rank) FILTER (strict) AS exact, max(first_rank) FILTER (NOT strict) AS loose FROM grid WHERE k = 20 GROUP BY 1")
-def anchor_rank_pivot(spark, sf_dir):
-    """D13."""
-    g = _grid(spark, sf_dir).where("k = 20").withColumn("setting", F.when(F.col("strict"), "exact").otherwise("loose"))
-    return g.groupBy("query_id").pivot("setting", ["exact", "loose"]).agg(F.max("first_rank"))
-
-
 @query("""WITH a AS (SELECT doc_id, 100 AS start, least(160, n_chars) AS stop FROM documents WHERE n_chars > 100), c AS (SELECT doc_id, unnest(range(0, n_chars, 120)) AS low, n_chars FROM documents)
 SELECT a.doc_id, count(*) AS n_cover, min(low) AS low FROM a JOIN c ON c.doc_id = a.doc_id AND low <= start AND least(low + 200, c.n_chars) >= stop GROUP BY 1""")
 def span_cover_join(spark, sf_dir):

@@ -1,4 +1,4 @@
-"""Search over the whole corpus: each question's hits are the best of all chunks by BM25. No SQL; tests hold them against plain Python."""
+"""Search over the whole corpus: each question's hits are the best of all chunks by BM25. The study of retrievers has no SQL; tests hold all of it against plain Python."""
 
 from __future__ import annotations
 
@@ -16,6 +16,13 @@ K = 20
 CANDIDATES = 50
 
 
+_SCORED = f"WITH {V.CHUNKS}, {V.bm25_sql('chunks', 'chunk_id', 'texto')}"
+_RANK = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank"
+_HITS = f"""{_SCORED}, best AS (SELECT query_id, id, score, {_RANK} FROM bm25 QUALIFY rank <= {K}), hits AS (SELECT b.query_id, b.score, b.rank, c.*, regexp_replace(c.chunk_id, '-[^-]*$', '-0000') AS parent FROM best b JOIN chunks c ON c.chunk_id = b.id)"""
+#: A score, which has 6 decimals, to 4, half up as Spark rounds.
+_SCORE4 = "floor(score * 10000 + 0.50001) / 10000"
+
+
 def hits(spark, sf_dir, k=K, **wanted):
     """The k best chunks of each question, with their columns, score and rank; weights are those of all chunks, filters come before k."""
     c = V.chunks(spark, sf_dir)
@@ -26,46 +33,50 @@ def hits(spark, sf_dir, k=K, **wanted):
     return best.join(c, "chunk_id")
 
 
-@query()
-def searched_parent_expand(spark, sf_dir):
+@query(_HITS + """, one AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent ORDER BY rank, chunk_id) AS n FROM hits), k AS (SELECT query_id, parent, chunk_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS parent_rank FROM one WHERE n = 1) SELECT * FROM k WHERE parent_rank <= 3""")
+def parent_expand(spark, sf_dir):
     """The best chunk of each section, three sections, of the chunks found."""
     h = hits(spark, sf_dir).select("query_id", F.col("chunk_id").alias("id"), T.parent_id(F.col("chunk_id")).alias("parent"), "rank")
     out = fusion.best_of_parent(h, 3)
     return out.select("query_id", "parent", F.col("id").alias("chunk_id"), "rank", F.col("parent_rank").cast("long").alias("parent_rank"))
 
 
-@query()
-def searched_best_parent(spark, sf_dir):
+@query(_HITS + " SELECT query_id, parent, min(rank) AS rank, count(*) AS n FROM hits GROUP BY ALL")
+def best_parent(spark, sf_dir):
     """Each section's best rank among twenty hits."""
     return hits(spark, sf_dir).groupBy("query_id", T.parent_id(F.col("chunk_id")).alias("parent")).agg(F.min("rank").alias("rank"), F.count("*").alias("n"))
 
 
+_RENDER = _HITS + rf""", lines AS (SELECT query_id, rank, printf('[%s] %s FY%d Item %s (puntuación %.4f)', chunk_id, ticker, fiscal_year, item, {_SCORE4}) || chr(10) || texto AS line FROM hits WHERE rank <= 3),
+texts AS (SELECT query_id, string_agg(line, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS rendered FROM lines GROUP BY 1)"""
+
+
 def _rendered(spark, sf_dir):
     line = F.concat(F.format_string("[%s] %s FY%d Item %s (puntuación %.4f)", "chunk_id", "ticker", "fiscal_year", "item", "score"), F.lit("\n"), "texto")
     h = hits(spark, sf_dir, 3).select("query_id", F.struct("rank", line.alias("line")).alias("l"))
     return h.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_list("l"))["line"], "\n\n---\n\n").alias("rendered"))
 
 
-@query()
-def searched_render_hits(spark, sf_dir):
+@query(_RENDER + " SELECT query_id, rendered FROM texts")
+def render_hits(spark, sf_dir):
     """The text that a search tool returns."""
     return _rendered(spark, sf_dir)
 
 
-@query()
-def searched_parse_hit_ids(spark, sf_dir):
+@query(_RENDER + r""" SELECT query_id, array_to_string(regexp_extract_all(rendered, '(?m)^\[([A-Z0-9.-]+-\d{4}-[A-Z0-9.-]+-\d{4,})\]\s', 1), ',') AS ids FROM texts""")
+def parse_hit_ids(spark, sf_dir):
     """The ids back from a rendered text, in order."""
     return _rendered(spark, sf_dir).select("query_id", F.array_join(T.hit_ids(F.col("rendered")), ",").alias("ids"))
 
 
-@query()
-def searched_hit_projection(spark, sf_dir):
+@query(_HITS + f" SELECT query_id, chunk_id, ticker, fiscal_year, item, posicion, {_SCORE4} AS puntuacion FROM hits WHERE rank <= 5")
+def hit_projection(spark, sf_dir):
     """What a hit shows."""
     return hits(spark, sf_dir, 5).select("query_id", "chunk_id", "ticker", "fiscal_year", "item", "posicion", F.round("score", 4).alias("puntuacion"))
 
 
-@query()
-def searched_contract(spark, sf_dir):
+@query(_SCORED + f", best AS (SELECT query_id, id, fiscal_year, {_RANK} FROM bm25 JOIN chunks ON chunk_id = id WHERE fiscal_year = 2024 QUALIFY rank <= {K}) SELECT query_id, count(*) <= {K} AS within_k, count(DISTINCT id) = count(*) AS unique_ids, bool_and(fiscal_year = 2024) AS filter_respected FROM best GROUP BY 1")
+def search_contract(spark, sf_dir):
     """At most k rows, unique ids, the filter respected, of a search in one year."""
     h = hits(spark, sf_dir, fiscal_year=2024)
     return h.groupBy("query_id").agg((F.count("*") <= K).alias("within_k"), (F.count_distinct("chunk_id") == F.count("*")).alias("unique_ids"), F.bool_and(F.col("fiscal_year") == 2024).alias("filter_respected"))
@@ -103,34 +114,44 @@ def found(spark, sf_dir):
     return h.select("query_id", "rank", exact.alias("hit"), form.alias("loose"), F.coalesce(F.col("owned") & (covered | form), F.lit(False)).alias("own"))
 
 
-@query()
-def searched_anchor_recall_trace(spark, sf_dir):
+def _form(column: str) -> str:
+    return f"lower(trim(regexp_replace({column}, '\\s+', ' ', 'g')))"
+
+
+_FOUND = _HITS + f""", anchors AS (SELECT item_id AS query_id, text AS anchor, {_form('text')} AS form FROM benchmark),
+owners AS (SELECT query_id, doc_id, instr(d.text, anchor) AS place, length(anchor) AS n FROM anchors JOIN documents d ON form <> '' AND contains({_form('d.text')}, form)),
+found AS (SELECT h.query_id, h.rank, contains(texto, anchor) AS hit, contains({_form('texto')}, form) AS loose, coalesce(o.doc_id IS NOT NULL AND (coalesce(place > 0 AND inicio_car <= place - 1 AND fin_car >= place - 1 + n, false) OR contains({_form('texto')}, form)), false) AS own
+FROM hits h JOIN anchors a ON a.query_id = h.query_id LEFT JOIN owners o ON o.query_id = h.query_id AND o.doc_id = h.doc_id)"""
+
+
+@query(_FOUND + " SELECT query_id, bool_or(hit AND rank <= 5) AS hit FROM found GROUP BY 1")
+def anchor_recall_trace(spark, sf_dir):
     """The exact, whole anchor among the first five hits, whatever the document."""
     return found(spark, sf_dir).groupBy("query_id").agg(F.bool_or(F.col("hit") & (F.col("rank") <= 5)).alias("hit"))
 
 
-@query()
-def searched_anchor_recall_isolated(spark, sf_dir):
+@query(_FOUND + " SELECT query_id, bool_or(own AND rank <= 5) AS hit FROM found GROUP BY 1")
+def anchor_recall_isolated(spark, sf_dir):
     """The same ticker and year; the anchor's span covered or its text held in normal form among the first five hits."""
     return found(spark, sf_dir).groupBy("query_id").agg(F.bool_or(F.col("own") & (F.col("rank") <= 5)).alias("hit"))
 
 
-@query()
-def searched_anchor_rank(spark, sf_dir):
+@query(_FOUND + " SELECT query_id, min(rank) FILTER (loose) AS first_rank FROM found GROUP BY 1")
+def anchor_rank(spark, sf_dir):
     """The rank of the first of the hits that holds the anchor in normal form, null if none does."""
     return found(spark, sf_dir).groupBy("query_id").agg(F.min(F.when(F.col("loose"), F.col("rank"))).alias("first_rank"))
 
 
-@query()
-def searched_recall_at_k(spark, sf_dir):
+@query(_FOUND + ", h AS (SELECT query_id, bool_or(loose AND rank <= 5) AS hit FROM found GROUP BY 1) SELECT round(coalesce(avg(coalesce(hit, false)::INT), 0), 6) AS recall FROM benchmark LEFT JOIN h ON query_id = item_id")
+def recall_at_k(spark, sf_dir):
     """The share of all questions with the anchor in normal form among five hits, 0 without questions."""
     hit = found(spark, sf_dir).groupBy("query_id").agg(F.bool_or(F.col("loose") & (F.col("rank") <= 5)).alias("hit"))
     both = V.questions(spark, sf_dir).select("query_id").join(hit, "query_id", "left")
     return both.agg(F.round(F.coalesce(F.avg(F.coalesce("hit", F.lit(False)).cast("int")), F.lit(0.0)), 6).alias("recall"))
 
 
-@query()
-def searched_anchor_rank_pivot(spark, sf_dir):
+@query(_FOUND + " SELECT query_id, min(rank) FILTER (hit) AS exact, min(rank) FILTER (loose) AS loose FROM found GROUP BY 1")
+def anchor_rank_pivot(spark, sf_dir):
     """The first rank by exact and by normal form."""
     return found(spark, sf_dir).groupBy("query_id").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("exact"), F.min(F.when(F.col("loose"), F.col("rank"))).alias("loose"))
 
@@ -179,14 +200,14 @@ def grid(spark, sf_dir):
 
 
 @query()
-def searched_recall_study(spark, sf_dir):
+def recall_study(spark, sf_dir):
     """Recall of six retrievers by k and strictness, and what was missed."""
     missed = F.array_join(F.sort_array(F.collect_list(F.when(~F.col("hit"), F.col("query_id")))).cast("array<string>"), ", ")
     return grid(spark, sf_dir).groupBy("config", "k", "strict").agg(F.count("*").alias("n"), F.count(F.when(F.col("hit"), 1)).alias("hits"), F.round(F.avg(F.col("hit").cast("int")), 3).alias("recall"), missed.alias("missed"))
 
 
 @query()
-def searched_recall_pooled_best(spark, sf_dir):
+def recall_pooled_best(spark, sf_dir):
     """The best of all settings, ties by an explicit order."""
     p = grid(spark, sf_dir).groupBy("config", "k", "strict").agg(F.round(F.sum(F.col("hit").cast("int")) / F.count("*"), 6).alias("pooled"))
     return p.orderBy(F.desc("pooled"), "k", "strict", "config").limit(1)

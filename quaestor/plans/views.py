@@ -66,10 +66,12 @@ def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 DENSE = f"""{VECTORS}, dense AS (SELECT q.item_id AS query_id, v.id, v.label, round(list_inner_product(qv.vector::DOUBLE[], v.vector::DOUBLE[]), 6) AS score
  FROM benchmark q JOIN vectors qv ON qv.id = q.item_id CROSS JOIN vectors v)"""
 
-#: BM25 of questions with documents, for those with a common token.
-BM25 = r"""toks AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9$%.]+')) AS term FROM documents),
+
+def bm25_sql(corpus: str, key: str, text: str) -> str:
+    """BM25 of questions with the rows of a corpus, for those with a common token."""
+    return rf"""toks AS (SELECT {key} AS id, unnest(regexp_extract_all(lower({text}), '[a-z0-9$%.]+')) AS term FROM {corpus}),
 tf AS (SELECT id, term, count(*) AS tf FROM toks GROUP BY ALL), dl AS (SELECT id, sum(tf) AS dl FROM tf GROUP BY 1),
-size AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT avg(len(regexp_extract_all(lower(text), '[a-z0-9$%.]+'))) FROM documents) AS avgdl),
+size AS (SELECT (SELECT count(*) FROM {corpus}) AS n, (SELECT avg(len(regexp_extract_all(lower({text}), '[a-z0-9$%.]+'))) FROM {corpus}) AS avgdl),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, size),
 idf AS (SELECT term, CASE WHEN raw < 0 THEN (SELECT round(0.25 * avg(raw), 9) FROM raw) ELSE raw END AS idf FROM raw),
 qt AS (SELECT item_id AS query_id, term, count(*) AS qf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9$%.]+')) AS term FROM benchmark) GROUP BY ALL),
@@ -77,6 +79,9 @@ bm25 AS (SELECT query_id, tf.id, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (1
  FROM qt JOIN tf USING (term) JOIN idf USING (term) JOIN dl ON dl.id = tf.id, size GROUP BY ALL)"""
 
 
+BM25 = bm25_sql("documents", "doc_id", "text")
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reported values by market segment and year, summed in whole cents so that any order gives the same."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")

@@ -84,16 +84,16 @@ def test_hits_are_the_best_of_all_chunks(spark, small, ranking):
 
 def test_views_of_the_hits(spark, small, ranking):
     chunks, best = ranking
-    rows = {n: QUERIES[n](spark, small[0]).collect() for n in ("searched_parent_expand", "searched_best_parent", "searched_parse_hit_ids", "searched_hit_projection", "searched_contract")}
+    rows = {n: QUERIES[n](spark, small[0]).collect() for n in ("parent_expand", "best_parent", "parse_hit_ids", "hit_projection", "search_contract")}
     for q, b in best.items():
         parents = {}
         for rank, (_, i) in enumerate(b[:20], 1):
             parents.setdefault(re.sub("-[^-]*$", "-0000", i), []).append((rank, i))
-        assert {(r.parent, r["rank"], r.n) for r in rows["searched_best_parent"] if r.query_id == q} == {(p, v[0][0], len(v)) for p, v in parents.items()}
-        assert [r.chunk_id for r in sorted(rows["searched_parent_expand"], key=lambda r: r.parent_rank) if r.query_id == q] == [v[0][1] for v in list(parents.values())[:3]]
-        assert [r.ids for r in rows["searched_parse_hit_ids"] if r.query_id == q] == [",".join(i for _, i in b[:3])]
-        assert {(r.chunk_id, r.posicion) for r in rows["searched_hit_projection"] if r.query_id == q} == {(i, chunks[i][1]) for _, i in b[:5]}
-    assert all(r.within_k and r.unique_ids and r.filter_respected for r in rows["searched_contract"]) and len(rows["searched_contract"]) == 8
+        assert {(r.parent, r["rank"], r.n) for r in rows["best_parent"] if r.query_id == q} == {(p, v[0][0], len(v)) for p, v in parents.items()}
+        assert [r.chunk_id for r in sorted(rows["parent_expand"], key=lambda r: r.parent_rank) if r.query_id == q] == [v[0][1] for v in list(parents.values())[:3]]
+        assert [r.ids for r in rows["parse_hit_ids"] if r.query_id == q] == [",".join(i for _, i in b[:3])]
+        assert {(r.chunk_id, r.posicion) for r in rows["hit_projection"] if r.query_id == q} == {(i, chunks[i][1]) for _, i in b[:5]}
+    assert all(r.within_k and r.unique_ids and r.filter_respected for r in rows["search_contract"]) and len(rows["search_contract"]) == 8
     one_year = {q: [i for _, i in b if "-2024-" in i][:20] for q, b in best.items()}
     assert {(r.query_id, r.chunk_id) for r in searching.hits(spark, small[0], fiscal_year=2024).collect()} == {(q, i) for q, b in one_year.items() for i in b}
 
@@ -105,18 +105,18 @@ def test_whole_anchors(spark, small, ranking):
     holding = {(q, i) for q, a in asked.items() for i, t in bodies.items() if squeezed(a) in squeezed(t)}
     assert {(r.query_id, r.doc_id, r.start) for r in searching.owners(spark, d).collect()} == {(q, i, bodies[i].find(asked[q]) if asked[q] in bodies[i] else None) for q, i in holding}
     assert any(asked[q] not in bodies[i] for q, i in holding)
-    got = {n: {r.query_id: r[1] for r in QUERIES[n](spark, d).collect()} for n in ("searched_anchor_recall_trace", "searched_anchor_recall_isolated", "searched_anchor_rank")}
-    pivot = {r.query_id: (r.exact, r.loose) for r in QUERIES["searched_anchor_rank_pivot"](spark, d).collect()}
+    got = {n: {r.query_id: r[1] for r in QUERIES[n](spark, d).collect()} for n in ("anchor_recall_trace", "anchor_recall_isolated", "anchor_rank")}
+    pivot = {r.query_id: (r.exact, r.loose) for r in QUERIES["anchor_rank_pivot"](spark, d).collect()}
     for q, b in best.items():
         exact = [rank for rank, (_, i) in enumerate(b[:20], 1) if asked[q] in chunks[i][2]]
         loose = [rank for rank, (_, i) in enumerate(b[:20], 1) if squeezed(asked[q]) in squeezed(chunks[i][2])]
-        assert got["searched_anchor_recall_trace"][q] == any(r <= 5 for r in exact)
-        assert got["searched_anchor_recall_isolated"][q] == any(r <= 5 for r in loose)
-        assert got["searched_anchor_rank"][q] == min(loose, default=None) and pivot[q] == (min(exact, default=None), min(loose, default=None))
+        assert got["anchor_recall_trace"][q] == any(r <= 5 for r in exact)
+        assert got["anchor_recall_isolated"][q] == any(r <= 5 for r in loose)
+        assert got["anchor_rank"][q] == min(loose, default=None) and pivot[q] == (min(exact, default=None), min(loose, default=None))
         # a text that has no more than the anchor's beginning is no hit
         begun = [rank for rank, (_, i) in enumerate(b, 1) if chunks[i][2].startswith(asked[q][:12]) and squeezed(asked[q]) not in squeezed(chunks[i][2])]
         assert begun and not set(begun) & set(loose)
-    assert QUERIES["searched_recall_at_k"](spark, d).first().recall == round(sum(got["searched_anchor_rank"][q] is not None and got["searched_anchor_rank"][q] <= 5 for q in asked) / len(asked), 6)
+    assert QUERIES["recall_at_k"](spark, d).first().recall == round(sum(got["anchor_rank"][q] is not None and got["anchor_rank"][q] <= 5 for q in asked) / len(asked), 6)
 
 
 def test_six_retrievers_are_compared(spark, small):
@@ -136,12 +136,12 @@ def test_six_retrievers_are_compared(spark, small):
     for r in searching.configurations(spark, d).collect():
         got[r.config].setdefault(r.query_id, {})[r["rank"]] = r.id
     assert {c: {q: [x[r] for r in sorted(x)] for q, x in v.items()} for c, v in got.items()} == {c: {q: x[:20] for q, x in v.items()} for c, v in order.items()}
-    study = {(r.config, r.k, r.strict): r for r in QUERIES["searched_recall_study"](spark, d).collect()}
+    study = {(r.config, r.k, r.strict): r for r in QUERIES["recall_study"](spark, d).collect()}
     assert len(study) == 36
     share = {}
     for (c, k, strict), r in study.items():
         hit = {q for q, a in asked.items() if any((a in bodies[i]) if strict else squeezed(a) in squeezed(bodies[i]) for i in order[c][q][:k])}
         assert (r.n, r.hits, r.missed) == (8, len(hit), ", ".join(str(q) for q in sorted(set(asked) - hit)))
         share[c, k, strict] = len(hit) / 8
-    best = QUERIES["searched_recall_pooled_best"](spark, d).collect()
+    best = QUERIES["recall_pooled_best"](spark, d).collect()
     assert [(b.config, b.k, b.strict) for b in best] == [min(share, key=lambda x: (-share[x], x[1], x[2], x[0]))]
