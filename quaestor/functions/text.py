@@ -90,27 +90,34 @@ def fenced_json(text: Column) -> Column:
     return F.when(inside != "", inside).otherwise(F.trim(text))
 
 
-# Words that mark a question about change, a missing answer, a passing failure.
-CHANGE_WORDS = ["change", "increase", "decrease", "grow", "fall", "compare", "variation", "difference"]
-VERSUS = ["vs", "versus", "compared to", "between"]
-NO_ANSWER = ["no answer", "not available", "not found", "no data", "cannot be determined"]
-TRANSIENT = ["429", "503", "rate limit", "timeout", "timed out", "temporarily", "overloaded", "connection reset"]
+# What marks a question about change, a missing answer, a passing failure.
+PERIOD = r"\b(?:fy\s*)?\d{4}\b"
+RELATED_PERIODS = r"\b(?:entre|between|desde|from|de)\s+(?:fy\s*)?\d{4}\s+(?:y|e|and|hasta|to|a)\s+(?:fy\s*)?\d{4}\b"
+VERSUS_PERIODS = r"\b(?:fy\s*)?\d{4}\s+(?:vs\.?|versus)\s+(?:fy\s*)?\d{4}\b"
+CHANGE = r"\b(?:compar\w*|evolucion\w*|cambi\w*|variacion\w*|aument\w*|disminu\w*|crec\w*)\b"
+NO_ANSWER = r"no\s+(est[aá]|figura|aparece|consta|existe|se\s+encuentra|hay|reporta|report[oó]|est[aá]\s+disponible)|sin\s+(dato|respuesta|informaci[oó]n)|not\s+(in|available|reported|present)|n/?a\b|fuera\s+del\s+corpus"
+RATE_LIMIT = ["ratelimitagotadoerror", "toomanyrequestsresponseerror", "rate limit exceeded", "status code: 429", "status_code=429"]
+PROVIDER_GONE = "errorproveedoragotadoerror"
+PROVIDER_ERROR = ["badrequestresponseerror", "provider returned error"]
 
 
 def comparative(question: Column) -> Column:
-    """A period range, a versus word, or two different years with a word of change."""
-    q = lowered(question)
-    years = F.size(F.array_distinct(F.regexp_extract_all(q, F.lit(r"\b((?:19|20)\d\d)\b"), F.lit(1))))
-    spans = q.rlike(r"\b(19|20)\d\d\s*[-–/]\s*(19|20)?\d\d\b")
-    return spans | q.rlike(r"\b(" + "|".join(VERSUS) + r")\b") | ((years >= 2) & q.rlike(r"\b(" + "|".join(CHANGE_WORDS) + ")"))
+    """Two related periods, one against another, or two periods with a word of change."""
+    q = unaccented(question)
+    return q.rlike(RELATED_PERIODS) | q.rlike(VERSUS_PERIODS) | ((F.regexp_count(q, F.lit(PERIOD)) >= 2) & q.rlike(CHANGE))
 
 
 def no_answer(text: Column) -> Column:
-    return F.lower(text).rlike("|".join(NO_ANSWER))
+    return F.lower(text).rlike(NO_ANSWER)
 
 
 def transient_error(text: Column) -> Column:
-    return F.coalesce(F.lower(text).rlike("|".join(TRANSIENT)), F.lit(False))
+    """A rate limit, a provider that gave up, or a bad request that the provider caused."""
+    low = F.lower(text)
+    any_ = F.lit(False)
+    for mark in (*RATE_LIMIT, PROVIDER_GONE):
+        any_ = any_ | F.contains(low, F.lit(mark))
+    return F.coalesce(any_ | (F.contains(low, F.lit(PROVIDER_ERROR[0])) & F.contains(low, F.lit(PROVIDER_ERROR[1]))), F.lit(False))
 
 
 def long_words(text: Column) -> Column:

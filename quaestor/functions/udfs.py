@@ -24,7 +24,7 @@ def _column(kind: str):
 
 
 # Magnitude words and their factors; limits of a match across ellipses.
-MAGNITUDES = {"thousand": 1e3, "mil": 1e3, "million": 1e6, "millions": 1e6, "millón": 1e6, "millones": 1e6, "mn": 1e6, "billion": 1e9, "billions": 1e9, "bn": 1e9}
+MAGNITUDES = {"thousand": 1e3, "mil": 1e3, "million": 1e6, "millions": 1e6, "millón": 1e6, "millones": 1e6, "mn": 1e6, "billion": 1e9, "billions": 1e9, "bn": 1e9, "mil millones": 1e9, "billones": 1e9, "miles": 1e3}
 SEGMENT, TOTAL, REACH = 4, 20, 400
 _NUMBER = re.compile(r"(?<![\w.,])[-−]?\d{1,3}(?:[.,\s]\d{3})+(?:[.,]\d+)?|(?<![\w.,])[-−]?\d+(?:[.,]\d+)?")
 _QUOTES = str.maketrans({**dict.fromkeys("“”„«»", '"'), **dict.fromkeys("‘’‚‹›", "'"), **dict.fromkeys("–—−", "-"), "…": "..."})
@@ -60,9 +60,9 @@ def numbers(text: str | None) -> list[float]:
     out = []
     for m in _NUMBER.finditer(text or ""):
         v = value(m[0])
-        word = re.match(r"\s*([a-zé-ú]+)", text[m.end() :].lower())
+        word = re.match(r"\s*(mil\s+millones|[a-zé-ú]+)", text[m.end() :].lower())
         if v is not None:
-            out.append(v * MAGNITUDES.get(word[1] if word else "", 1.0))
+            out.append(v * MAGNITUDES.get(" ".join(word[1].split()) if word else "", 1.0))
     return out
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -33,3 +33,23 @@ def holdout_class(known: Column) -> Column:
     """golden, sin_respuesta (an answer is not to be had) or no_evaluable."""
     no_number = (F.col("familia") != "extractiva") & F.col("cifra_esperada").isNull()
     return F.when(~F.col("familia").isin(*FAMILIES) | ~known, "no_evaluable").when(no_number & F.col("unidad").isNull(), "sin_respuesta").when(no_number, "no_evaluable").otherwise("golden")
+
+
+def collection_problems(cases: DataFrame, expected: int | None = None, least_comparative: int = 0) -> DataFrame:
+    """(id, problem): ids that come more than once; without an id, another number of cases than expected, too few comparatives."""
+    again = cases.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("id_repeated").alias("problem"))
+    totals = cases.agg(F.count("*").alias("n"), F.count_if(F.col("familia") == "comparativa").alias("comparative"))
+    wrong = F.lit(False) if expected is None else F.col("n") != expected
+    codes = F.array_compact(F.array(F.when(wrong, F.format_string("count %d of %d", F.col("n"), F.lit(expected or 0))), F.when(F.col("comparative") < least_comparative, F.format_string("comparatives %d of %d", F.col("comparative"), F.lit(least_comparative)))))
+    return again.unionAll(totals.select(F.lit(None).cast(dict(cases.dtypes)["id"]).alias("id"), F.explode(codes).alias("problem")))
+
+
+#: What a comparative answer must have, in the order in which what is missing is told.
+COMPARATIVE_FIELDS = ("ticker", "unidad", "ejercicio_inicial", "cifra_inicial", "ejercicio_final", "cifra_final")
+
+
+def comparative_verdict() -> Column:
+    """`missing ...`, `source` (not both of them), `years` (the final one isn't later), or `ok`."""
+    gone = F.array_join(F.array_compact(F.array(*(F.when(F.col(c).isNull(), c) for c in COMPARATIVE_FIELDS))), ", ")
+    late = F.col("ejercicio_final") > F.col("ejercicio_inicial")
+    return F.when(gone != "", F.concat(F.lit("missing "), gone)).when(F.col("fuente") != "ambas", "source").when(~late, "years").otherwise("ok")

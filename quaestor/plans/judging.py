@@ -9,6 +9,7 @@ from quaestor.functions import numeric as N
 from quaestor.functions import text as T
 from quaestor.operators import chunking, golden
 
+from . import texts
 from . import views as V
 from .registry import query
 
@@ -44,7 +45,7 @@ CASE WHEN familia = 'numerica' AND (item_esperado IS NOT NULL OR ancla_texto IS
 CASE WHEN len(regexp_split_to_array(trim(ancla_texto), '\\s+')) > 40 THEN 'anchor_too_long' END, CASE WHEN ancla_fin <= ancla_inicio OR ancla_fin - ancla_inicio <> length(ancla_texto) THEN 'anchor_span' END,
 CASE WHEN len(list_distinct(herramienta_esperada)) < len(herramienta_esperada) THEN 'tools_repeated' END], lambda x: x IS NOT NULL), ',') AS problems FROM cases""")
 def case_problems(spark, sf_dir):
-    """What is wrong with each case."""
+    """What is wrong with each case by itself."""
     return cases(spark, sf_dir).select("id", F.array_join(golden.problems(), ",").alias("problems"))
 
 
@@ -81,15 +82,25 @@ def curated_cases(spark, sf_dir):
     return w.join(c, "id").select("id", "familia", F.lit(False).alias("missing")).unionAll(w.join(c, "id", "left_anti").select("id", F.lit(None).cast("string"), F.lit(True)))
 
 
-@query(f"""WITH {CASES}, done AS (SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'HTTP 429' WHEN 1 THEN 'bad request' END AS error FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0)
-SELECT c.id FROM cases c LEFT JOIN done d ON d.id = c.id AND NOT coalesce(regexp_matches(lower(d.error), '{'|'.join(T.TRANSIENT)}'), false) WHERE d.id IS NULL""")
+@query(f"""WITH {CASES}, done AS (SELECT event_id AS id, lower({texts.ERROR}) AS low FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0)
+SELECT c.id FROM cases c LEFT JOIN done d ON d.id = c.id AND NOT {texts.PASSING} WHERE d.id IS NULL""")
 def pending_cases(spark, sf_dir):
     """What isn't finished, or failed in passing."""
-    n = F.col("event_id") % 4
-    e = V.table(spark, sf_dir, "events").where("event_id % 2 = 0 OR event_id % 3 = 0").select(F.col("event_id").alias("id"), F.when(n == 0, "HTTP 429").when(n == 1, "bad request").alias("error"))
+    e = V.table(spark, sf_dir, "events").where("event_id % 2 = 0 OR event_id % 3 = 0").select(F.col("event_id").alias("id"), texts.error_of(F.col("event_id")).alias("error"))
     return cases(spark, sf_dir).select("id").join(e.where(~T.transient_error(F.col("error"))), "id", "left_anti")
 
 
+_COLLECTED = f"WITH {CASES}, collected AS (SELECT id, familia FROM cases UNION ALL SELECT id, familia FROM cases WHERE familia = 'numerica')"
+
+
+@query(_COLLECTED + """ SELECT id, 'id_repeated' AS problem FROM collected GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT NULL, printf('count %d of %d', count(*), 500) FROM collected HAVING count(*) <> 500
+UNION ALL SELECT NULL, printf('comparatives %d of %d', count(*) FILTER (familia = 'comparativa'), 100000) FROM collected HAVING count(*) FILTER (familia = 'comparativa') < 100000""")
+def collection_problems(spark, sf_dir):
+    """Repeated ids, the expected number of cases, the least number of comparatives."""
+    c = cases(spark, sf_dir).select("id", "familia")
+    return golden.collection_problems(c.unionAll(c.where("familia = 'numerica'")), 500, 100_000)
+
+
 @query(f"""WITH {CASES} SELECT id, CASE WHEN familia NOT IN ('extractiva', 'numerica', 'comparativa') THEN 'no_evaluable' WHEN ticker NOT LIKE 'SRC%' THEN 'no_evaluable' WHEN familia <> 'extractiva' AND cifra_esperada IS NULL AND unidad IS NULL THEN 'sin_respuesta' WHEN familia <> 'extractiva' AND cifra_esperada IS NULL THEN 'no_evaluable' ELSE 'golden' END AS tipo FROM cases""")
 def holdout_classes(spark, sf_dir):
     """What a case of a lenient file is good for."""
@@ -263,11 +274,12 @@ def evidence_errors(spark, sf_dir):
     return a.select("doc_id", F.array_join(F.array_compact(F.array(F.when(F.col("gone"), "unknown_chunk"), F.when(~F.col("literal"), "not_literal"), F.when(F.col("doc_id") % 9 == 0, "identity"))), ",").alias("errors"))
 
 
-@query(f"WITH {V.TRACE}, q AS (SELECT question_id, question_id % 2 = 0 AS comparative FROM trace GROUP BY 1), s AS (SELECT DISTINCT question_id FROM trace WHERE tool = 'view') SELECT q.question_id, CASE WHEN NOT comparative THEN 'not_comparative' WHEN s.question_id IS NULL THEN 'evidence_needed' ELSE 'ok' END AS verdict FROM q LEFT JOIN s ON s.question_id = q.question_id")
+@query(f"WITH {V.TRACE}, {texts.ASKED_PLAINLY}, s AS (SELECT DISTINCT question_id FROM trace WHERE tool = 'view') SELECT item_id AS question_id, CASE WHEN NOT {texts.COMPARATIVE} THEN 'not_comparative' WHEN s.question_id IS NULL THEN 'evidence_needed' ELSE 'ok' END AS verdict FROM plain_asks LEFT JOIN s ON s.question_id = item_id")
 def comparative_guard(spark, sf_dir):
     """A comparative question needs a search among its calls."""
-    t = V.trace(spark, sf_dir).groupBy("question_id").agg(F.bool_or(F.col("tool") == "view").alias("searched"))
-    return t.select("question_id", F.when(F.col("question_id") % 2 != 0, "not_comparative").when(~F.col("searched"), "evidence_needed").otherwise("ok").alias("verdict"))
+    asked = texts.asks(spark, sf_dir).select(F.col("item_id").alias("question_id"), T.comparative(F.col("question")).alias("comparative"))
+    searched = V.trace(spark, sf_dir).where("tool = 'view'").select("question_id").distinct().withColumn("searched", F.lit(True))
+    return asked.join(searched, "question_id", "left").select("question_id", F.when(~F.col("comparative"), "not_comparative").when(F.col("searched").isNull(), "evidence_needed").otherwise("ok").alias("verdict"))
 
 
 @query(f"""WITH {V.RESULTS} SELECT id, familia = 'numerica' AND cifra IS NULL AND cita IS NULL AND coste IS NOT NULL AS abstained FROM results""")

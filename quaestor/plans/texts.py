@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quaestor.functions import numeric as N
 from quaestor.functions import text as T
+from quaestor.operators import golden
 
 from . import views as V
 from .registry import query
@@ -90,28 +91,36 @@ def accent_fold(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").select("doc_id", F.md5(T.unaccented(F.col("text"))).alias("digest"))
 
 
-_ASK = """asks AS (SELECT item_id, CASE item_id % 5 WHEN 0 THEN 'How did revenue change between 2023 and 2024?' WHEN 1 THEN 'Margin 2022-2023' WHEN 2 THEN 'Revenue in 2024 vs plan' WHEN 3 THEN 'Revenue in 2023 and in 2024' ELSE text END AS question FROM benchmark)"""
+_ASKS = ("¿Cómo evolucionó el margen entre 2023 y FY 2024?", "Ingresos FY2023 vs. FY2024", "Variación de los ingresos, 2022 frente a 2023", "Ingresos en 2023 y en 2024")
+ASK = "asks AS (SELECT item_id, CASE item_id % 5 " + " ".join(f"WHEN {i} THEN '{q}'" for i, q in enumerate(_ASKS)) + " ELSE text END AS question FROM benchmark)"
+_PLAIN = f"translate({_FOLD.format('question')}, '{T.ACCENTED}', '{T.PLAIN}')"
+#: Whether a question `q` in plain form is comparative.
+COMPARATIVE = f"(regexp_matches(q, '{T.RELATED_PERIODS}') OR regexp_matches(q, '{T.VERSUS_PERIODS}') OR (len(regexp_extract_all(q, '{T.PERIOD}')) >= 2 AND regexp_matches(q, '{T.CHANGE}')))"
+ASKED_PLAINLY = f"{ASK}, plain_asks AS (SELECT item_id, {_PLAIN} AS q FROM asks)"
 
 
-def _asks(spark, sf_dir):
-    n = F.col("query_id") % 5
-    ask = F.when(n == 0, "How did revenue change between 2023 and 2024?").when(n == 1, "Margin 2022-2023").when(n == 2, "Revenue in 2024 vs plan").when(n == 3, "Revenue in 2023 and in 2024").otherwise(F.col("text"))
+def asks(spark, sf_dir):
+    ask = F.col("text")
+    for i, q in enumerate(_ASKS):
+        ask = F.when(F.col("query_id") % 5 == i, q).otherwise(ask)
     return V.questions(spark, sf_dir).select(F.col("query_id").alias("item_id"), ask.alias("question"))
 
 
-_COMPARE = rf"""(regexp_matches(q, '\b(19|20)\d\d\s*[-–/]\s*(19|20)?\d\d\b') OR regexp_matches(q, '\b({"|".join(T.VERSUS)})\b') OR (len(list_distinct(regexp_extract_all(q, '\b((?:19|20)\d\d)\b', 1))) >= 2 AND regexp_matches(q, '\b({"|".join(T.CHANGE_WORDS)})')))"""
-
-
-@query(f"WITH {_ASK}, n AS (SELECT item_id, {_LOWER.format('question')} AS q FROM asks) SELECT item_id, {_COMPARE} AS comparative FROM n")
+@query(f"WITH {ASKED_PLAINLY} SELECT item_id, {COMPARATIVE} AS comparative FROM plain_asks")
 def comparative_questions(spark, sf_dir):
     """H15."""
-    return _asks(spark, sf_dir).select("item_id", T.comparative(F.col("question")).alias("comparative"))
+    return asks(spark, sf_dir).select("item_id", T.comparative(F.col("question")).alias("comparative"))
+
+
+_SAID = ("La cifra no está disponible", "Not available in the filings", "Sin información; fuera del corpus", "Ingresos de 5 millones", "Dato: N/A")
 
 
-@query(f"SELECT conv_id, turn, regexp_matches(lower(CASE WHEN turn % 3 = 0 THEN 'The figure is Not Available' ELSE text END), '{'|'.join(T.NO_ANSWER)}') AS none FROM conversations")
+@query("SELECT conv_id, turn, regexp_matches(lower(CASE turn % 6 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_SAID)) + f" ELSE text END), '{T.NO_ANSWER}') AS none FROM conversations")
 def no_answer_marker(spark, sf_dir):
     """H16."""
-    m = F.when(F.col("turn") % 3 == 0, "The figure is Not Available").otherwise(F.col("text"))
+    m = F.col("text")
+    for i, x in enumerate(_SAID):
+        m = F.when(F.col("turn") % 6 == i, x).otherwise(m)
     return _messages(spark, sf_dir).select("conv_id", "turn", T.no_answer(m).alias("none"))
 
 
@@ -136,11 +145,24 @@ def fiscal_year_parse(spark, sf_dir):
     return V.questions(spark, sf_dir).select(F.col("query_id").alias("item_id"), raw.alias("raw"), T.fiscal_year(raw).alias("fiscal_year"))
 
 
-@query(f"SELECT event_id, coalesce(regexp_matches(lower(CASE event_id % 4 WHEN 0 THEN 'HTTP 429' WHEN 1 THEN 'Rate Limit reached' WHEN 2 THEN 'bad request' END), '{'|'.join(T.TRANSIENT)}'), false) AS transient FROM events")
+_ERRORS = ("API error, status code: 429", "Rate limit exceeded", "BadRequestResponseError: Provider returned error", "BadRequestResponseError: no such field", "ErrorProveedorAgotadoError")
+ERROR = "CASE event_id % 6 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_ERRORS)) + " END"
+_MARKS = " OR ".join(f"contains(low, '{m}')" for m in (*T.RATE_LIMIT, T.PROVIDER_GONE))
+#: Whether an error `low`, in lower case, passes by itself.
+PASSING = f"coalesce({_MARKS} OR (contains(low, '{T.PROVIDER_ERROR[0]}') AND contains(low, '{T.PROVIDER_ERROR[1]}')), false)"
+
+
+def error_of(event):
+    said = F.lit(None).cast("string")
+    for i, x in enumerate(_ERRORS):
+        said = F.when(event % 6 == i, x).otherwise(said)
+    return said
+
+
+@query(f"WITH e AS (SELECT event_id, lower({ERROR}) AS low FROM events) SELECT event_id, {PASSING} AS transient FROM e")
 def transient_errors(spark, sf_dir):
     """H21."""
-    n = F.col("event_id") % 4
-    return V.table(spark, sf_dir, "events").select("event_id", T.transient_error(F.when(n == 0, "HTTP 429").when(n == 1, "Rate Limit reached").when(n == 2, "bad request")).alias("transient"))
+    return V.table(spark, sf_dir, "events").select("event_id", T.transient_error(error_of(F.col("event_id"))).alias("transient"))
 
 
 @query(r"SELECT doc_id, substring(text, 6, 20) = substring(text, 5 + 1, 25 - 5) AS same, len(regexp_split_to_array(trim(substring(text, 6, 200)), '\s+')) <= 40 AS short FROM documents")
@@ -226,13 +248,23 @@ def comparative_normalize(spark, sf_dir):
     return e.select("ticker", "concept", F.col("last").alias("headline"), F.round(F.col("last") - F.col("first"), 4).alias("change"), F.round(N.percent_change(F.col("first"), F.col("last")), 6).alias("percent"))
 
 
-@query(f"""WITH {V.FACTS}, e AS (SELECT ticker, concept, min(fiscal_year) AS y0, max(fiscal_year) AS y1, min_by(value, fiscal_year) AS v0, max_by(value, fiscal_year) AS v1 FROM facts GROUP BY ALL)
-SELECT ticker, concept, y1 > y0 AS years_ordered, v0 IS NOT NULL AND v1 IS NOT NULL AS complete, abs((v1 - v0) - (v1 - v0)) <= 1e-6 AS consistent, CASE WHEN concept = 'Revenue' THEN 'USD' ELSE NULL END AS unit FROM e""")
+@query(f"""WITH {V.FACTS}, e AS (SELECT ticker, concept, min(fiscal_year) AS y0, max(fiscal_year) AS y1, min_by(value, fiscal_year) AS v0, max_by(value, fiscal_year) AS v1 FROM facts GROUP BY ALL),
+a AS (SELECT ticker, concept, CASE WHEN concept <> 'Lines' THEN 'USD' END AS unidad, CASE WHEN concept = 'Quantity' AND length(ticker) > 9 THEN 'xbrl' ELSE 'ambas' END AS fuente, CASE WHEN length(ticker) % 2 = 0 THEN y1 ELSE y0 END AS yi, CASE WHEN length(ticker) % 2 = 0 THEN y0 ELSE y1 END AS yf,
+ CASE WHEN length(ticker) % 2 = 0 THEN v1 ELSE v0 END AS vi, CASE WHEN ticker = 'MACHINERY' AND concept = 'Revenue' THEN NULL WHEN length(ticker) % 2 = 0 THEN v0 ELSE v1 END AS vf FROM e),
+v AS (SELECT *, concat_ws(', ', CASE WHEN ticker IS NULL THEN 'ticker' END, CASE WHEN unidad IS NULL THEN 'unidad' END, CASE WHEN yi IS NULL THEN 'ejercicio_inicial' END, CASE WHEN vi IS NULL THEN 'cifra_inicial' END, CASE WHEN yf IS NULL THEN 'ejercicio_final' END, CASE WHEN vf IS NULL THEN 'cifra_final' END) AS gone FROM a)
+SELECT ticker, concept, CASE WHEN gone <> '' THEN 'missing ' || gone WHEN fuente <> 'ambas' THEN 'source' WHEN yf <= yi THEN 'years' ELSE 'ok' END AS verdict,
+CASE WHEN gone = '' AND fuente = 'ambas' AND yf > yi THEN round(vf - vi, 4) END AS change, CASE WHEN gone = '' AND fuente = 'ambas' AND yf > yi AND vi <> 0 THEN round((vf - vi) / abs(vi) * 100, 6) END AS percent FROM v""")
 def comparative_contract(spark, sf_dir):
-    """What a comparative answer must hold."""
+    """A comparative answer's missing fields, source and order of years; its change and percent if all is well."""
     e = V.facts(spark, sf_dir).groupBy("ticker", "concept").agg(F.min("fiscal_year").alias("y0"), F.max("fiscal_year").alias("y1"), F.min_by("value", "fiscal_year").alias("v0"), F.max_by("value", "fiscal_year").alias("v1"))
-    change = F.col("v1") - F.col("v0")
-    return e.select("ticker", "concept", (F.col("y1") > F.col("y0")).alias("years_ordered"), (F.col("v0").isNotNull() & F.col("v1").isNotNull()).alias("complete"), (F.abs(change - change) <= 1e-6).alias("consistent"), F.when(F.col("concept") == "Revenue", "USD").alias("unit"))
+    turned = F.length("ticker") % 2 == 0
+    a = e.select(
+        "ticker", "concept", F.when(F.col("concept") != "Lines", "USD").alias("unidad"), F.when((F.col("concept") == "Quantity") & (F.length("ticker") > 9), "xbrl").otherwise("ambas").alias("fuente"),
+        F.when(turned, F.col("y1")).otherwise(F.col("y0")).alias("ejercicio_inicial"), F.when(turned, F.col("y0")).otherwise(F.col("y1")).alias("ejercicio_final"), F.when(turned, F.col("v1")).otherwise(F.col("v0")).alias("cifra_inicial"),
+        F.when((F.col("ticker") == "MACHINERY") & (F.col("concept") == "Revenue"), None).when(turned, F.col("v0")).otherwise(F.col("v1")).alias("cifra_final"))
+    a = a.withColumn("verdict", golden.comparative_verdict())
+    change = F.when(F.col("verdict") == "ok", F.col("cifra_final") - F.col("cifra_inicial"))
+    return a.select("ticker", "concept", "verdict", F.round(change, 4).alias("change"), F.round(F.try_divide(change, F.abs("cifra_inicial")) * 100, 6).alias("percent"))
 
 
 @query("SELECT conv_id, first(text ORDER BY turn) FILTER (role = 'user') AS first_user, last(text ORDER BY turn) FILTER (role = 'assistant') AS last_assistant FROM conversations GROUP BY 1")
