@@ -21,7 +21,10 @@ def checked(query: str, k: int, ticker: str | None = None, fiscal_year: int | No
         raise ValueError("k must be a positive whole number")
     if isinstance(fiscal_year, bool):
         raise ValueError("the year must be a number")
-    upper = lambda s: s.strip().upper() or None if s is not None else None
+    for name, value in (("ticker", ticker), ("item", item)):
+        if value is not None and not value.strip():
+            raise ValueError(f"the {name} is blank; leave it out to search all")
+    upper = lambda s: None if s is None else s.strip().upper()
     return {"query": query.strip(), "k": k, "ticker": upper(ticker), "fiscal_year": None if fiscal_year is None else int(fiscal_year), "item": upper(item)}
 
 
@@ -49,7 +52,9 @@ class Evidence:
         return one.agg(F.coalesce(F.first("texto"), F.lit(NOT_FOUND)).alias("texto"))
 
     def search(self, queries: DataFrame, k: int = 5, flat: bool = False, **wanted) -> DataFrame:
-        """(query_id, id, score, rank): a batch of queries (query_id, text); flat leaves the filter out."""
+        """(query_id, id, score, rank): a batch of queries (query_id, text); flat leaves the filter out. Arguments are checked first."""
+        known = checked("a batch", k, **{c: wanted.get(c) for c in ("ticker", "fiscal_year", "item")})
+        wanted |= {c: v for c, v in known.items() if c in wanted}
         if self.rewriter:
             new = self.rewriter(queries).select("query_id", F.col("text").alias("new"))
             queries = queries.join(new, "query_id", "left").select("query_id", F.coalesce("new", "text").alias("text"))

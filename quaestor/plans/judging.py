@@ -267,11 +267,16 @@ def citation_relink(spark, sf_dir):
     return j.groupBy("doc_id").agg(F.when(F.count("chunk_id") == 1, F.max("chunk_id")).alias("chunk_id"))
 
 
-@query(_CITED + ", e AS (SELECT doc_id, array_to_string(list_filter([CASE WHEN bool_or(texto IS NULL) THEN 'unknown_chunk' END, CASE WHEN NOT coalesce(bool_or(contains(texto, quote)), false) THEN 'not_literal' END, CASE WHEN doc_id % 9 = 0 THEN 'identity' END], lambda x: x IS NOT NULL), ',') AS errors FROM cited GROUP BY 1) SELECT * FROM e")
+@query(_CITED + """, said AS (SELECT doc_id, fiscal_year + CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END AS year FROM sections),
+e AS (SELECT c.doc_id, array_to_string(list_filter([CASE WHEN bool_or(c.texto IS NULL) THEN 'unknown_chunk' END, CASE WHEN NOT coalesce(bool_or(contains(c.texto, quote)), false) THEN 'not_literal' END, CASE WHEN bool_or(k.fiscal_year <> s.year) THEN 'identity' END], lambda x: x IS NOT NULL), ',') AS errors
+FROM cited c JOIN said s ON s.doc_id = c.doc_id LEFT JOIN chunks k ON k.chunk_id = c.id GROUP BY 1) SELECT * FROM e""")
 def evidence_errors(spark, sf_dir):
-    """Why evidence isn't accepted."""
-    a = _cited(spark, sf_dir).groupBy("doc_id").agg(F.bool_or(F.col("texto").isNull()).alias("gone"), F.coalesce(F.bool_or(F.contains("texto", F.col("quote"))), F.lit(False)).alias("literal"))
-    return a.select("doc_id", F.array_join(F.array_compact(F.array(F.when(F.col("gone"), "unknown_chunk"), F.when(~F.col("literal"), "not_literal"), F.when(F.col("doc_id") % 9 == 0, "identity"))), ",").alias("errors"))
+    """Why evidence isn't accepted: no such chunk, not its words, or a chunk of another year than the answer declares."""
+    said = V.sections(spark, sf_dir).select("doc_id", (F.col("fiscal_year") + F.when(F.col("doc_id") % 9 == 0, 1).otherwise(0)).alias("year"))
+    k = V.chunks(spark, sf_dir).select(F.col("chunk_id").alias("id"), "fiscal_year")
+    a = _cited(spark, sf_dir).join(k, "id", "left").join(said, "doc_id").groupBy("doc_id").agg(
+        F.bool_or(F.col("texto").isNull()).alias("gone"), F.coalesce(F.bool_or(F.contains("texto", F.col("quote"))), F.lit(False)).alias("literal"), F.coalesce(F.bool_or(F.col("fiscal_year") != F.col("year")), F.lit(False)).alias("other"))
+    return a.select("doc_id", F.array_join(F.array_compact(F.array(F.when(F.col("gone"), "unknown_chunk"), F.when(~F.col("literal"), "not_literal"), F.when(F.col("other"), "identity"))), ",").alias("errors"))
 
 
 @query(f"WITH {V.TRACE}, {texts.ASKED_PLAINLY}, s AS (SELECT DISTINCT question_id FROM trace WHERE tool = 'view') SELECT item_id AS question_id, CASE WHEN NOT {texts.COMPARATIVE} THEN 'not_comparative' WHEN s.question_id IS NULL THEN 'evidence_needed' ELSE 'ok' END AS verdict FROM plain_asks LEFT JOIN s ON s.question_id = item_id")

@@ -61,13 +61,13 @@ def fact_render(spark, sf_dir):
 
 
 @query(S + """, w AS (SELECT DISTINCT ticker, i AS item FROM sections, (VALUES ('1A'), ('9B')) v(i)), o AS (SELECT ticker, item, min(doc_id) AS doc_id FROM sections WHERE fiscal_year = 2024 GROUP BY ALL)
-SELECT w.ticker, w.item, o.doc_id, coalesce(length(s.texto), 0) AS n_chars, coalesce(left(s.texto, 80), 'Section not available') AS start FROM w LEFT JOIN o ON o.ticker = w.ticker AND o.item = w.item LEFT JOIN sections s ON s.doc_id = o.doc_id""")
+SELECT w.ticker, w.item, o.doc_id, coalesce(length(s.texto), 0) AS n_chars, coalesce(s.texto, 'Section not available') AS texto FROM w LEFT JOIN o ON o.ticker = w.ticker AND o.item = w.item LEFT JOIN sections s ON s.doc_id = o.doc_id""")
 def section_lookup(spark, sf_dir):
     """A section's text, or that there is none."""
     s = V.sections(spark, sf_dir)
     wanted = s.select("ticker").distinct().withColumn("item", F.explode(F.array(F.lit("1A"), F.lit("9B"))))
     one = s.where("fiscal_year = 2024").groupBy("ticker", "item").agg(F.min(F.struct("doc_id", "texto")).alias("s"))
-    return wanted.join(one, ["ticker", "item"], "left").select("ticker", "item", F.col("s.doc_id").alias("doc_id"), F.coalesce(F.length("s.texto"), F.lit(0)).cast("long").alias("n_chars"), F.coalesce(F.substring("s.texto", 1, 80), F.lit("Section not available")).alias("start"))
+    return wanted.join(one, ["ticker", "item"], "left").select("ticker", "item", F.col("s.doc_id").alias("doc_id"), F.coalesce(F.length("s.texto"), F.lit(0)).cast("long").alias("n_chars"), F.coalesce("s.texto", F.lit("Section not available")).alias("texto"))
 
 
 @query(X + " SELECT ticker, fiscal_year, concept, value FROM facts WHERE fiscal_year IN (1995, 1997)")

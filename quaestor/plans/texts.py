@@ -165,11 +165,15 @@ def transient_errors(spark, sf_dir):
     return V.table(spark, sf_dir, "events").select("event_id", T.transient_error(error_of(F.col("event_id"))).alias("transient"))
 
 
-@query(r"SELECT doc_id, substring(text, 6, 20) = substring(text, 5 + 1, 25 - 5) AS same, len(regexp_split_to_array(trim(substring(text, 6, 200)), '\s+')) <= 40 AS short FROM documents")
+@query(r"""WITH a AS (SELECT doc_id, text, 5 AS low, 5 + 20 + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS high, CASE WHEN doc_id % 5 = 0 THEN replace(substring(text, 6, 20), ' ', '_') ELSE substring(text, 6, 20) END AS anchor FROM documents)
+SELECT doc_id, substring(text, low + 1, high - low) = anchor AS same, high - low = length(anchor) AS spans, len(regexp_split_to_array(trim(text), '[\x20\x09-\x0D]+')) <= 40 AS short FROM a""")
 def anchor_slice_check(spark, sf_dir):
-    """An anchor stands at its offsets, and has at most 40 words."""
-    anchor = F.substring("text", 6, 20)
-    return V.table(spark, sf_dir, "documents").select("doc_id", (F.col("text").substr(F.lit(6), F.lit(20)) == anchor).alias("same"), (F.size(F.split(F.trim(F.substring("text", 6, 200)), r"\s+")) <= 40).alias("short"))
+    """An anchor stands at its offsets, these span its length, and a text has at most 40 words."""
+    n = F.col("doc_id")
+    at = F.substring("text", 6, 20)
+    a = V.table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(5).alias("low"), (25 + F.when(n % 7 == 0, 1).otherwise(0)).alias("high"), F.when(n % 5 == 0, F.replace(at, F.lit(" "), F.lit("_"))).otherwise(at).alias("anchor"))
+    span = F.col("high") - F.col("low")
+    return a.select("doc_id", (F.col("text").substr(F.col("low") + 1, span) == F.col("anchor")).alias("same"), (span == F.length("anchor")).alias("spans"), (F.size(F.split(F.trim("text"), r"[\x20\x09-\x0D]+")) <= 40).alias("short"))
 
 
 @query(r"""WITH m AS (SELECT event_id, CASE event_id % 2 WHEN 0 THEN '```json' || chr(10) || props || chr(10) || '```' ELSE ' ' || props END AS raw FROM events) SELECT event_id, (CASE WHEN regexp_extract(raw, '(?is)```(?:json)?\s*(.*?)\s*```', 1) <> '' THEN regexp_extract(raw, '(?is)```(?:json)?\s*(.*?)\s*```', 1) ELSE trim(raw) END::JSON ->> 'k')::BIGINT AS k FROM m""")
@@ -208,10 +212,11 @@ def tolerance_one_sided(spark, sf_dir):
     return _pairs(spark, sf_dir).select("claim_id", N.within_one_sided(F.col("claimed"), F.col("value"), 0.01).alias("within"))
 
 
-@query(_C + " SELECT claim_id, abs(claimed - value) <= 0.01::DOUBLE * greatest(abs(claimed), abs(value)) AND lower(trim(unit)) = lower(trim(upper(unit))) AS correct FROM pairs")
+@query(_C + " SELECT claim_id, abs(claimed - value) <= 0.01::DOUBLE * greatest(abs(claimed), abs(value)) AND lower(trim(CASE kind WHEN 1 THEN ' ' || upper(unit) || ' ' WHEN 3 THEN 'EUR' ELSE unit END)) = lower(trim(unit)) AS correct FROM pairs")
 def number_correct(spark, sf_dir):
     """N03, H24."""
-    same_unit = F.lower(F.trim("unit")) == F.lower(F.trim(F.upper("unit")))
+    said = F.when(F.col("kind") == 1, F.concat(F.lit(" "), F.upper("unit"), F.lit(" "))).when(F.col("kind") == 3, "EUR").otherwise(F.col("unit"))
+    same_unit = F.lower(F.trim(said)) == F.lower(F.trim("unit"))
     return _pairs(spark, sf_dir).select("claim_id", (N.close(F.col("claimed"), F.col("value"), 0.01) & same_unit).alias("correct"))
 
 

@@ -110,3 +110,40 @@ def test_search_arguments():
 def test_signatures():
     assert signature({"b": 1, "a": [2]}) == signature({"a": [2], "b": 1}) != signature({"a": [1], "b": 1})
     assert sensitive_keys({"a": {"api_key": 1}, "l": [{"Password": 2}]}) == ["a.api_key", "l.0.Password"]
+
+
+def test_magnitudes_of_two_words():
+    assert udfs.numbers("3 mil millones, 12 billones y 5 miles") == [3e9, 12e9, 5000.0]
+
+
+def test_detectors(spark):
+    asked = ["¿Cómo evolucionó entre 2022 y FY 2023?", "FY2023 vs. 2022", "Variación 2022, 2023", "En 2022 y en 2023", "Ingresos 2023"]
+    said = ["No está en el informe", "n/a", "fuera del corpus", "sin cambios", "5 millones"]
+    failed = ["Status code: 429", "BadRequestResponseError: Provider returned error", "BadRequestResponseError", "timeout", None]
+    df = spark.createDataFrame(list(zip(range(5), asked, said, failed, strict=True)), "i int, q string, s string, e string")
+    rows = df.select(T.comparative(F.col("q")), T.no_answer(F.col("s")), T.transient_error(F.col("e"))).collect()
+    assert [r[0] for r in rows] == [True, True, True, False, False]
+    assert [r[1] for r in rows] == [True, True, True, False, False]
+    assert [r[2] for r in rows] == [True, True, False, False, False]
+
+
+def test_line_scores(spark):
+    from quaestor.plans.rows_only import line_score
+
+    lines = [("Ventas netas de 123 millones", "Las ventas fueron 123"), ("uno dos tres cuatro cinco seis", "uno dos tres cuatro cinco ocho"), ("uno dos tres cuatro", "uno dos otra cosa"), ("sin nada", "ni 123")]
+    out = [r.s for r in spark.createDataFrame(lines, "q string, l string").select(line_score(F.col("q"), F.col("l")).alias("s")).collect()]
+    assert out[0].numbers == 1 and out[0].words == 1 and out[1].words == 5 and abs(out[1].coverage - 5 / 6) < 1e-9 and out[2] is None and out[3] is None
+
+
+def test_collection_problems(spark):
+    from quaestor.operators import golden
+
+    df = spark.createDataFrame([(1, "comparativa"), (1, "numerica"), (2, "extractiva")], "id int, familia string")
+    assert sorted(tuple(r)[1] for r in golden.collection_problems(df, 4, 2).collect()) == ["comparatives 1 of 2", "count 3 of 4", "id_repeated"]
+    assert golden.collection_problems(df.dropDuplicates(["id"]), 2).count() == 0
+
+
+def test_blank_filters_are_refused():
+    for bad in ({"ticker": " "}, {"item": ""}):
+        with pytest.raises(ValueError):
+            tools.checked("q", 5, **bad)
