@@ -27,7 +27,7 @@ from .common import map_parts
 #: which those go that were not met lately.
 MAX_STATES, MAX_MATCHES = 200_000, 600_000
 #: Of what a worker keeps by default, the share that it keeps where texts and ids stay in memory beside it.
-FEWER = 0.3
+FEWER = 0.2
 #: Longer matches are encoded without being kept.
 KEPT_BYTES = 48
 
