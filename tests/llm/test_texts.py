@@ -156,9 +156,10 @@ def test_licenses_in_published_layouts(spark):
     assert [(i, k) for i, (k, _) in enumerate(data)] == sorted((i, {"MIT-text": "MIT"}.get(k, k)) for i, k in out.items())
 
 
-@pytest.mark.parametrize("chunk_words", [lm.CHUNK_WORDS, 50])
-def test_language_models_equal_brute_force(spark, docs, crowded, rows, empty, monkeypatch, chunk_words):
+@pytest.mark.parametrize(("chunk_words", "part_keys"), [(lm.CHUNK_WORDS, lm.PART_KEYS), (50, lm.PART_KEYS), (50, 100)])
+def test_language_models_equal_brute_force(spark, docs, crowded, rows, empty, monkeypatch, chunk_words, part_keys):
     monkeypatch.setattr(lm, "CHUNK_WORDS", chunk_words)
+    monkeypatch.setattr(lm, "PART_KEYS", part_keys)
     monkeypatch.setattr(lm, "BLOCK_CHARS", 100 * chunk_words)
     target = spark.createDataFrame([(i,) for i in (1, 2, 3, 45, 45, None)], "doc_id long")
     found = lm.score(crowded, target).collect()
