@@ -129,3 +129,8 @@ def number_groups(text: Column) -> Column:
     """The different groups of digits that aren't a year from 1900 to 2100."""
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0)))
     return F.filter(found, lambda d: ~((F.length(d) == 4) & d.try_cast("int").between(1900, 2100)))
+
+
+def zoned_time(text: Column) -> Column:
+    """An ISO date and time with its offset or Z, as a timestamp; null without either, as such a time has no one meaning."""
+    return F.when(F.trim(text).rlike(r"\d{2}:\d{2}.*(Z|[+-]\d{2}:?\d{2})$"), F.try_to_timestamp(F.trim(text)))

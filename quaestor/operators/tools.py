@@ -28,6 +28,26 @@ def checked(query: str, k: int, ticker: str | None = None, fiscal_year: int | No
     return {"query": query.strip(), "k": k, "ticker": upper(ticker), "fiscal_year": None if fiscal_year is None else int(fiscal_year), "item": upper(item)}
 
 
+# The four tools, the arguments that each takes and those of them that it can't do without.
+CONTRACT = {
+    "list_available": (set(), set()),
+    "get_xbrl_fact": ({"ticker", "fiscal_year", "concept"}, {"ticker", "fiscal_year", "concept"}),
+    "search_filings": ({"query", "ticker", "fiscal_year", "item", "k"}, {"query"}),
+    "read_section": ({"ticker", "fiscal_year", "item"}, {"ticker", "fiscal_year", "item"}),
+}
+
+
+def contract_problems(schemas: dict[str, dict]) -> list[str]:
+    """What sets tools, given by name with their JSON schemas, apart from CONTRACT; nothing if they are the same."""
+    out = [f"{name}: missing" for name in sorted(CONTRACT.keys() - schemas.keys())]
+    out += [f"{name}: unknown" for name in sorted(schemas.keys() - CONTRACT.keys())]
+    for name in sorted(CONTRACT.keys() & schemas.keys()):
+        for what, own, wanted in zip(("arguments", "required"), (schemas[name].get("properties", {}), schemas[name].get("required", ())), CONTRACT[name], strict=True):
+            if set(own) != wanted:
+                out.append(f"{name}: {what} {sorted(own)}, not {sorted(wanted)}")
+    return out
+
+
 @dataclass
 class Evidence:
     """Tables and an encoder (texts to vectors: a DataFrame (query_id, text) to (query_id, vector)) behind the tools."""

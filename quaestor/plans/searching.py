@@ -19,8 +19,9 @@ CANDIDATES = 50
 _SCORED = f"WITH {V.CHUNKS}, {V.bm25_sql('chunks', 'chunk_id', 'texto')}"
 _RANK = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank"
 _HITS = f"""{_SCORED}, best AS (SELECT query_id, id, score, {_RANK} FROM bm25 QUALIFY rank <= {K}), hits AS (SELECT b.query_id, b.score, b.rank, c.*, regexp_replace(c.chunk_id, '-[^-]*$', '-0000') AS parent FROM best b JOIN chunks c ON c.chunk_id = b.id)"""
-#: A score, which has 6 decimals, to 4, half up as Spark rounds.
+#: A score, which has 6 decimals, to 4 or 3, half up as Spark rounds.
 _SCORE4 = "floor(score * 10000 + 0.50001) / 10000"
+_SCORE3 = "floor(score * 1000 + 0.50001) / 1000"
 
 
 def hits(spark, sf_dir, k=K, **wanted):
@@ -47,12 +48,22 @@ def best_parent(spark, sf_dir):
     return hits(spark, sf_dir).groupBy("query_id", T.parent_id(F.col("chunk_id")).alias("parent")).agg(F.min("rank").alias("rank"), F.count("*").alias("n"))
 
 
-_RENDER = _HITS + rf""", lines AS (SELECT query_id, rank, printf('[%s] %s FY%d Item %s (puntuación %.4f)', chunk_id, ticker, fiscal_year, item, {_SCORE4}) || chr(10) || texto AS line FROM hits WHERE rank <= 3),
+# Both templates of a hit's first line, and the older one's text for no hits.
+_HEAD = "[%s] %s FY%d Item %s (puntuación %.4f)"
+_OLD_HEAD = "[%s] %s FY%d Item %s (similitud %.3f)"
+_OLD_EMPTY = "Sin resultados para esa consulta con esos filtros. Prueba a quitar algún filtro o a reformular la búsqueda."
+
+
+def _texts_sql(head, score):
+    return rf""", lines AS (SELECT query_id, rank, printf('{head}', chunk_id, ticker, fiscal_year, item, {score}) || chr(10) || texto AS line FROM hits WHERE rank <= 3),
 texts AS (SELECT query_id, string_agg(line, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS rendered FROM lines GROUP BY 1)"""
 
 
-def _rendered(spark, sf_dir):
-    line = F.concat(F.format_string("[%s] %s FY%d Item %s (puntuación %.4f)", "chunk_id", "ticker", "fiscal_year", "item", "score"), F.lit("\n"), "texto")
+_RENDER = _HITS + _texts_sql(_HEAD, _SCORE4)
+
+
+def _rendered(spark, sf_dir, head=_HEAD):
+    line = F.concat(F.format_string(head, "chunk_id", "ticker", "fiscal_year", "item", "score"), F.lit("\n"), "texto")
     h = hits(spark, sf_dir, 3).select("query_id", F.struct("rank", line.alias("line")).alias("l"))
     return h.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_list("l"))["line"], "\n\n---\n\n").alias("rendered"))
 
@@ -63,6 +74,13 @@ def render_hits(spark, sf_dir):
     return _rendered(spark, sf_dir)
 
 
+@query(_HITS + _texts_sql(_OLD_HEAD, _SCORE3) + f" SELECT item_id AS query_id, coalesce(rendered, '{_OLD_EMPTY}') AS rendered FROM benchmark LEFT JOIN texts ON query_id = item_id")
+def render_hits_legacy(spark, sf_dir):
+    """The older form of that text; a question without hits gets advice."""
+    texts = _rendered(spark, sf_dir, _OLD_HEAD)
+    return V.questions(spark, sf_dir).select("query_id").join(texts, "query_id", "left").select("query_id", F.coalesce("rendered", F.lit(_OLD_EMPTY)).alias("rendered"))
+
+
 @query(_RENDER + r""" SELECT query_id, array_to_string(regexp_extract_all(rendered, '(?m)^\[([A-Z0-9.-]+-\d{4}-[A-Z0-9.-]+-\d{4,})\]\s', 1), ',') AS ids FROM texts""")
 def parse_hit_ids(spark, sf_dir):
     """The ids back from a rendered text, in order."""

@@ -288,3 +288,10 @@ def unique_best_line(spark, sf_dir):
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"))
     best = lines.withColumn("r", F.rank().over(w)).where("r = 1").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("line").alias("line"))
     return best.select("doc_id", F.when(F.col("n") == 1, F.col("line")).alias("line"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 1 THEN floor(epoch(ts))::BIGINT WHEN 2 THEN floor(epoch(ts))::BIGINT - 7200 END AS seconds FROM events")
+def zoned_times(spark, sf_dir):
+    """Times of day with an offset, or none, in seconds of the epoch; those without are refused."""
+    said = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("event_id") % 3 == 1, "Z").when(F.col("event_id") % 3 == 2, "+02:00").otherwise(""))
+    return V.table(spark, sf_dir, "events").select("event_id", F.unix_timestamp(T.zoned_time(said)).alias("seconds"))

@@ -38,6 +38,30 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def write_audit(df: DataFrame, path: str) -> int:
+    """Interventions of guards as JSON lines in a folder that is overwritten; their number. Without any, nothing is written."""
+    if df.isEmpty():
+        return 0
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    return df.sparkSession.read.text(path).count()
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A report's rows twice, under `path`: `csv` as one part with a header, for people, and `json` lines with nulls written out."""
+    df.coalesce(1).write.mode("overwrite").csv(f"{path}/csv", header=True)
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/json")
+
+
+def find_corpus(spark: SparkSession, candidates: list[str], file: str = "chunks.jsonl") -> str:
+    """The first of the folders that has the file, on any file system that Spark reads; else FileNotFoundError names all."""
+    jvm = spark.sparkContext._jvm
+    for folder in candidates:
+        path = jvm.org.apache.hadoop.fs.Path(folder, file)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return folder
+    raise FileNotFoundError(f"no folder has {file}: {', '.join(candidates)}")
+
+
 def append_progress(df: DataFrame, path: str) -> None:
     """Finished results, with errors left out: they will be tried again."""
     df.where("error IS NULL").withColumn("stored_at", F.current_timestamp()).write.mode("append").parquet(path)

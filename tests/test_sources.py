@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaestor import schemas
-from quaestor.operators import chunking, manifest
+from quaestor.functions import text
+from quaestor.operators import chunking, manifest, tools
 from quaestor.operators.tools import Evidence
 from quaestor.sources import jsonl, tables
 from quaestor.streaming.evaluation import score_stream
@@ -108,3 +109,36 @@ def test_stream_scores_each_answer_once(spark, tmp_path):
         assert q.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.id, r.hit) for r in out.collect()) == [("a", False), ("b", True), ("c", True)]
+
+
+def test_audit_and_report_sinks(spark, tmp_path):
+    found = spark.createDataFrame([("a", "cita", None), ("b", "cifra", 2.5)], "id string, regla string, valor double")
+    assert tables.write_audit(found.limit(0), str(tmp_path / "none")) == 0 and not (tmp_path / "none").exists()
+    assert tables.write_audit(found, str(tmp_path / "audit")) == 2
+    tables.write_report(found, str(tmp_path / "report"))
+    want = {"a": ("cita", None), "b": ("cifra", 2.5)}
+    for back in (spark.read.json(str(tmp_path / "audit")), spark.read.json(str(tmp_path / "report/json")), spark.read.csv(str(tmp_path / "report/csv"), header=True)):
+        assert {r.id: (r.regla, None if r.valor is None else float(r.valor)) for r in back.collect()} == want
+
+
+def test_corpus_is_the_first_folder_that_has_its_file(spark, tmp_path):
+    folders = [tmp_path / x for x in "abc"]
+    for f in folders[1:]:
+        f.mkdir()
+        (f / "chunks.jsonl").write_text("{}")
+    assert tables.find_corpus(spark, [str(f) for f in folders]) == str(folders[1])
+    with pytest.raises(FileNotFoundError, match="chunks.jsonl"):
+        tables.find_corpus(spark, [str(folders[0])])
+
+
+def test_tools_keep_their_contract():
+    good = {n: {"properties": dict.fromkeys(a, {}), "required": sorted(r)} for n, (a, r) in tools.CONTRACT.items()}
+    assert tools.contract_problems(good) == []
+    bad = {n: s for n, s in good.items() if n != "read_section"} | {"other": {}, "search_filings": good["search_filings"] | {"required": ["k", "query"]}}
+    assert tools.contract_problems(bad) == ["read_section: missing", "other: unknown", "search_filings: required ['k', 'query'], not ['query']"]
+
+
+def test_times_need_an_offset(spark):
+    said = ["2024-05-06T07:08:09Z", "2024-05-06T07:08:09.5+02:00", "2024-05-06T07:08:09", "2024-05-06", "x:00:00Z", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").select("i", F.unix_timestamp(text.zoned_time(F.col("t"))).alias("s")).collect()
+    assert {r.i: r.s for r in rows} == {0: 1714979289, 1: 1714972089, 2: None, 3: None, 4: None, 5: None, 6: None}
