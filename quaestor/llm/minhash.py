@@ -210,8 +210,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     A document's set has its different shingles of `shingle_words` words (A-Z in lower case); a shorter text is one
     shingle, a null or empty one has none and is linked with nothing. Two documents are linked if 100 * intersection
     >= percent * union. component_id is the smallest doc_id that links reach, kept says that it is the row's own.
-    Rows of one doc_id and set give equal rows; one with a null id is a component of its own with a null component_id
-    and is kept. Columns other than doc_id and text don't matter.
+    Rows of one doc_id give equal rows: where their sets differ, the greatest text is the document's. One with a null id
+    is a component of its own with a null component_id and is kept. Columns other than doc_id and text don't matter.
 
     Equal sets first become one, by digest, so groups of copies cost a row each from there on. In each bucket the
     member whose hash with the bucket is smallest is the centre, and the others make a pair with it: as many pairs
@@ -220,15 +220,22 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     these agree enough, the one is compared on full sets with all of the other's component, in parts. So no link
     between members of a bucket is lost, and no group's pairs are written out.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     s = store(sketches(docs, shingle_words), "sketches")
-    sets = s.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("slots").alias("slots"))
+    digest = F.struct("n_shingles", "d1", "d2")
+    several = store(s.where("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("least"), F.max(digest).alias("most")).where("least <> most").select("doc_id"), "several")
+    greatest = store(docs.join(several, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")), "greatest")
+    named = store(sketches(greatest, shingle_words).select("doc_id", digest.alias("named")), "named")
+    s = s.join(named, "doc_id", "left").withColumn("digest", F.coalesce("named", digest))
+    sets = s.where(digest == F.col("digest")).where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("slots").alias("slots"))
     sets = store(sets, "sets")
     buckets = sets.select("rep", F.explode("bands").alias("key"))
     centres = store(buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key"), "rep"))["rep"].alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n"), "centres")  # a table of its own: then the join's hot keys can be split
     star = store(buckets.join(centres, "key"), "stars")
     pairs = store(star.where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-    texts = store(docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi"), "texts")
+    single = docs.join(several, "doc_id", "left_anti").unionAll(greatest)
+    texts = store(single.join(ids.hint("merge"), "doc_id", "left_semi"), "texts")
     links = store(confirm(pairs, texts, shingle_words, percent), "links")
     component = store(connected_components(links), "components")
     members = star.join(component, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component_id", "rep").alias("component"))
@@ -237,5 +244,5 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     more = store(confirm_with_components(asked, members, texts, shingle_words, percent), "links")
     component = store(connected_components(links.unionAll(more)), "components")
     rep = sets.join(component, F.col("rep") == F.col("id"), "left").select("d1", "d2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
-    out = s.join(rep, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = s.select("doc_id", "digest.*").join(rep, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -41,6 +41,16 @@ def test_connected_components(spark):
     assert out == components({x for e in real for x in e}, real)
 
 
+def test_minhash_greatest_text_of_an_id(spark):
+    rng = random.Random(8)
+    a, b = "a " + prose(rng, 60), "b " + prose(rng, 60)
+    data = [(1, a), (1, b), (2, a), (3, b), (4, None), (4, b + " end"), (5, "z"), (5, a), (1, a), (None, a), (None, b)]
+    found = minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 2, 80).collect()
+    want = {1: (60, 1), 2: (60, 2), 3: (60, 1), 4: (61, 1), 5: (1, 5)}
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found if r.doc_id) == Counter((i, *want[i]) for i, _ in data if i)
+    assert [(r.component_id, r.kept) for r in found if r.doc_id is None] == [(None, True)] * 2
+
+
 @pytest.mark.parametrize("size", [2, 5])
 def test_minhash_equals_brute_force(crowded, rows, empty, size):
     out = minhash.near_duplicates(crowded, size, 80).toPandas()
