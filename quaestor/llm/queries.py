@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cross_polytope, fertility, kdtree, licenses, lm, minhash, mixing, passages, zstd_quality
+from . import bpe, cross_polytope, divergence, fertility, hard_negatives, kdtree, licenses, lm, minhash, mixing, passages, url_rules, zstd_quality
 from .common import documents
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -58,6 +58,20 @@ def op10_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(zstd_quality.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted", "size_difference")
 
 
-QUERIES = {f.__name__: f for f in (op1_fertility, op2_mixing, op3_passages, op4_bpe, op5_lm, op6_licenses, op7_cross_polytope, op8_kdtree, op9_minhash, op10_zstd)}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
 
-ORACLES = {"op6_licenses": licenses.oracle()}
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.mine(v, anchor="id % 100 = 0", positives=5, negatives=5, percent=80)
+
+
+def op13_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+_ALL = (op1_fertility, op2_mixing, op3_passages, op4_bpe, op5_lm, op6_licenses, op7_cross_polytope, op8_kdtree, op9_minhash, op10_zstd, op11_divergence, op12_hard_negatives, op13_url_rules)
+QUERIES = {f.__name__: f for f in _ALL}
+
+ORACLES = {"op6_licenses": licenses.oracle(), "op11_divergence": divergence.oracle(), "op12_hard_negatives": hard_negatives.oracle(), "op13_url_rules": url_rules.oracle()}
