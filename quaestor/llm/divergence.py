@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +14,10 @@ from .common import store
 #: A term is a run of ASCII letters and of characters beyond ASCII; A-Z count as a-z.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The same by bytes of UTF-8: letters in lower case and bytes beyond ASCII stay, all else parts terms.
+LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Bytes of a text that become terms at once, and terms that a task counts before it passes them on.
+PART, HELD = 1 << 20, 500_000
 #: Documents of a language that a term must stand in to be kept.
 LEAST_DOCS = 10
 #: Terms that a group reports.
@@ -28,16 +36,51 @@ def loss(p: str, q: str) -> Column:
     return F.expr(f"(({p} - {q}) * ({p} - {q})) DIV ({p} + {q})")
 
 
+def terms(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of an UTF-8 text, in parts of about PART bytes that end between terms."""
+    plain, at = text.translate(LETTERS), 0
+    while at < len(plain):
+        end = plain.find(b" ", at + PART)
+        yield plain[at : end if end >= 0 else len(plain)].split()
+        at = end if end >= 0 else len(plain)
+
+
 def counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, count, docs): occurrences of each term in each group and documents of the group that have it.
 
-    A document's terms are sorted in its row, so that the first of each is marked and one pass counts both; rows are
-    summed before the shuffle, whose key has the term, so that no source or language is in one place.
+    Tasks count in tables of at most about HELD terms, so that little is shuffled; the shuffle's key has the term, so that no
+    source or language is in one place.
     """
-    terms = F.sort_array(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), F.lit(0)))
-    d = docs.select("lang", "source", terms.alias("terms"))
-    d = d.select("lang", "source", F.explode(F.arrays_zip("terms", F.expr("concat(array(''), terms)").alias("before"))).alias("t")).where("t.terms IS NOT NULL")
-    return d.groupBy("lang", "source", F.col("t.terms").alias("term")).agg(F.count("*").alias("count"), F.count_if(F.col("t.terms") != F.col("t.before")).alias("docs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+        def flush() -> pa.RecordBatch:
+            groups = [(*group, *both) for group, both in held.items()]
+            repeated = lambda i: pa.array([g[i] for g in groups for _ in g[2]], pa.string())
+            name = pa.array([t for g in groups for t in g[2]], pa.binary()).cast(pa.string())
+            out = [repeated(0), repeated(1), name, pa.array([n for g in groups for n in g[2].values()], pa.int64()), pa.array([g[3][t] for g in groups for t in g[2]], pa.int64())]
+            held.clear()
+            return pa.RecordBatch.from_arrays(out, names=["lang", "source", "term", "count", "docs"])
+
+        size = 0
+        for batch in batches:
+            for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text"), strict=True):
+                every, once = held.setdefault((lang, source), (Counter(), Counter()))
+                before, seen = len(every), set()
+                for part in terms(text.as_py()):
+                    every.update(part)
+                    seen.update(part)
+                once.update(seen)
+                size += len(every) - before
+                if size >= HELD:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    found = docs.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(run, "lang string, source string, term string, count long, docs long")
+    return found.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
 
 
 def joint_counts(kept: DataFrame, groups: DataFrame) -> DataFrame:
