@@ -80,7 +80,8 @@ def counts(docs: DataFrame) -> DataFrame:
             yield flush()
 
     found = docs.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(run, "lang string, source string, term string, count long, docs long")
-    return found.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    # dealt by language and term once: sums by source, and those over a term's sources, then need no other shuffle
+    return found.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
 
 
 def joint_counts(kept: DataFrame, groups: DataFrame) -> DataFrame:
@@ -126,11 +127,10 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
     rows is summed before each shuffle.
     """
     d = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    found = store(counts(d), "counts")
-    vocabulary = found.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("all")).where(F.col("docs") >= least_docs).select("lang", "term", "all")
-    vocabulary = store(vocabulary, "vocabulary")
-    kept = store(found.join(vocabulary, ["lang", "term"]).select("lang", "source", "term", "count", "all"), "kept")
-    whole = vocabulary.groupBy("lang").agg(F.count("*").alias("v"), F.sum("all").alias("lang_n"))
+    of_term = Window.partitionBy("lang", "term")  # a row for each source that has it
+    found = counts(d).withColumn("all_docs", F.sum("docs").over(of_term)).withColumn("all", F.sum("count").over(of_term)).withColumn("one", F.min("source").over(of_term) == F.col("source"))
+    kept = store(found.where(F.col("all_docs") >= least_docs).select("lang", "source", "term", "count", "all", "one"), "kept")
+    whole = kept.groupBy("lang").agg(F.count_if("one").alias("v"), F.sum("count").alias("lang_n"))
     own = kept.groupBy("lang", "source").agg(F.sum("count").alias("n"))
     groups = d.select("lang", "source").distinct().join(whole, "lang", "left").join(own, ["lang", "source"], "left")
     zero = F.lit(0).cast("long")
