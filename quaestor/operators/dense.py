@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries are scored against the corpus in blocks of so many: what a task holds at once.
-QUERY_BLOCK = 1024
+#: Vectors and queries of a block at most; a smaller table of vectors has PARTS blocks, or blocks of LEAST vectors.
+BLOCK, LEAST, PARTS = 16_384, 1024, 32
+#: Scores that a task holds at once.
+SCORES = 4_000_000
 
 
 def metadata_filter(**wanted) -> Column:
@@ -28,30 +28,36 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank): the k nearest of each query, in blocks of queries as matrix products.
-
-    Queries come to the driver QUERY_BLOCK at a time and go to the tasks with the block's closure; each task keeps k for
-    each query and batch of rows, ties by id, and a window keeps k of those.
-    """
-    found = None
-    rows = queries.select("query_id", "vector").orderBy("query_id").toLocalIterator()
-    while block := [r for _, r in zip(range(QUERY_BLOCK), rows, strict=False)]:
-        part = _block(vectors, [r[0] for r in block], np.array([r[1] for r in block], dtype=np.float64), k, dict(queries.dtypes)["query_id"])
-        found = part if found is None else found.unionAll(part)
-    if found is None:
-        return top_k(queries.select("query_id").join(vectors.select("id"), F.lit(False)).withColumn("score", F.lit(0.0)), k)
-    return top_k(found, k)
+def _best(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best of a block of vectors for each of a block of queries, in slices of queries."""
+    if not len(queries) or not len(vectors):
+        return pd.DataFrame({"query_id": queries["query_id"][:0], "id": vectors["id"][:0], "score": np.zeros(0)})
+    vectors = vectors.sort_values("id", ignore_index=True)  # a stable sort of scores then breaks ties by id
+    ids, matrix = vectors["id"].to_numpy(), np.array(vectors["vector"].tolist(), dtype=np.float64).T
+    out, step = [], max(1, SCORES // len(vectors))
+    for at in range(0, len(queries), step):
+        part = queries.iloc[at : at + step]
+        s = np.round(np.array(part["vector"].tolist(), dtype=np.float64) @ matrix, 6) + 0.0
+        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        out.append(pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), best.shape[1]), "id": ids[best.ravel()], "score": np.take_along_axis(s, best, axis=1).ravel()}))
+    return pd.concat(out, ignore_index=True)
 
 
-def _block(vectors: DataFrame, ids: list, matrix: np.ndarray, k: int, query_type: str) -> DataFrame:
-    names = np.array(ids)
+def search(vectors: DataFrame, queries: DataFrame, k: int, on: str | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the k nearest of each query, ties by id; with `on`, of the vectors with the query's own value (also null) there.
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch.sort_values("id", ignore_index=True)
-            s = np.round(matrix @ np.array(batch["vector"].tolist(), dtype=np.float64).T, 6) + 0.0
-            at = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            yield pd.DataFrame({"query_id": np.repeat(names, at.shape[1]), "id": batch["id"].to_numpy()[at.ravel()], "score": np.take_along_axis(s, at, axis=1).ravel()})
-
-    return vectors.select("id", "vector").mapInPandas(best, f"query_id {query_type}, id {dict(vectors.dtypes)['id']}, score double")
+    Queries and vectors are dealt to blocks by a hash of their ids, and each pair of blocks is one matrix product that
+    keeps k for each query; a window keeps k of those. Both tables are read once and pass no driver, whatever
+    the number of queries or of values of `on`.
+    """
+    n = vectors.count()
+    width, height = max(1, -(-n // max(LEAST, min(BLOCK, n // PARTS)))), max(1, -(-queries.count() // BLOCK))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = [F.col(on).isNull().alias("_null"), F.coalesce(F.col(on).cast("string"), F.lit("")).alias("_on")] if on else []
+    left = queries.select("query_id", "vector", *own).withColumn("_q", dealt("query_id", height)).withColumn("_v", every(width))
+    right = vectors.select("id", "vector", *own).withColumn("_v", dealt("id", width)).withColumn("_q", every(height))
+    keys = ["_q", "_v", *(("_null", "_on") if on else ())]
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, id {dict(vectors.dtypes)['id']}, score double"
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda q, v: _best(q, v, k), schema)
+    return top_k(found, k)

@@ -15,12 +15,26 @@ def ranked(scored: DataFrame, name: str, *ties: str) -> DataFrame:
     return scored.select("query_id", "id", F.row_number().over(w).alias(name))
 
 
+def global_ranks(candidates: DataFrame, scored: DataFrame, name: str) -> DataFrame:
+    """(query_id, id, name): the rank among all scored rows of those of the candidates that are scored, ties by id.
+
+    A query's candidates, a bounded number, become a sorted list. Each scored row finds how many of them stand before
+    it; rows are counted by that before the shuffle, and the running sum of these counts is a candidate's rank. So no task
+    sorts all rows of a query.
+    """
+    place = F.struct((-F.col("score")).alias("down"), "id")
+    lists = scored.join(candidates.select("query_id", "id"), ["query_id", "id"]).groupBy("query_id").agg(F.sort_array(F.collect_list(place)).alias("places"))
+    before = scored.join(lists, "query_id").select("query_id", F.size(F.filter("places", lambda p: p < place)).alias("at")).groupBy("query_id", "at").agg(F.count("*").alias("n"))
+    running = before.select("query_id", "at", F.sum("n").over(Window.partitionBy("query_id").orderBy("at")).cast("int").alias(name))
+    return lists.select("query_id", F.posexplode("places").alias("at", "p")).join(running, ["query_id", "at"]).select("query_id", F.col("p.id").alias("id"), name)
+
+
 def fuse_global(dense: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
     """Dense candidates with their lexical rank over the whole corpus; ties go to the better dense rank.
 
     dense: (query_id, id, score) of the candidates. lexical: (query_id, id, score) of documents that score above none.
     """
-    both = ranked(dense, "dense_rank").join(ranked(lexical, "lexical_rank"), ["query_id", "id"], "left")
+    both = ranked(dense, "dense_rank").join(global_ranks(dense, lexical, "lexical_rank"), ["query_id", "id"], "left")
     both = both.withColumn("lexical_rank", F.coalesce("lexical_rank", F.lit(ABSENT)))
     return _best(both, k)
 

@@ -1,35 +1,143 @@
-"""BM25 over a corpus of (id, text): statistics, and scores of a set of queries against all documents."""
+"""BM25 over a corpus of (id, text): scores of a set of queries against all documents, at once or by a stored inverted index."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.functions import text as T
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Groups of terms of an index; a search reads the postings of those that its terms are in.
+BUCKETS = 64
+#: Postings that a task holds before it passes them on.
+HELD = 200_000
+
+
+def wanted(queries: DataFrame) -> DataFrame:
+    """(query_id, term, qf): how often each token stands in each query."""
+    return queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+
+
+def inverse_frequencies(df: DataFrame, n: Column, avgdl: Column) -> DataFrame:
+    """(term, avgdl, idf) of (term, df); a negative one becomes EPSILON of the mean over all terms (to 9 decimals)."""
+    df = df.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).withColumn("avgdl", avgdl)
+    floor = df.agg(F.round(EPSILON * F.avg("raw"), 9).alias("floor"))
+    return df.crossJoin(F.broadcast(floor)).select("term", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))  # one row
 
 
-def term_counts(corpus: DataFrame) -> DataFrame:
-    """(id, term, tf, dl): how often each token stands in each document, and the document's length."""
-    t = corpus.select("id", T.tokens(F.col("text")).alias("tokens"))
-    t = t.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return t.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+def weighted(hits: DataFrame) -> DataFrame:
+    """(query_id, id, score) of (query_id, id, qf, idf, tf, dl, avgdl), to 6 decimals."""
+    weight = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return hits.groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))
 
 
 def bm25(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, score) for documents that share a token with a query (the others score 0), to 6 decimals.
 
-    Okapi weights; a negative inverse frequency becomes EPSILON of the mean over all terms (to 9 decimals). A query's repeated tokens
-    count each time. Only terms that some query has are joined to documents.
+    Okapi weights; a query's repeated tokens count each time. Ids are unique. One pass counts the documents of each term,
+    summed before the shuffle; another keeps tokens that some query has before anything is shuffled by document. Who
+    asks a corpus more than once builds an Index.
     """
-    size = corpus.agg(F.count("*").alias("n"), F.avg(F.size(T.tokens(F.col("text")))).alias("avgdl"))
-    counts = term_counts(corpus)
-    df = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(size)  # one row of size
-    df = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = df.agg(F.round(EPSILON * F.avg("raw"), 9).alias("floor"))
-    idf = df.crossJoin(floor).select("term", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    wanted = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    weight = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = counts.join(wanted.join(idf, "term"), "term")
-    return hits.groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))
+    tokens = corpus.select("id", T.tokens(F.col("text")).alias("tokens"))
+    size = corpus.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.size(T.tokens(F.col("text"))), F.lit(0))).alias("avgdl"))  # a null text has none
+    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = inverse_frequencies(df.crossJoin(F.broadcast(size)), F.col("n"), F.col("avgdl"))  # one row
+    asked = wanted(queries)
+    terms = tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    counts = terms.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return weighted(counts.join(asked.join(idf, "term"), "term"))
+
+
+def counted(corpus: DataFrame) -> DataFrame:
+    """(id, dl, term, tf, df): a row for each different token of each document, counted inside its row; no shuffle. df is 1."""
+    kind = dict(corpus.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, dls, terms, tfs = [], [], [], []
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(ids, own), pa.array(dls, pa.int32()), pa.array(terms, pa.string()), pa.array(tfs, pa.int64())], names=["id", "dl", "term", "tf"])
+            for column in (ids, dls, terms, tfs):
+                column.clear()
+            return out
+
+        for batch in batches:
+            own = batch.column("id").type
+            for id_, tokens in zip(batch.column("id").to_pylist(), batch.column("tokens"), strict=True):
+                tokens = tokens.as_py()
+                found = Counter(tokens)
+                ids += [id_] * len(found)
+                dls += [len(tokens)] * len(found)
+                terms += found.keys()
+                tfs += found.values()
+                if len(ids) >= HELD:
+                    yield flush()
+            if ids:
+                yield flush()
+
+    tokens = corpus.select("id", T.tokens(F.col("text")).alias("tokens")).where("size(tokens) > 0")
+    return tokens.mapInArrow(run, f"id {kind}, dl int, term string, tf long")
+
+
+def _bucket(term: str = "term") -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+@dataclass
+class Index:
+    """A stored inverted index of (id, text): postings by bucket of their term, document counts of terms, lengths of documents.
+
+    A folder has `postings` (id, dl, term, tf), sorted by term in files of one bucket or part of a hot one, `terms` (term,
+    df), `documents` (id, dl), all by batch, and `batches` (batch, n, length), a row for each batch that is whole: it is
+    written last, and what a writer that died left is never read. Ids are unique over all batches; null texts have no tokens.
+    """
+
+    spark: SparkSession
+    path: str
+
+    def append(self, corpus: DataFrame) -> Index:
+        """Adds a batch of documents; the counts of earlier ones stay as they are."""
+        batch = uuid.uuid4().hex
+        postings = counted(corpus).withColumn("bucket", _bucket())
+        postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/postings/batch={batch}")
+        kept = self.spark.read.schema("term string, bucket int").parquet(f"{self.path}/postings/batch={batch}")
+        kept.groupBy("bucket", "term").agg(F.count("*").alias("df")).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/terms/batch={batch}")
+        corpus.select("id", F.coalesce(F.size(T.tokens(F.col("text"))), F.lit(0)).alias("dl")).withColumn("dl", F.greatest("dl", F.lit(0))).write.parquet(f"{self.path}/documents/batch={batch}")
+        sizes = self.spark.read.parquet(f"{self.path}/documents/batch={batch}").agg(F.lit(batch).alias("batch"), F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length"))
+        sizes.coalesce(1).write.mode("append").parquet(f"{self.path}/batches")
+        return self
+
+    def _read(self, table: str, batches: list[str]) -> DataFrame:
+        """A table's rows of whole batches; batches and buckets are folders, so that Spark reads only those it needs."""
+        return self.spark.read.option("basePath", f"{self.path}/{table}").parquet(*(f"{self.path}/{table}/batch={b}" for b in batches))
+
+    def search(self, queries: DataFrame) -> DataFrame:
+        """(query_id, id, score) as bm25() gives it. Reads the postings of the buckets of the queries' terms alone."""
+        rows = self.spark.read.parquet(f"{self.path}/batches").collect()  # one for each append
+        n, length, batches = sum(r.n for r in rows), sum(r.length for r in rows), [r.batch for r in rows if r.length]
+        if not batches:
+            return queries.select("query_id").join(self._read("documents", [r.batch for r in rows]).select("id"), F.lit(False)).withColumn("score", F.lit(0.0))
+        asked = wanted(queries).withColumn("bucket", _bucket())
+        buckets = sorted(r.bucket for r in asked.select("bucket").distinct().collect())  # at most BUCKETS
+        df = self._read("terms", batches).groupBy("bucket", "term").agg(F.sum("df").alias("df"))
+        idf = inverse_frequencies(df, F.lit(n), F.lit(length / max(n, 1)))
+        postings = self._read("postings", batches).where(F.col("bucket").isin(buckets))
+        return weighted(postings.join(asked.join(idf, "term"), ["bucket", "term"]))
+
+    def search_all(self, queries: DataFrame) -> DataFrame:
+        """The same with a score of 0 for each document that shares no token with the query: a row for each of both."""
+        batches = [r.batch for r in self.spark.read.parquet(f"{self.path}/batches").collect()]
+        every = queries.select("query_id").join(self._read("documents", batches).select("id"))
+        return every.join(self.search(queries), ["query_id", "id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def build(corpus: DataFrame, path: str) -> Index:
+    """An index of a corpus in a folder that no index is in yet."""
+    return Index(corpus.sparkSession, path).append(corpus)

@@ -22,8 +22,7 @@ def _dense(spark, sf_dir, k=CANDIDATES):
 
 
 def _bm25(spark, sf_dir):
-    corpus = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return lexical.bm25(corpus, V.questions(spark, sf_dir))
+    return V.index(spark, sf_dir, "documents").search(V.questions(spark, sf_dir))
 
 
 @query(f"""WITH {V.BM25} SELECT query_id, id, score FROM bm25""")
@@ -32,6 +31,19 @@ def bm25_scores(spark, sf_dir):
     return _bm25(spark, sf_dir)
 
 
+@query(f"""WITH {V.BM25} SELECT item_id AS query_id, doc_id AS id, coalesce(score, 0) AS score FROM benchmark CROSS JOIN documents LEFT JOIN bm25 ON bm25.query_id = item_id AND bm25.id = doc_id""")
+def bm25_every_document(spark, sf_dir):
+    """Scores of all documents for each question, zeros included, by the stored index."""
+    return V.index(spark, sf_dir, "documents").search_all(V.questions(spark, sf_dir))
+
+
+@query(f"""WITH {V.BM25} SELECT query_id, id, score FROM bm25""")
+def bm25_unindexed(spark, sf_dir):
+    """The same scores from the texts alone, without an index."""
+    corpus = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return lexical.bm25(corpus, V.questions(spark, sf_dir))
+
+
 @query(f"""WITH {V.BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm25) SELECT query_id, id, score, rank FROM r WHERE rank <= 5""")
 def bm25_topk(spark, sf_dir):
     """E02, F02."""
@@ -98,8 +110,8 @@ def rrf_modes(spark, sf_dir):
 @query(_FUSED + """ SELECT d.query_id, d.id, dense_rank, coalesce(lexical_rank, 1000000) AS lexical_rank, round(1.0::DOUBLE / (60 + dense_rank), 9) AS dense_term FROM d LEFT JOIN l ON d.query_id = l.query_id AND d.id = l.id""")
 def rank_merge(spark, sf_dir):
     """The two ranks side by side."""
-    d, b = fusion.ranked(_dense(spark, sf_dir), "dense_rank"), fusion.ranked(_bm25(spark, sf_dir), "lexical_rank")
-    j = d.join(b, ["query_id", "id"], "left")
+    near = _dense(spark, sf_dir)
+    j = fusion.ranked(near, "dense_rank").join(fusion.global_ranks(near, _bm25(spark, sf_dir), "lexical_rank"), ["query_id", "id"], "left")
     return j.select("query_id", "id", F.col("dense_rank").cast("long").alias("dense_rank"), F.coalesce("lexical_rank", F.lit(fusion.ABSENT)).cast("long").alias("lexical_rank"), F.round(N.reciprocal_rank(F.col("dense_rank")), 9).alias("dense_term"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quaestor.functions import text as T
-from quaestor.operators import dense, fusion, lexical
+from quaestor.operators import dense, fusion
 
 from . import views as V
 from .registry import query
@@ -26,12 +26,14 @@ _SCORE3 = "floor(score * 1000 + 0.50001) / 1000"
 
 def hits(spark, sf_dir, k=K, **wanted):
     """The k best chunks of each question, with their columns, score and rank; weights are those of all chunks, filters come before k."""
-    c = V.chunks(spark, sf_dir)
-    scored = lexical.bm25(c.select(F.col("chunk_id").alias("id"), F.col("texto").alias("text")), V.questions(spark, sf_dir))
+    scored = V.index(spark, sf_dir, "chunks").search(V.questions(spark, sf_dir))
     if wanted:
-        scored = scored.join(c.where(dense.metadata_filter(**wanted)).select(F.col("chunk_id").alias("id")), "id", "left_semi")
+        scored = scored.join(V.chunks(spark, sf_dir).where(dense.metadata_filter(**wanted)).select(F.col("chunk_id").alias("id")), "id", "left_semi")
     best = dense.top_k(scored, k).withColumn("rank", F.col("rank").cast("long")).withColumnRenamed("id", "chunk_id")
-    return best.join(c, "chunk_id")
+    # only documents of hits are cut again; their number stands in a chunk's id
+    best = best.withColumn("doc_id", F.regexp_extract("chunk_id", r"\.(\d+)-\d+-[^-]+-\d+$", 1).cast("long"))
+    named = V.table(spark, sf_dir, "documents").join(best.select("doc_id").distinct(), "doc_id", "left_semi")
+    return best.drop("doc_id").join(V.chunks(spark, sf_dir, named), "chunk_id")
 
 
 @query(_HITS + """, one AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent ORDER BY rank, chunk_id) AS n FROM hits), k AS (SELECT query_id, parent, chunk_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS parent_rank FROM one WHERE n = 1) SELECT * FROM k WHERE parent_rank <= 3""")
@@ -186,19 +188,14 @@ def configurations(spark, sf_dir, k=K):
     no encoder for it here, so it is ranked by BM25, and rewrite_fused fuses that with the question's vector.
     """
     v, q = V.vectors(spark, sf_dir), V.question_vectors(spark, sf_dir)
-    corpus = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    corpus = V.index(spark, sf_dir, "documents")
     c = V.table(spark, sf_dir, "conversations").where("turn = 0 AND role = 'user'").select(F.col("conv_id").alias("query_id"), F.col("text").alias("rewrite"))
     said = V.questions(spark, sf_dir).join(c, "query_id", "left").select("query_id", F.coalesce("rewrite", "text").alias("text"))
     near = dense.search(v, q, CANDIDATES).drop("rank")
-    plain, rewritten = lexical.bm25(corpus, V.questions(spark, sf_dir)), lexical.bm25(corpus, said)
+    plain, rewritten = corpus.search(V.questions(spark, sf_dir)), corpus.search(said)
     labelled = q.join(v.select(F.col("id").alias("query_id"), "label"), "query_id")
-    filtered = None
-    for r in labelled.select("label").distinct().orderBy("label").collect():
-        part = dense.search(v.where(F.col("label").eqNullSafe(r.label)), labelled.where(F.col("label").eqNullSafe(r.label)), k)
-        filtered = part if filtered is None else filtered.unionAll(part)
-    lists = {"bm25": dense.top_k(plain, k), "flat": dense.top_k(near, k), "fused": fusion.fuse_global(near, plain, k), "rewrite": dense.top_k(rewritten, k), "rewrite_fused": fusion.fuse_global(near, rewritten, k)}
-    if filtered is not None:
-        lists["filtered"] = filtered
+    filtered = dense.search(v, labelled, k, on="label")
+    lists = {"bm25": dense.top_k(plain, k), "flat": dense.top_k(near, k), "fused": fusion.fuse_global(near, plain, k), "rewrite": dense.top_k(rewritten, k), "rewrite_fused": fusion.fuse_global(near, rewritten, k), "filtered": filtered}
     out = None
     for name, found_ in lists.items():
         part = found_.select(F.lit(name).alias("config"), "query_id", "id", F.col("rank").cast("long").alias("rank"))

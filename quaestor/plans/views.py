@@ -5,10 +5,14 @@ Each view is a function of (spark, sf_dir) and, in capitals, its SQL as a body o
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.functions import text as T
+from quaestor.operators import lexical
+from quaestor.sources.tables import shared_folder
 
 CHUNK, STEP = 400, 320
 
@@ -17,8 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+def sections(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """All documents, or those `of` a table, as sections."""
+    d = table(spark, sf_dir, "documents") if of is None else of
     item = F.element_at(F.array(*(F.lit(x) for x in ("1A", "7", "7A", "8"))), (F.col("doc_id") % 4 + 1).cast("int"))
     return d.select("doc_id", F.upper("source").alias("ticker"), (F.col("doc_id") % 2 + 2024).alias("fiscal_year"), item.alias("item"), F.col("text").alias("texto"), F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
@@ -27,9 +32,9 @@ SECTIONS = """sections AS (SELECT doc_id, upper(source) AS ticker, 2024 + doc_id
  text AS texto, len(regexp_extract_all(lower(text), '[a-z0-9$%.]+'))::BIGINT AS n_tokens FROM documents)"""
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chunks(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
     """Windows of CHUNK characters, every STEP of them, of each section; a document is a ticker of its own."""
-    s = sections(spark, sf_dir).withColumn("ticker", F.concat_ws(".", "ticker", "doc_id")).withColumn("length", F.length("texto"))
+    s = sections(spark, sf_dir, of).withColumn("ticker", F.concat_ws(".", "ticker", "doc_id")).withColumn("length", F.length("texto"))
     s = s.where("length > 0").withColumn("posicion", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.col("length") - 1 - (CHUNK - STEP), F.lit(0)) / STEP).cast("int"))))
     start = F.col("posicion") * STEP
     s = s.withColumn("texto", F.substring("texto", start + 1, F.lit(CHUNK))).withColumn("inicio_car", start.cast("long"))
@@ -82,6 +87,19 @@ bm25 AS (SELECT query_id, tf.id, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (1
 BM25 = bm25_sql("documents", "doc_id", "text")
 
 
+_INDEXES: dict[tuple, lexical.Index] = {}
+
+
+def index(spark: SparkSession, sf_dir: str, corpus: str) -> lexical.Index:
+    """The stored index of all `documents` or `chunks`, built when it is first asked for and again if the files change."""
+    files = table(spark, sf_dir, "documents").agg(F.count("*"), F.max("_metadata.file_modification_time"), F.sum(F.xxhash64("_metadata.file_path", "_metadata.file_size").cast("decimal(38,0)"))).first()
+    key = (spark.sparkContext.applicationId, corpus, sf_dir, *files)
+    if key not in _INDEXES:
+        rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text") if corpus == "documents" else chunks(spark, sf_dir).select(F.col("chunk_id").alias("id"), F.col("texto").alias("text"))
+        _INDEXES[key] = lexical.build(rows, f"{shared_folder(spark)}/indexes/{corpus}-{uuid.uuid4().hex}")
+    return _INDEXES[key]
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reported values by market segment and year, summed in whole cents so that any order gives the same."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")

@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.schemas import FACT, RESULT, VECTOR
 
+_own_folder: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for tables of its jobs; where a local session names none, a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="quaestor-"))
+    return _own_folder[0]
+
 
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FACT).parquet(path)
