@@ -28,22 +28,28 @@ SPELLINGS = {
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What follows `copyright` where a licence's own sentence was wrapped before it.
 BODY = "act|and|are|as|claims?|disclaimer|doctrines|for|holders?|if|in|infringement|interests?|is|law|laws|license|licenses|licence|licences|like|notice|notices|of|on|or|owners?|ownership|patent|permission|protection|resulting|rights|statements?|status|the software|to|treaty|under"
-#: A line that only says who holds the rights: `copyright` with a sign, a year or a holder, a sign with a year or a short
-#: name, or `all rights reserved` alone.
-HOLDER = rf"(^|\n)[ \t]*(?:copyright:?[ \t]*(?:\(c\)|©|\d{{4}})[^\n]*|copyright:?[ \t]+(?!(?:{BODY})\b)[^\n]+|\(c\)[ \t]*\d{{4}}[^\n]*|\(c\)[ \t]+\S+(?:[ \t]+\S+){{0,3}}[ \t\r]*(?=\n|\z)|©[^\n]*|all rights reserved[. \t\r]*(?=\n|\z))"
-#: The same in the SQL of oracle(), which deletes any line with such a beginning.
-COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: A line that only says who holds the rights, in lower case: any of these and none of NOT_HOLDER. `copyright` with a sign, a
+#: year or a holder, a sign with a year or a short name, or `all rights reserved` alone. The patterns mean the same to Java and RE2.
+_GAP, _SOLID = r"[ \t]", r"[^ \t\n\r\f\x0B]"
+HOLDER = rf"^{_GAP}*(copyright:?{_GAP}*(\(c\)|©|[0-9][0-9][0-9][0-9])|copyright:?{_GAP}+[^ \t]|\(c\){_GAP}*[0-9][0-9][0-9][0-9]|\(c\){_GAP}+{_SOLID}+({_GAP}+{_SOLID}+)?({_GAP}+{_SOLID}+)?({_GAP}+{_SOLID}+)?[ \t\r]*\z|©|all rights reserved[. \t\r]*\z)"
+NOT_HOLDER = rf"^{_GAP}*copyright:?{_GAP}+({BODY})([^a-z0-9_]|\z)"
 #: What isn't a letter or digit; characters beyond ASCII stay.
 PUNCTUATION = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
 
 def canonical(text: Column) -> Column:
     """A text's canonical form: A-Z in lower case, no copyright lines, words joined by single spaces, one spelling."""
-    plain = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), HOLDER, "$1")
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(plain, PUNCTUATION, " ")), F.lit(" "))
+    lines = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), "\n")
+    plain = F.array_join(F.filter(lines, lambda line: ~line.rlike(HOLDER) | line.rlike(NOT_HOLDER)), "\n")
+    # two spaces between words, so that each has spaces of its own
+    out = F.concat(F.lit(" "), F.replace(F.trim(F.regexp_replace(plain, PUNCTUATION, " ")), F.lit(" "), F.lit("  ")), F.lit(" "))
     for old, new in SPELLINGS.items():
-        out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(out)
+        out = F.replace(out, F.lit(_spaced(old)), F.lit(_spaced(new)))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
+
+
+def _spaced(words: str) -> str:
+    return f" {words.replace(' ', '  ')} "
 
 
 def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
@@ -62,20 +68,21 @@ def scan(docs: DataFrame, licenses: DataFrame) -> DataFrame:
     return table.join(licenses, "digest", "left").select("doc_id", "digest", "license_id")
 
 
-def oracle() -> str:
-    """DuckDB SQL of scan() over documents with the known texts."""
+def oracle(texts: dict[str, str] | None = None) -> str:
+    """DuckDB SQL of scan() over documents with the known texts: the same patterns, spellings and texts."""
 
     def quoted(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
 
     def form(column: str) -> str:
-        plain = f"regexp_replace(translate(coalesce({column}, ''), '{UPPER}', '{LOWER}'), {quoted(COPYRIGHT)}, '\\1', 'g')"
-        out = f"(' ' || trim(regexp_replace({plain}, {quoted(PUNCTUATION)}, ' ', 'g')) || ' ')"
+        lines = f"string_split(translate(coalesce({column}, ''), '{UPPER}', '{LOWER}'), chr(10))"
+        plain = f"array_to_string(list_filter({lines}, lambda line: NOT regexp_matches(line, {quoted(HOLDER)}) OR regexp_matches(line, {quoted(NOT_HOLDER)})), chr(10))"
+        out = f"(' ' || replace(trim(regexp_replace({plain}, {quoted(PUNCTUATION)}, ' ', 'g')), ' ', '  ') || ' ')"
         for old, new in SPELLINGS.items():
-            out = f"replace({out}, ' {old} ', ' {new} ')"
-        return f"sha256(trim({out}))"
+            out = f"replace({out}, '{_spaced(old)}', '{_spaced(new)}')"
+        return f"sha256(trim(replace({out}, '  ', ' ')))"
 
-    rows = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in sorted(KNOWN.items()))
+    rows = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in sorted(texts.items() if texts else [*KNOWN.items(), *more()]))
     return f"""WITH known AS (SELECT {form('text')} AS digest, min(license_id) AS license_id FROM (VALUES {rows}) AS k(license_id, text) GROUP BY 1),
 scanned AS (SELECT doc_id, {form('text')} AS digest FROM documents)
 SELECT doc_id, scanned.digest AS digest, license_id FROM scanned LEFT JOIN known ON scanned.digest = known.digest"""
