@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop, store
@@ -18,8 +18,8 @@ SAMPLE_PER_CLASS = 3000
 DICT_BYTES = 64 * 1024
 #: A text is compressed in pieces of so many bytes, all of them: the dictionary then counts alike everywhere in it.
 PIECE = 1024
-#: A dictionary is made from at most so many pieces of its class's sampled rows, those with the smallest hashes.
-SAMPLE_PIECES = 6000
+#: The rows that a dictionary is made from have so many bytes together at most; each is learnt whole.
+SAMPLE_BYTES = 6 << 20
 
 
 def _pieces(text: str | None) -> list[bytes]:
@@ -82,17 +82,19 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, pieces: int = SAMPLE_PIECES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> Model:
     """Fits on at most `per_class` labelled documents of each class that are not held out, on the whole of their texts.
 
     The rows are those whose hashed ids are smallest. Their ids, at most 2 * per_class, are broadcast to the scan of
-    the documents, so that no text but theirs moves; labels that are neither 0 nor 1 and null ids are left out. Rows of
-    even hash make the dictionaries: their texts are cut to pieces on the executors, and at most `pieces` of all of
-    these, by hash, come to the driver for each class. The others set the curve: they are compressed on the executors,
-    and a number for each comes back. So the driver's share is bounded, however long the texts.
+    the documents, so that no text but theirs moves; labels that are neither 0 nor 1, null ids, and ids that have both labels
+    are left out. Rows of even hash make the dictionaries: of each class as many, in the order of their hashes, as have
+    most_bytes together, each whole (one that has more by itself isn't in the sample), are cut to pieces on the
+    executors and come to the driver. The others set the curve: they are compressed on the executors, and a number for
+    each comes back. So the driver's share is bounded, however long the texts.
     """
     rank = F.xxhash64("doc_id", "quality")
-    usable = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).dropDuplicates()
+    usable = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
+    usable = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
     chosen = None
     for q in (0, 1):
         some = usable.where(F.col("quality") == q).withColumn("rank", rank).orderBy("rank", "doc_id").limit(per_class)
@@ -104,12 +106,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
     def cut(series: pd.Series) -> pd.Series:
         return series.map(_pieces)
 
-    learnt = texts.where("fold = 0").select("rank", "doc_id", "quality", F.posexplode(cut("text")).alias("at", "piece"))
-    order = [F.xxhash64("doc_id", "at", "piece"), "doc_id", "at", "piece"]
-    made = []
-    for q in (1, 0):
-        best = learnt.where(F.col("quality") == q).orderBy(*order).limit(pieces).orderBy("rank", "doc_id", "at", "piece")
-        made.append(_dictionary([bytes(r.piece) for r in best.select("piece").collect()]))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    so_far = Window.partitionBy("quality").orderBy("rank", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)  # at most per_class rows of a class
+    learnt = texts.where("fold = 0").withColumn("size", size).where(F.col("size") <= most_bytes).withColumn("sum", F.sum("size").over(so_far)).where(F.col("sum") <= most_bytes)
+    learnt = learnt.select("rank", "doc_id", "quality", F.posexplode(cut("text")).alias("at", "piece")).orderBy("rank", "doc_id", "at", "piece").select("quality", "piece").collect()
+    made = [_dictionary([bytes(r.piece) for r in learnt if r.quality == q]) for q in (1, 0)]
     model = Model(*made, 0.0, 0.0)
     tuned = differences(texts.where("fold = 1"), model).select("size_difference", "quality").orderBy("size_difference", "quality").toPandas()
     drop(texts)
