@@ -70,7 +70,7 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text") -> DataFrame:
     """For each row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     size: UTF-8 bytes of the text (null: none) and 1. The law is `bytes`: shards of nearly equal size, with equal texts
-    in one shard. shards is a power of two. slot counts a shard's rows from 0 without gaps. Null and empty texts are
+    in one shard. shards is a power of two, else ValueError. slot counts a shard's rows from 0 without gaps. Null and empty texts are
     groups like others; the checksum of a null text is 0, as of an empty one. Repeated rows take slots of their own.
 
     Groups of equal texts are points with a weight. Each level of the tree cuts all its nodes at the weighted median
@@ -78,7 +78,9 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text") -> DataFrame:
     for a fine median is dealt first, to the shard with the least so far, and its weight counts towards the share
     that its side of each cut takes.
     """
-    levels = max(0, (shards - 1).bit_length())
+    if shards < 1 or shards & (shards - 1):
+        raise ValueError("the number of shards is a power of two")
+    levels = (shards - 1).bit_length()
     raw = F.coalesce(F.encode(text, "UTF-8"), F.lit(b""))
     rows = docs.select("doc_id", "lang", "source", F.sha2(F.concat(F.when(F.col(text).isNull(), F.lit(b"0")).otherwise(F.lit(b"1")), raw), 256).alias("digest"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
     rows = store(rows, "sizes")

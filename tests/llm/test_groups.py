@@ -319,3 +319,17 @@ def test_cross_polytope_equals_brute_force(spark, block, kind, monkeypatch):
     assert {int(i): int(n) for i, n in zip(have.vec_id, have.n_links, strict=True)} == {i: degree[i] for i in want}
     assert {int(i): int(c) for i, c in zip(have.vec_id, have.component_id, strict=True)} == want
     assert cross_polytope.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_sharding_refuses_other_numbers(docs):
+    for n in (0, 3, 6, -8):
+        with pytest.raises(ValueError, match="power of two"):
+            kdtree.shard(docs, n)
+
+
+def test_vectors_with_an_id_that_repeats(spark):
+    """Each row is a vector of its own: rows of one id with equal vectors are linked with each other."""
+    v = [0.6, 0.8, 0.0, 0.0]
+    df = spark.createDataFrame([(1, v, 0), (1, v, 0), (2, v, 0), (3, [0.0, 0.0, 1.0, 0.0], 0), (3, [0.0, 0.0, 0.0, 1.0], 0)], "vec_id long, embedding array<double>, label int")
+    out = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in cross_polytope.near_duplicates(df).collect())
+    assert out == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (3, 0, 3, True)]
