@@ -20,6 +20,11 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def trimmed(text: Column) -> Column:
+    """A text without white space at its ends."""
+    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+
+
 def folded(text: Column) -> Column:
     """Squeezed, in case-folded form (lower case, with ß as ss)."""
     return F.replace(F.lower(squeezed(text)), F.lit("ß"), F.lit("ss"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from difflib import SequenceMatcher
@@ -79,6 +80,45 @@ def without_accents(text: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else fold(t) for t in text], dtype="object")
 
 
+# An answer's fields and sources, and a fenced block that is a whole text.
+ANSWER = "respuesta string, cifra double, unidad string, ticker string, ejercicio int, fuente string, cita string, chunk_id string"
+ANSWER_FIELDS = tuple(field.split()[0] for field in ANSWER.split(", "))
+SOURCES = ("xbrl", "texto", "ambas", "ninguna")
+_FENCE = re.compile(r"```(?:json)?\s*(\{.*\})\s*```", re.IGNORECASE | re.DOTALL)
+
+
+def answer(text: str | None) -> dict | None:
+    """An answer's fields from a text that is a JSON object of the closed schema, whole or as one fenced block; else None.
+
+    No other fields; respuesta (not blank) and fuente must be there. Texts are strings; cifra is a number and ejercicio a whole
+    one, or a string or truth value that stands for one. There is no unit without a number.
+    """
+    fenced = _FENCE.fullmatch(text or "")
+    try:
+        found = json.loads(fenced[1] if fenced else text or "")
+        if not isinstance(found, dict) or found.keys() - set(ANSWER_FIELDS):
+            return None
+        out = {f: found.get(f) for f in ANSWER_FIELDS}
+        if any(not isinstance(v, str) and v is not None for f, v in out.items() if f not in ("cifra", "ejercicio")):
+            return None
+        out["cifra"] = None if out["cifra"] is None else float(out["cifra"])
+        year = None if out["ejercicio"] is None else float(out["ejercicio"])
+    except (ValueError, TypeError, RecursionError, OverflowError):
+        return None
+    if year is not None and (not year.is_integer() or abs(year) >= 2**31):
+        return None
+    out["ejercicio"] = None if year is None else int(year)
+    if not (out["respuesta"] or "").strip() or out["fuente"] not in SOURCES or (out["unidad"] is not None and out["cifra"] is None):
+        return None
+    return out
+
+
+@_column(ANSWER)
+def parsed_answer(text: pd.Series) -> pd.DataFrame:
+    """answer() as a struct; all of its fields are null where there is none."""
+    return pd.DataFrame([answer(t) or dict.fromkeys(ANSWER_FIELDS) for t in text], columns=list(ANSWER_FIELDS)).astype({"cifra": "float64", "ejercicio": "Int32"})
+
+
 def skeleton(text: str) -> tuple[str, list[int]]:
     """A text without white space, with plain marks, case-folded; and for each character the place it came from."""
     chars, places = [], []

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quaestor.functions import text as T
 from quaestor.functions import udfs
+from quaestor.operators import evidence
 from quaestor.sources import tables
 
 from . import views as V
@@ -47,29 +48,13 @@ def quote_repair(spark, sf_dir):
     return q.select("doc_id").join(first, "doc_id", "left").select("doc_id", "f.chunk_id", "f.found")
 
 
-def line_score(quote, line):
-    """(numbers, words, coverage, similarity) that a quote and a line have in common, null unless they are alike enough.
-
-    Enough is a common number and word; or, for a quote without numbers, four common words that are half of the shorter's
-    and a similarity of 0.4.
-    """
-    own, other = T.long_words(quote), T.long_words(line)
-    words = F.size(F.array_intersect(own, other))
-    numbers = F.size(F.array_intersect(T.number_groups(quote), T.number_groups(line)))
-    coverage = words / F.greatest(F.lit(1), F.least(F.size(own), F.size(other)))
-    similarity = F.round(udfs.similarity(T.folded(quote), T.folded(line)), 9)
-    plain = (F.size(T.number_groups(quote)) == 0) & (words >= 4) & (coverage >= 0.5) & (similarity >= 0.4)
-    return F.when(((numbers >= 1) & (words >= 1)) | plain, F.struct(numbers.alias("numbers"), words.alias("words"), coverage.alias("coverage"), similarity.alias("similarity")))
-
-
 @query()
 def best_literal_line(spark, sf_dir):
     """The document's line that scores best for a quote, if it is alone at the top."""
-    d = V.table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 80).alias("quote"), F.explode(F.split("text", "\n")).alias("line"))
-    d = d.withColumn("line", F.trim("line")).where("line <> ''").withColumn("score", line_score(F.col("quote"), F.col("line"))).where("score IS NOT NULL")
-    w = Window.partitionBy("doc_id").orderBy(F.desc("score"))
-    best = d.withColumn("r", F.rank().over(w)).where("r = 1").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("line").alias("line"), F.max("score").alias("score"))
-    return best.select("doc_id", F.when(F.col("n") == 1, F.col("line")).alias("line"), "score.similarity")
+    d = V.table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 80).alias("quote"), "text")
+    best = evidence.scored_lines(evidence.lines(d, "text").drop("text"), "quote", "line")
+    top = best.withColumn("r", F.rank().over(Window.partitionBy("doc_id").orderBy(F.desc("score")))).where("r = 1").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("line").alias("line"), F.max("score").alias("score"))
+    return top.select("doc_id", F.when(F.col("n") == 1, F.col("line")).alias("line"), "score.similarity")
 
 
 @query()

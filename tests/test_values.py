@@ -128,11 +128,12 @@ def test_detectors(spark):
 
 
 def test_line_scores(spark):
-    from quaestor.plans.rows_only import line_score
+    from quaestor.operators.evidence import scored_lines
 
     lines = [("Ventas netas de 123 millones", "Las ventas fueron 123"), ("uno dos tres cuatro cinco seis", "uno dos tres cuatro cinco ocho"), ("uno dos tres cuatro", "uno dos otra cosa"), ("sin nada", "ni 123")]
-    out = [r.s for r in spark.createDataFrame(lines, "q string, l string").select(line_score(F.col("q"), F.col("l")).alias("s")).collect()]
-    assert out[0].numbers == 1 and out[0].words == 1 and out[1].words == 5 and abs(out[1].coverage - 5 / 6) < 1e-9 and out[2] is None and out[3] is None
+    lines.append(("creció un 1.234,5% neto", "el neto: 12345"))  # one number, by its digits
+    out = {r.q: r.score for r in scored_lines(spark.createDataFrame(lines, "q string, l string"), "q", "l").collect()}
+    assert out[lines[0][0]][:2] == (1, 1) and out[lines[1][0]].words == 5 and abs(out[lines[1][0]].coverage - 5 / 6) < 1e-9 and out[lines[4][0]][:2] == (1, 1) and len(out) == 3
 
 
 def test_collection_problems(spark):
