@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import inspect
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,53 @@ def word_windows(sections: DataFrame, size: int, overlap: int) -> DataFrame:
     return c.withColumn("words", F.slice("all", (F.col("posicion") * (size - overlap) + 1).cast("int"), F.lit(size))).drop("all")
 
 
+def check_cuts(text: str, cuts: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Cuts (start, end) of a text that are in order, inside it, none twice, and leave out nothing but white space; else ValueError."""
+    found = [(int(a), int(b)) for a, b in cuts]
+    if text.strip() and not found:
+        raise ValueError("a text with words has no cuts")
+    covered = 0
+    for i, (a, b) in enumerate(found):
+        if not 0 <= a < b <= len(text):
+            raise ValueError(f"the cut {a}:{b} isn't inside the text or is empty")
+        if i and a < found[i - 1][0]:
+            raise ValueError(f"the cut {a}:{b} starts before the one that comes first")
+        if i and (a, b) == found[i - 1]:
+            raise ValueError(f"the cut {a}:{b} comes twice")
+        if a > covered and text[covered:a].strip():
+            raise ValueError(f"the text from {covered} to {a} is in no cut")
+        covered = max(covered, b)
+    if found and text[covered:].strip():
+        raise ValueError(f"the text from {covered} on is in no cut")
+    return found
+
+
+def cut_by(sections: DataFrame, cutter: Callable[[str], Iterable[tuple[int, int]]]) -> DataFrame:
+    """Chunks of sections (doc_id, ticker, fiscal_year, item, texto) by a plugged-in function from a text to its cuts (start, end).
+
+    The cutter runs as a Python table function over Arrow batches, beside each section; it is asked for one text. Its cuts are
+    checked (check_cuts), and a bad one fails the job with the section's number. Null texts have no chunks.
+    """
+    try:
+        inspect.signature(cutter).bind("text")
+    except TypeError as wrong:
+        raise TypeError("a cutter takes one text") from wrong
+
+    class Cuts:
+        def eval(self, doc_id: int, text: str):
+            try:
+                cuts = check_cuts(text or "", cutter(text or ""))
+            except ValueError as wrong:
+                raise ValueError(f"section {doc_id}: {wrong}") from wrong
+            for i, (a, b) in enumerate(cuts):
+                yield i, a, b, text[a:b]
+
+    table = F.udtf(Cuts, returnType="posicion long, inicio_car long, fin_car long, trozo string", useArrow=True)
+    of = sections.select("doc_id", "ticker", "fiscal_year", "item", "texto")
+    cut = of.lateralJoin(table(F.col("doc_id").outer(), F.col("texto").outer())).withColumn("texto", F.col("trozo")).drop("trozo")
+    return cut.withColumn("chunk_id", T.chunk_id(F.col("ticker"), F.col("fiscal_year"), F.col("item"), F.col("posicion")))
+
+
 def whole_sections(sections: DataFrame) -> DataFrame:
     """One chunk for each section; a table is told by a vertical bar."""
     c = sections.withColumn("posicion", F.lit(0)).withColumn("inicio_car", F.lit(0).cast("long")).withColumn("fin_car", F.length("texto").cast("long"))

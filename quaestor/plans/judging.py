@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quaestor.functions import numeric as N
 from quaestor.functions import text as T
-from quaestor.operators import chunking, golden
+from quaestor.operators import chunking, golden, positions
 
 from . import texts
 from . import views as V
@@ -364,3 +364,34 @@ def word_window_chunks(spark, sf_dir):
 def fingerprint(spark, sf_dir):
     """A digest of each document's chunks that hangs on order and content (a form of our own)."""
     return chunking.fingerprint(V.chunks(spark, sf_dir))
+
+
+@query(f"""WITH {V.CHUNKS}, {positions.digest_tree_sql('chunks', 'posicion', "chunk_id || '|' || texto", ['doc_id'])}, digests AS (SELECT doc_id, fingerprint FROM tree) SELECT doc_id, fingerprint FROM digests""")
+def fingerprint_tree(spark, sf_dir):
+    """A digest of each document's chunks in order, by ranges of positions, so that no document is one string."""
+    return positions.digest_tree(V.chunks(spark, sf_dir), "posicion", F.concat("chunk_id", F.lit("|"), "texto"), ["doc_id"])
+
+
+@query(f"""WITH {positions.digest_tree_sql('documents', 'doc_id', "doc_id || '|' || lang || '|' || text", [])} SELECT fingerprint FROM tree""")
+def corpus_fingerprint(spark, sf_dir):
+    """One digest of all documents in the order of their ids."""
+    return positions.digest_tree(V.table(spark, sf_dir, "documents"), "doc_id", F.concat_ws("|", F.col("doc_id").cast("string"), "lang", "text"), [])
+
+
+@query("""WITH d AS (SELECT row_number() OVER () - 1 AS position, doc_id, n_chars FROM documents), v AS (SELECT row_number() OVER () - 1 AS position, vec_id, label FROM embeddings) SELECT position, doc_id, n_chars, vec_id, label FROM d JOIN v USING (position)""")
+def positional_join(spark, sf_dir):
+    """Documents and vectors at the same place of their tables, in the order of files and rows."""
+    d, v = (positions.positions(spark, f"{sf_dir}/{name}.parquet") for name in ("documents", "embeddings"))
+    return d.select("position", "doc_id", "n_chars").join(v.select("position", "vec_id", "label"), "position")
+
+
+@query(f"WITH {V.CHUNKS} SELECT chunk_id, posicion, inicio_car, fin_car, md5(texto) AS digest FROM chunks")
+def plugged_chunks(spark, sf_dir):
+    """The character windows by a plugged-in cutter."""
+    size, step = V.CHUNK, V.STEP
+
+    def windows(text):
+        return [(at, min(len(text), at + size)) for at in range(0, max(len(text) - 1 - (size - step), 0) + 1, step)] if text else []
+
+    s = V.sections(spark, sf_dir).withColumn("ticker", F.concat_ws(".", "ticker", "doc_id"))
+    return chunking.cut_by(s, windows).select("chunk_id", "posicion", "inicio_car", "fin_car", F.md5("texto").alias("digest"))

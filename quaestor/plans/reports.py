@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quaestor.functions import numeric as N
 from quaestor.functions import text as T
 
+from quaestor.operators import quantiles
+
 from . import views as V
 from .registry import query
 
@@ -137,7 +139,10 @@ def tool_counts(spark, sf_dir):
 @query("SELECT event_type AS tool, round(median(value), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, count(value) AS n FROM events GROUP BY 1")
 def latency_profile(spark, sf_dir):
     """Median, linear 95th percentile, count."""
-    return V.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("tool")).agg(F.round(F.median("value"), 6).alias("median"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"), F.count("value").alias("n"))
+    e = V.table(spark, sf_dir, "events").select(F.col("event_type").alias("tool"), "value")
+    p = quantiles.exact_percentiles(e, ["tool"], "value", [0.5, 0.95])
+    at = lambda share: F.round(F.max(F.when(F.col("share") == share, F.col("percentile"))), 6)
+    return e.groupBy("tool").agg(F.count("value").alias("n")).join(p.groupBy("tool").agg(at(0.5).alias("median"), at(0.95).alias("p95")), "tool", "left")
 
 
 @query(R + " SELECT ticker, count(*) AS n, CASE WHEN count(coste) = count(*) THEN round(sum(coste), 9) END AS strict_total, round(sum(coste), 9) AS total FROM results GROUP BY 1")

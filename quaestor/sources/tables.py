@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder and read back: what it was made from isn't computed again, also if executors go."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FACT).parquet(path)
 
