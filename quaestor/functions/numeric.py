@@ -56,3 +56,35 @@ def normalized(v: Column) -> Column:
     """The vector at length 1; null if it is zero or not finite."""
     length = norm(v)
     return F.when(finite(length) & (length > 0), F.transform(v, lambda x: x.cast("double") / length))
+
+
+# A number in prose and the words for its size.
+PROSE_NUMBER = r"(?iuU)([0-9][0-9.,]*)\s*(billion|billones|mil millones|million|millones|millón|thousand|miles)?"
+SIZES = {"billion": 1e9, "billones": 1e9, "mil millones": 1e9, "million": 1e6, "millones": 1e6, "millón": 1e6, "thousand": 1e3, "miles": 1e3}
+
+
+def prose_numbers(text: Column) -> Column:
+    """The numbers that a text names, in order, times the words of size behind them; what is no number after all is left out.
+
+    With both marks the last one is the decimal's. A comma alone parts decimals unless three digits follow the last one;
+    a point alone parts thousands where three digits follow the last one.
+    """
+    raw, size = (F.regexp_extract_all(text, F.lit(PROSE_NUMBER), F.lit(i)) for i in (1, 2))
+
+    def value(pair: Column) -> Column:
+        n = F.regexp_replace(pair["raw"], r"[.,]+$", "")
+        tail = lambda mark: F.length(F.substring_index(n, mark, -1))
+        comma, point = F.contains(n, F.lit(",")), F.contains(n, F.lit("."))
+        without = lambda mark: F.replace(n, F.lit(mark), F.lit(""))
+        decimal_comma = F.concat(F.replace(F.substring(n, F.lit(1), F.length(n) - tail(",") - 1), F.lit(","), F.lit("")), F.lit("."), F.substring_index(n, ",", -1))
+        plain = (
+            F.when(comma & point & (tail(",") < tail(".")), F.replace(without("."), F.lit(","), F.lit("."))).when(comma & point, without(","))
+            .when(comma & (tail(",") != 3), decimal_comma).when(comma, without(",")).when(point & (tail(".") == 3), without(".")).otherwise(n)
+        )
+        factor = F.lit(1.0)
+        for word, times in SIZES.items():
+            factor = F.when(F.lower(pair["size"]) == word, times).otherwise(factor)
+        return plain.try_cast("double") * factor
+
+    pairs = F.zip_with(raw, size, lambda r, z: F.struct(r.alias("raw"), z.alias("size")))
+    return F.filter(F.transform(pairs, value), lambda x: x.isNotNull())

@@ -1,4 +1,4 @@
-"""Functions that no built-in gives: sequence similarity, numbers in prose, quotes across typography and ellipses."""
+"""Functions that no built-in gives: sequence similarity, answers as JSON, quotes across typography and ellipses."""
 
 from __future__ import annotations
 
@@ -24,10 +24,8 @@ def _column(kind: str):
     return wrap
 
 
-# Magnitude words and their factors; limits of a match across ellipses.
-MAGNITUDES = {"thousand": 1e3, "mil": 1e3, "million": 1e6, "millions": 1e6, "millón": 1e6, "millones": 1e6, "mn": 1e6, "billion": 1e9, "billions": 1e9, "bn": 1e9, "mil millones": 1e9, "billones": 1e9, "miles": 1e3}
+# Limits of a match across ellipses.
 SEGMENT, TOTAL, REACH = 4, 20, 400
-_NUMBER = re.compile(r"(?<![\w.,])[-−]?\d{1,3}(?:[.,\s]\d{3})+(?:[.,]\d+)?|(?<![\w.,])[-−]?\d+(?:[.,]\d+)?")
 _QUOTES = str.maketrans({**dict.fromkeys("“”„«»", '"'), **dict.fromkeys("‘’‚‹›", "'"), **dict.fromkeys("–—−", "-"), "…": "..."})
 
 
@@ -37,42 +35,6 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def value(number: str) -> float | None:
-    """A number with either separator for decimals: the last one counts, unless it groups three digits like another."""
-    s = re.sub(r"\s", "", number.replace("−", "-"))
-    marks = [c for c in s if c in ".,"]
-    if not marks:
-        return float(s)
-    last = marks[-1]
-    tail = s.rsplit(last, 1)[1]
-    if len(set(marks)) == 2:
-        s = s.replace("," if last == "." else ".", "").replace(last, ".")
-    elif len(marks) > 1 or (len(tail) == 3 and s.lstrip("-")[0] != "0"):
-        s = s.replace(last, "")
-    else:
-        s = s.replace(last, ".")
-    try:
-        return float(s)
-    except ValueError:
-        return None
-
-
-def numbers(text: str | None) -> list[float]:
-    out = []
-    for m in _NUMBER.finditer(text or ""):
-        v = value(m[0])
-        word = re.match(r"\s*(mil\s+millones|[a-zé-ú]+)", text[m.end() :].lower())
-        if v is not None:
-            out.append(v * MAGNITUDES.get(" ".join(word[1].split()) if word else "", 1.0))
-    return out
-
-
-@_column("array<double>")
-def extract_numbers(text: pd.Series) -> pd.Series:
-    """The numbers of a text in order, with magnitude words applied."""
-    return pd.Series([numbers(t) for t in text], dtype="object")
-
-
 @_column("string")
 def without_accents(text: pd.Series) -> pd.Series:
     """Case-folded, single spaces, without combining marks after compatibility decomposition."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaestor.functions import numeric as N
 from quaestor.functions import text as T
 from quaestor.functions import udfs
 from quaestor.operators import traces
@@ -115,3 +116,28 @@ def recover(of: DataFrame, structured: DataFrame, chunks: DataFrame) -> DataFram
     nothing = lambda kind: F.lit(None).cast(kind)
     out = by_line.select("thread_id", F.lit("line").alias("how"), F.col("text").alias("respuesta"), nothing("double").alias("cifra"), nothing("string").alias("unidad"), "ticker", F.col("fiscal_year").cast("int").alias("ejercicio"), F.lit("texto").alias("fuente"), F.col("line").alias("cita"), F.col("id").alias("chunk_id"))
     return by_json.select("thread_id", F.lit("json").alias("how"), *udfs.ANSWER_FIELDS).unionAll(out)
+
+
+def evidence_errors(said: DataFrame, of: DataFrame, consulted: DataFrame, chunks: DataFrame, relative: float = 1e-6) -> DataFrame:
+    """(thread_id, errors): why an answer's evidence isn't accepted, an array of codes.
+
+    said: (thread_id, ANSWER's ticker, ejercicio, fuente, cita, chunk_id, cifra, unidad). of: traces.calls(). consulted: (thread_id, ticker,
+    fiscal_year, value, unit), facts that the thread's calls got. chunks: (chunk_id, ticker, fiscal_year, texto). An answer from the
+    text, or with a chunk or quote: not_literal, its quote isn't in its chunk word for word; not_retrieved, no search
+    returned the chunk; identity, the chunk is of another company or year. An answer with a number from facts: number, no
+    consulted fact has its unit, company, year and (within `relative`, symmetric) value.
+    """
+    c = chunks.select("chunk_id", F.col("ticker").alias("of_ticker"), F.col("fiscal_year").alias("of_year"), "texto")
+    ids = of.select("thread_id", F.expr(traces.retrieved()).alias("ids"))
+    a = said.join(ids, "thread_id", "left").join(c, "chunk_id", "left")
+    close = N.close(F.col("cifra"), F.col("value"), relative) & (F.col("unidad") == F.col("unit"))
+    backed = said.select("thread_id", "cifra", "unidad", "ticker", F.col("ejercicio").alias("fiscal_year")).join(consulted.select("thread_id", "ticker", "fiscal_year", "value", "unit"), ["thread_id", "ticker", "fiscal_year"]).where(close)
+    a = a.join(backed.select("thread_id").distinct().withColumn("backed", F.lit(True)), "thread_id", "left")
+    quoting = F.coalesce(F.col("fuente").isin("texto", "ambas"), F.lit(False)) | (F.coalesce("chunk_id", F.lit("")) != "") | (F.coalesce("cita", F.lit("")) != "")
+    literal = F.coalesce((F.col("cita") != "") & F.contains("texto", F.col("cita")), F.lit(False))
+    named = F.col("ticker").eqNullSafe(F.col("of_ticker")) & F.col("ejercicio").eqNullSafe(F.col("of_year"))
+    figure = F.col("cifra").isNotNull() & F.coalesce(F.col("fuente").isin("xbrl", "ambas"), F.lit(False))
+    errors = F.array_compact(F.array(
+        F.when(quoting & ~literal, "not_literal"), F.when(quoting & ~F.coalesce(F.array_contains("ids", F.col("chunk_id")), F.lit(False)), "not_retrieved"),
+        F.when(quoting & F.col("texto").isNotNull() & ~named, "identity"), F.when(figure & F.col("backed").isNull(), "number")))
+    return a.select("thread_id", errors.alias("errors"))

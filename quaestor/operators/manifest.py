@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import posixpath
 import uuid
 from collections.abc import Callable
 
@@ -89,9 +90,23 @@ def check_variant(chunks: DataFrame, sections: DataFrame, vectors: DataFrame | N
     return found
 
 
+def check_paths(manifest: dict) -> None:
+    """Raises ValueError unless each table lies in a place of its own inside the manifest's folder, by a relative path."""
+    seen = {}
+    for name, entry in manifest.items():
+        place = posixpath.normpath(entry["path"])
+        if posixpath.isabs(place) or ":" in place or place.split("/")[0] in ("..", "."):
+            raise ValueError(f"{name} isn't inside the variant's folder: {entry['path']}")
+        for other, taken in seen.items():
+            if place == taken or place.startswith(f"{taken}/") or taken.startswith(f"{place}/"):
+                raise ValueError(f"{name} and {other} share {entry['path']}")
+        seen[name] = place
+
+
 def open_variant(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """A published variant's tables; raises if one isn't what the manifest says."""
     manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
+    check_paths(manifest)
     tables = {}
     for name, entry in manifest.items():
         tables[name] = spark.read.parquet(os.path.join(path, entry["path"]))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaestor.functions import numeric as N
 from quaestor.operators import dense
 
 NOT_FOUND = "not available"
@@ -48,6 +50,52 @@ def contract_problems(schemas: dict[str, dict]) -> list[str]:
     return out
 
 
+def encoded(queries: DataFrame, encoder: Callable[[DataFrame], DataFrame], prefix: str = "", dimension: int | None = None) -> DataFrame:
+    """(query_id, vector): the encoder's vectors of queries with `prefix` before them, at length 1, as floats.
+
+    Raises ValueError if a query has no vector or several, or one of another dimension, of zeros or of numbers that aren't finite.
+    """
+    v = encoder(queries.select("query_id", F.concat(F.lit(prefix), "text").alias("text"))).select("query_id", "vector").persist()
+    right = F.size("vector") > 0 if dimension is None else F.size("vector") == dimension
+    wrong = v.where(~F.coalesce(right & N.normalized(F.col("vector")).isNotNull() & F.forall("vector", lambda x: x.isNotNull()), F.lit(False)))
+    first = wrong.select("query_id").limit(1).collect()
+    if first:
+        raise ValueError(f"the encoder's vector of query {first[0][0]} isn't {dimension or 'a number of'} finite components")
+    unlike = queries.select("query_id").join(v.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "full_outer").where("n IS NULL OR n <> 1").limit(1).collect()
+    if unlike:
+        raise ValueError(f"the encoder didn't give one vector for query {unlike[0][0]}")
+    return v.select("query_id", N.normalized(F.col("vector")).cast("array<float>").alias("vector"))
+
+
+def rewritten(queries: DataFrame, rewrite: Callable[[str], str], recorded: DataFrame | None = None) -> DataFrame:
+    """(query_id, text, error): each query by rewrite(text), run in Arrow batches; where it fails or gives nothing, the recorded one or itself.
+
+    recorded: (query_id, text). error names the failure of a query, whatever it was; the other queries go on. A blank query
+    isn't rewritten.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            new, errors = [], []
+            for text in batch["text"]:
+                try:
+                    made = rewrite(text.strip()).strip()
+                    if not made:
+                        raise ValueError("an empty rewrite")
+                    new.append(made)
+                    errors.append(None)
+                except Exception as wrong:  # any failure of a model falls back
+                    new.append(None)
+                    errors.append(f"{type(wrong).__name__}: {wrong}")
+            yield pd.DataFrame({"query_id": batch["query_id"], "new": pd.Series(new, dtype="object"), "error": pd.Series(errors, dtype="object")})
+
+    asked = queries.where(F.trim("text") != "").select("query_id", "text")
+    new = asked.mapInPandas(run, f"query_id {dict(queries.dtypes)['query_id']}, new string, error string")
+    old = recorded.select("query_id", F.col("text").alias("old")) if recorded is not None else queries.select("query_id", F.lit(None).cast("string").alias("old")).limit(0)
+    out = queries.select("query_id", "text").join(new, "query_id", "left").join(old, "query_id", "left")
+    return out.select("query_id", F.coalesce("new", "old", "text").alias("text"), "error")
+
+
 @dataclass
 class Evidence:
     """Tables and an encoder (texts to vectors: a DataFrame (query_id, text) to (query_id, vector)) behind the tools."""
@@ -58,6 +106,8 @@ class Evidence:
     vectors: DataFrame
     encoder: Callable[[DataFrame], DataFrame]
     rewriter: Callable[[DataFrame], DataFrame] | None = None
+    query_prefix: str = ""
+    dimension: int | None = None
 
     def catalog(self) -> DataFrame:
         s = self.sections.groupBy("ticker", "fiscal_year").agg(F.sort_array(F.collect_set("item")).alias("items"))
@@ -76,7 +126,7 @@ class Evidence:
         known = checked("a batch", k, **{c: wanted.get(c) for c in ("ticker", "fiscal_year", "item")})
         wanted |= {c: v for c, v in known.items() if c in wanted}
         if self.rewriter:
-            new = self.rewriter(queries).select("query_id", F.col("text").alias("new"))
+            new = self.rewriter(queries).select("query_id", F.nullif(F.trim("text"), F.lit("")).alias("new"))
             queries = queries.join(new, "query_id", "left").select("query_id", F.coalesce("new", "text").alias("text"))
         v = self.vectors if flat else self.vectors.join(self.chunks.where(dense.metadata_filter(**wanted)).select(F.col("chunk_id").alias("id")), "id", "left_semi")
-        return dense.search(v, self.encoder(queries), k)
+        return dense.search(v, encoded(queries, self.encoder, self.query_prefix, self.dimension), k)

@@ -58,6 +58,44 @@ def case_vs_corpus(spark, sf_dir):
     return j.select("id", F.col("texto").isNull().alias("section_missing"), F.coalesce(at != F.col("ancla_texto"), F.lit(False)).alias("offsets_wrong"))
 
 
+# The same cases against a corpus in which each document is a company, some have a section twice or not at all, and every other one reports.
+_CORPUS = f"""{CASES}, {V.SECTIONS}, held AS (SELECT ticker || '.' || doc_id AS ticker, fiscal_year, item, texto FROM sections WHERE doc_id % 31 <> 5 UNION ALL SELECT ticker || '.' || doc_id, fiscal_year, item, texto FROM sections WHERE doc_id % 29 = 4 UNION ALL SELECT ticker || '.' || doc_id, fiscal_year, 'other', '' FROM sections WHERE doc_id % 62 = 5),
+reported AS (SELECT upper(source) || '.' || doc_id AS ticker, 2024 + doc_id % 2 AS fiscal_year, 'Revenue' AS concept FROM documents WHERE doc_id % 2 = 0),
+placed AS (SELECT * EXCLUDE (ticker), CASE WHEN id % 37 = 8 THEN 'NOWHERE' ELSE ticker || '.' || id END AS ticker, familia = 'numerica' AND cifra_esperada IS NULL AND unidad IS NULL AS absent FROM cases)"""
+
+
+def _corpus(spark, sf_dir):
+    s = V.sections(spark, sf_dir).select("doc_id", F.concat_ws(".", "ticker", "doc_id").alias("ticker"), "fiscal_year", "item", "texto")
+    held = s.where("doc_id % 31 <> 5").unionAll(s.where("doc_id % 29 = 4")).unionAll(s.where("doc_id % 62 = 5").withColumn("item", F.lit("other")).withColumn("texto", F.lit("")))
+    facts = V.table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.concat_ws(".", F.upper("source"), "doc_id").alias("ticker"), (F.col("doc_id") % 2 + 2024).alias("fiscal_year"), F.lit("Revenue").alias("concept"))
+    return cases(spark, sf_dir).withColumn("ticker", F.when(F.col("id") % 37 == 8, "NOWHERE").otherwise(F.concat_ws(".", "ticker", "id"))), held, facts
+
+
+@query(f"""WITH {_CORPUS}, j AS (SELECT p.*, EXISTS (SELECT 1 FROM held h WHERE h.ticker = p.ticker AND h.fiscal_year = p.fiscal_year) AS there, EXISTS (SELECT 1 FROM reported r WHERE r.ticker = p.ticker AND r.fiscal_year = p.fiscal_year AND r.concept = p.concept_xbrl) AS fact,
+ (SELECT count(*) FROM held h WHERE h.ticker = p.ticker AND h.fiscal_year = p.fiscal_year AND h.item = p.item_esperado) AS n, (SELECT min(texto) FROM held h WHERE h.ticker = p.ticker AND h.fiscal_year = p.fiscal_year AND h.item = p.item_esperado) AS texto FROM placed p)
+SELECT id, unnest(list_filter([CASE WHEN NOT there AND NOT absent THEN 'document_missing' END, CASE WHEN there AND familia <> 'extractiva' AND NOT fact AND NOT absent THEN 'fact_missing' END, CASE WHEN there AND familia <> 'extractiva' AND fact AND absent THEN 'fact_present' END,
+ CASE WHEN there AND familia <> 'numerica' AND n <> 1 THEN printf('sections %d', n) END, CASE WHEN there AND familia <> 'numerica' AND n = 1 AND substring(texto, ancla_inicio + 1, ancla_fin - ancla_inicio) IS DISTINCT FROM ancla_texto THEN 'offsets_wrong' END], lambda x: x IS NOT NULL)) AS problem FROM j""")
+def case_corpus_problems(spark, sf_dir):
+    """Cases without a document, with a fact missing or present against what they expect, without exactly one section, with a wrong anchor."""
+    return golden.corpus_problems(*_corpus(spark, sf_dir))
+
+
+_ANSWERED = f"""WITH {CASES}, answered AS (SELECT id, familia, cifra_esperada, unidad, CASE WHEN id % 11 = 7 THEN 'timeout' END AS error, CASE WHEN id % 5 = 3 THEN 'texto' WHEN id % 2 = 0 THEN 'ninguna' END AS fuente,
+ CASE id % 8 WHEN 0 THEN NULL WHEN 1 THEN cifra_esperada * 1.005::DOUBLE WHEN 2 THEN NULL WHEN 3 THEN cifra_esperada * 1.02::DOUBLE WHEN 4 THEN 'inf'::DOUBLE ELSE cifra_esperada END AS cifra, CASE id % 8 WHEN 0 THEN NULL WHEN 2 THEN CASE WHEN id % 3 = 0 THEN 'USD' END WHEN 5 THEN 'EUR' ELSE ' usd ' END AS unidad_dicha FROM cases)"""
+
+
+@query(_ANSWERED + """ SELECT id, CASE WHEN familia <> 'extractiva' THEN CASE WHEN familia = 'numerica' AND cifra_esperada IS NULL AND unidad IS NULL THEN coalesce(error IS NULL AND fuente = 'ninguna' AND cifra IS NULL AND unidad_dicha IS NULL, false)
+ ELSE coalesce(isfinite(cifra) AND abs(cifra - cifra_esperada) <= 0.01::DOUBLE * greatest(abs(cifra), abs(cifra_esperada)) AND lower(trim(unidad_dicha)) = lower(trim(unidad)), false) END END AS cifra_correcta FROM answered""")
+def number_scores(spark, sf_dir):
+    """Number and unit, or abstention without error, source, number or unit."""
+    n = F.col("id")
+    wanted = F.col("cifra_esperada")
+    cifra = F.when((n % 8 == 0) | (n % 8 == 2), F.lit(None).cast("double")).when(n % 8 == 1, wanted * 1.005).when(n % 8 == 3, wanted * 1.02).when(n % 8 == 4, float("inf")).otherwise(wanted)
+    unit = F.when(n % 8 == 0, F.lit(None).cast("string")).when(n % 8 == 2, F.when(n % 3 == 0, "USD")).when(n % 8 == 5, "EUR").otherwise(" usd ")
+    a = cases(spark, sf_dir).select("id", "familia", "cifra_esperada", "unidad", F.when(n % 11 == 7, "timeout").alias("error"), F.when(n % 5 == 3, "texto").when(n % 2 == 0, "ninguna").alias("fuente"), cifra.alias("cifra"), unit.alias("unidad_dicha"))
+    return golden.number_scored(a).select("id", "cifra_correcta")
+
+
 @query(f"WITH {CASES} SELECT id, familia FROM cases WHERE ancla_texto IS NOT NULL AND ancla_texto <> ''")
 def anchored_cases(spark, sf_dir):
     """B07."""

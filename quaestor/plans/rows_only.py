@@ -23,14 +23,6 @@ def line_similarity(spark, sf_dir):
     return pairs.select("conv_id", "turn", F.round(udfs.similarity(T.folded(F.col("line")), T.folded(F.col("other"))), 9).alias("similarity"))
 
 
-@query()
-def number_extract(spark, sf_dir):
-    """Numbers in prose with separators and magnitude words."""
-    b = V.questions(spark, sf_dir)
-    said = F.format_string("%s Ingresos de %d,%d millones en 2024 y 1.234,5 mil; also 2.5 billion and 1,000.25.", "text", "query_id", F.col("query_id") % 10)
-    return b.select("query_id", udfs.extract_numbers(said).alias("numbers"))
-
-
 @query()
 def quote_span(spark, sf_dir):
     """The literal slice of a document for an edited quote."""

@@ -295,3 +295,20 @@ def zoned_times(spark, sf_dir):
     """Times of day with an offset, or none, in seconds of the epoch; those without are refused."""
     said = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("event_id") % 3 == 1, "Z").when(F.col("event_id") % 3 == 2, "+02:00").otherwise(""))
     return V.table(spark, sf_dir, "events").select("event_id", F.unix_timestamp(T.zoned_time(said)).alias("seconds"))
+
+
+# Numbers in prose, with either separator and words of size.
+_SAID = "text || ' Ingresos de ' || item_id || ',' || (item_id % 10) || ' millones en FY2024 y 1.234,5 miles; also 2.5 Billion, 1,000.25, 0,125 or 10 200, -3, 12mn, 1.2.3 and ' || item_id || '.' || item_id || '.'"
+_CLEAN = "regexp_replace(list_extract(raws, i), '[.,]+$', '')"
+
+
+@query(f"""WITH s AS (SELECT item_id AS query_id, {_SAID} AS said FROM benchmark), m AS (SELECT query_id, regexp_extract_all(said, '(?i)([0-9][0-9.,]*)\\s*(billion|billones|mil millones|million|millones|millón|thousand|miles)?', 1) AS raws, regexp_extract_all(said, '(?i)([0-9][0-9.,]*)\\s*(billion|billones|mil millones|million|millones|millón|thousand|miles)?', 2) AS sizes FROM s),
+e AS (SELECT query_id, i, lower(list_extract(sizes, i)) AS size, {_CLEAN} AS n FROM (SELECT *, unnest(range(1, len(raws) + 1)) AS i FROM m)),
+v AS (SELECT query_id, i, size, TRY_CAST(CASE WHEN contains(n, ',') AND contains(n, '.') THEN CASE WHEN instr(reverse(n), ',') < instr(reverse(n), '.') THEN replace(replace(n, '.', ''), ',', '.') ELSE replace(n, ',', '') END
+ WHEN contains(n, ',') THEN CASE WHEN instr(reverse(n), ',') <> 4 THEN replace(left(n, length(n) - instr(reverse(n), ',')), ',', '') || '.' || right(n, instr(reverse(n), ',') - 1) ELSE replace(n, ',', '') END WHEN contains(n, '.') AND instr(reverse(n), '.') = 4 THEN replace(n, '.', '') ELSE n END AS DOUBLE) AS value FROM e)
+SELECT query_id, i - 1 AS place, value * CASE WHEN size IN ('billion', 'billones', 'mil millones') THEN 1e9 WHEN size IN ('million', 'millones', 'millón') THEN 1e6 WHEN size IN ('thousand', 'miles') THEN 1e3 ELSE 1 END AS number FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY i) AS k FROM v WHERE value IS NOT NULL)""".replace("SELECT query_id, i - 1 AS place", "SELECT query_id, k - 1 AS place"))
+def number_extract(spark, sf_dir):
+    """Numbers in prose with separators and words of size."""
+    q = F.col("query_id").cast("string")
+    said = F.concat("text", F.lit(" Ingresos de "), q, F.lit(","), (F.col("query_id") % 10).cast("string"), F.lit(" millones en FY2024 y 1.234,5 miles; also 2.5 Billion, 1,000.25, 0,125 or 10 200, -3, 12mn, 1.2.3 and "), q, F.lit("."), q, F.lit("."))
+    return V.questions(spark, sf_dir).select("query_id", F.posexplode(N.prose_numbers(said)).alias("place", "number")).withColumn("place", F.col("place").cast("long"))

@@ -145,3 +145,28 @@ def trace_citations(spark, sf_dir):
     edited = F.regexp_replace(F.substring_index("texto", "\n", 1), r"(\w+) (\w+)", "$1, $2")  # not literal, but near the line
     said = h.where("rank = 1").select("thread_id", F.when(n == 0, " ").when(n == 1, F.substring("texto", 31, 60)).when(n == 2, edited).when(n == 3, F.substring("texto", 101, 50)).when(n == 4, "unheard of words here").otherwise(edited).alias("cita"), F.when(n == 3, "NONE-2024-1A-0000").when(n == 5, F.lit(None).cast("string")).otherwise(F.col("chunk_id")).alias("chunk_id"))
     return evidence.repair_citations(said, of, V.chunks(spark, sf_dir))
+
+
+# Answers with evidence: by the best hit, with a quote, a place, a number and a source that are right for some.
+_SAID = _IDS.replace("{k}", "1000") + """, top AS (SELECT query_id AS q, chunk_id, texto, ticker, fiscal_year FROM hits WHERE rank = 1),
+said AS (SELECT q, CASE WHEN q % 5 = 4 THEN NULL ELSE ticker END AS ticker, CASE WHEN q % 7 = 2 THEN fiscal_year + 1 ELSE fiscal_year END AS ejercicio, CASE q % 3 WHEN 0 THEN 'texto' WHEN 1 THEN 'ambas' ELSE 'xbrl' END AS fuente, CASE WHEN q % 3 = 2 AND q % 2 = 0 THEN NULL WHEN q % 6 = 1 THEN upper(substring(texto, 31, 60)) || '!' ELSE substring(texto, 31, 60) END AS cita,
+ CASE WHEN q % 3 = 2 AND q % 2 = 0 THEN NULL WHEN q % 8 = 5 THEN 'NONE-2024-1A-0000' ELSE chunk_id END AS chunk_id, CASE WHEN q % 4 <> 1 THEN 5.0::DOUBLE * q + 0.5 END AS cifra, 'USD' AS unidad FROM top),
+got AS (SELECT q, ticker, fiscal_year, CASE WHEN q % 9 = 1 THEN 7.0::DOUBLE ELSE 5.0::DOUBLE * q + 0.5 END AS value, 'USD' AS unit FROM top WHERE q % 10 <> 6)"""
+
+
+@query(_SAID + """, e AS (SELECT s.*, c.texto, c.ticker AS of_ticker, c.fiscal_year AS of_year, fuente IN ('texto', 'ambas') OR s.chunk_id IS NOT NULL OR cita IS NOT NULL AS quoting, EXISTS (SELECT 1 FROM ids WHERE ids.q = s.q AND ids.id = s.chunk_id) AS returned,
+ EXISTS (SELECT 1 FROM got g WHERE g.q = s.q AND g.ticker = s.ticker AND g.fiscal_year = s.ejercicio AND g.unit = s.unidad AND abs(g.value - s.cifra) <= 1e-6 * greatest(abs(g.value), abs(s.cifra))) AS backed FROM said s LEFT JOIN chunks c ON c.chunk_id = s.chunk_id)
+SELECT q::VARCHAR AS thread_id, array_to_string(list_filter([CASE WHEN quoting AND NOT coalesce(cita <> '' AND contains(texto, cita), false) THEN 'not_literal' END, CASE WHEN quoting AND NOT returned THEN 'not_retrieved' END,
+ CASE WHEN quoting AND texto IS NOT NULL AND (ticker IS DISTINCT FROM of_ticker OR ejercicio IS DISTINCT FROM of_year) THEN 'identity' END, CASE WHEN cifra IS NOT NULL AND fuente IN ('xbrl', 'ambas') AND NOT backed THEN 'number' END], lambda x: x IS NOT NULL), ',') AS errors FROM e""")
+def answer_evidence(spark, sf_dir):
+    """Why an answer's evidence isn't accepted: not literal, not retrieved, of another report, a number that no consulted fact has."""
+    of, _ = trace(spark, sf_dir)
+    q = F.col("query_id")
+    top = S.hits(spark, sf_dir, ALL).where("rank = 1")
+    silent, quote = (q % 3 == 2) & (q % 2 == 0), F.substring("texto", 31, 60)
+    thread = q.cast("string").alias("thread_id")
+    said = top.select(
+        thread, F.when(q % 5 != 4, F.col("ticker")).alias("ticker"), F.when(q % 7 == 2, F.col("fiscal_year") + 1).otherwise(F.col("fiscal_year")).alias("ejercicio"), F.when(q % 3 == 0, "texto").when(q % 3 == 1, "ambas").otherwise("xbrl").alias("fuente"),
+        F.when(~silent, F.when(q % 6 == 1, F.concat(F.upper(quote), F.lit("!"))).otherwise(quote)).alias("cita"), F.when(~silent, F.when(q % 8 == 5, "NONE-2024-1A-0000").otherwise(F.col("chunk_id"))).alias("chunk_id"), F.when(q % 4 != 1, 5.0 * q + 0.5).alias("cifra"), F.lit("USD").alias("unidad"))
+    got = top.where("query_id % 10 <> 6").select(thread, "ticker", "fiscal_year", F.when(q % 9 == 1, 7.0).otherwise(5.0 * q + 0.5).alias("value"), F.lit("USD").alias("unit"))
+    return evidence.evidence_errors(said, of, got, V.chunks(spark, sf_dir)).select("thread_id", F.array_join("errors", ",").alias("errors"))
