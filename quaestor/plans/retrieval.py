@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quaestor.functions import numeric as N
 from quaestor.functions import text as T
-from quaestor.operators import dense, fusion, lexical
+from quaestor.operators import containment, dense, fusion, lexical
 
 from . import views as V
 from .registry import query
@@ -145,24 +144,10 @@ def l2_normalize(spark, sf_dir):
 
 @query("""SELECT b.item_id AS query_id, count(d.doc_id) AS n_docs, min(d.doc_id) AS first_doc FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1""")
 def text_contains_join(spark, sf_dir):
-    """Documents that hold a question's text, by a run of four of its words as key and then `contains`."""
-    return _containing(spark, sf_dir).groupBy("query_id").agg(F.count("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
-
-
-def _containing(spark, sf_dir):
-    """(query_id, doc_id or null): a text holds a question only if it holds its second to sixth words; these are the join's key.
-
-    Questions of under six words have no key; they are few and tested one by one against all documents.
-    """
-    q = V.questions(spark, sf_dir).withColumn("words", F.split(F.regexp_replace("text", r"\s", " "), " "))
-    keyed = q.where("size(words) >= 6").withColumn("key", F.xxhash64(*(F.col("words")[i] for i in range(1, 5))))
-    d = V.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
-    runs = d.select("doc_id", F.posexplode(F.split(F.regexp_replace("body", r"\s", " "), " ")).alias("at", "w"))
-    w = Window.partitionBy("doc_id").orderBy("at")
-    runs = runs.select("doc_id", F.xxhash64("w", *(F.lead("w", i).over(w) for i in range(1, 4))).alias("key"))
-    found = keyed.join(runs, "key").select("query_id", "text", "doc_id").distinct().join(d, "doc_id").where(F.contains("body", F.col("text"))).select("query_id", "doc_id")
-    few = q.where("size(words) < 6").join(d, F.contains("body", F.col("text"))).select("query_id", "doc_id")
-    return V.questions(spark, sf_dir).select("query_id").join(found.unionAll(few), "query_id", "left")
+    """Documents that hold a question's text, by a run of its words as key and then `contains`."""
+    q = V.questions(spark, sf_dir)
+    found = containment.containing(q, V.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body")))
+    return q.select("query_id").join(found, "query_id", "left").groupBy("query_id").agg(F.count("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
 @query("""WITH a AS (SELECT doc_id, 100 AS start, least(160, n_chars) AS stop FROM documents WHERE n_chars > 100), c AS (SELECT doc_id, unnest(range(0, n_chars, 120)) AS low, n_chars FROM documents)

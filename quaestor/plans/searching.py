@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quaestor.functions import text as T
-from quaestor.operators import dense, fusion
+from quaestor.operators import containment, dense, fusion
 
 from . import views as V
 from .registry import query
@@ -106,21 +107,15 @@ def search_contract(spark, sf_dir):
 
 
 def owners(spark, sf_dir):
-    """(query_id, doc_id, start, stop): documents that hold a question's text in normal form; where it stands, if they hold it exactly.
+    """(query_id, doc_id, start, stop): documents that hold a question's text in normal form; where it stands, if they hold it exactly."""
+    return owners_of(spark, sf_dir, V.questions(spark, sf_dir))
 
-    A run of four words, the second to fifth, is the join's key. Questions of under six words are tested one by one.
-    """
-    q = V.questions(spark, sf_dir).withColumn("form", T.lowered(F.col("text"))).withColumn("words", F.split("form", " "))
-    keyed = q.where("size(words) >= 6").withColumn("key", F.xxhash64(*(F.col("words")[i] for i in range(1, 5))))
+
+def owners_of(spark, sf_dir, questions):
     d = V.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
-    words = F.split(T.lowered(F.col("body")), " ")
-    # whole words only: an anchor's first and last word may be parts of a document's, its second to fifth are not
-    runs = d.select("doc_id", words.alias("w")).where("size(w) >= 4").select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 4), lambda i: F.xxhash64(*(F.element_at("w", i + j) for j in range(1, 5))))).alias("key"))
-    pairs = keyed.join(runs, "key").select("query_id", "text", "form", "doc_id").distinct().join(d, "doc_id")
-    few = q.where("size(words) < 6 AND form <> ''").select("query_id", "text", "form").join(d, F.contains(T.lowered(F.col("body")), F.col("form")))
-    both = pairs.select("query_id", "text", "form", "doc_id", "body").unionAll(few.select("query_id", "text", "form", "doc_id", "body"))
+    pairs = containment.containing(questions.where(T.lowered(F.col("text")) != ""), d, T.lowered)
     at = F.expr("instr(body, text)").cast("long")
-    return both.where(F.contains(T.lowered(F.col("body")), F.col("form"))).select("query_id", "doc_id", F.when(at > 0, at - 1).alias("start"), F.when(at > 0, at - 1 + F.length("text")).alias("stop"))
+    return pairs.join(questions.select("query_id", "text"), "query_id").join(d, "doc_id").select("query_id", "doc_id", F.when(at > 0, at - 1).alias("start"), F.when(at > 0, at - 1 + F.length("text")).alias("stop"))
 
 
 def found(spark, sf_dir):
@@ -181,8 +176,8 @@ def anchor_rank_pivot(spark, sf_dir):
 CONFIGS = ("bm25", "flat", "filtered", "fused", "rewrite", "rewrite_fused")
 
 
-def configurations(spark, sf_dir, k=K):
-    """(config, query_id, id, rank): the k best documents of each question by each retriever.
+def configurations(spark, sf_dir, k=K, asked=None):
+    """(config, query_id, id, rank): the k best documents of each question by each retriever; `asked` are other words for some questions.
 
     filtered keeps to vectors of the label of the question's own. A rewrite is the recorded one or the question itself; there is
     no encoder for it here, so it is ranked by BM25, and rewrite_fused fuses that with the question's vector.
@@ -190,9 +185,10 @@ def configurations(spark, sf_dir, k=K):
     v, q = V.vectors(spark, sf_dir), V.question_vectors(spark, sf_dir)
     corpus = V.index(spark, sf_dir, "documents")
     c = V.table(spark, sf_dir, "conversations").where("turn = 0 AND role = 'user'").select(F.col("conv_id").alias("query_id"), F.col("text").alias("rewrite"))
-    said = V.questions(spark, sf_dir).join(c, "query_id", "left").select("query_id", F.coalesce("rewrite", "text").alias("text"))
+    asked = V.questions(spark, sf_dir) if asked is None else asked
+    said = asked.join(c, "query_id", "left").select("query_id", F.coalesce("rewrite", "text").alias("text"))
     near = dense.search(v, q, CANDIDATES).drop("rank")
-    plain, rewritten = corpus.search(V.questions(spark, sf_dir)), corpus.search(said)
+    plain, rewritten = corpus.search(asked), corpus.search(said)
     labelled = q.join(v.select(F.col("id").alias("query_id"), "label"), "query_id")
     filtered = dense.search(v, labelled, k, on="label")
     lists = {"bm25": dense.top_k(plain, k), "flat": dense.top_k(near, k), "fused": fusion.fuse_global(near, plain, k), "rewrite": dense.top_k(rewritten, k), "rewrite_fused": fusion.fuse_global(near, rewritten, k), "filtered": filtered}
@@ -203,10 +199,10 @@ def configurations(spark, sf_dir, k=K):
     return out
 
 
-def grid(spark, sf_dir):
-    """(config, k, strict, query_id, hit, first_rank): each question under each setting, also if nothing was found."""
+def grid(spark, sf_dir, asked=None):
+    """(config, k, strict, query_id, hit, first_rank): each question under each setting, also if nothing was found; anchors are the whole questions."""
     held = owners(spark, sf_dir).select("query_id", F.col("doc_id").alias("id"), F.col("start").isNotNull().alias("exact"))
-    ranks = configurations(spark, sf_dir).join(held, ["query_id", "id"]).groupBy("config", "query_id").agg(F.min(F.when(F.col("exact"), F.col("rank"))).alias("exact"), F.min("rank").alias("loose"))
+    ranks = configurations(spark, sf_dir, asked=asked).join(held, ["query_id", "id"]).groupBy("config", "query_id").agg(F.min(F.when(F.col("exact"), F.col("rank"))).alias("exact"), F.min("rank").alias("loose"))
     every = V.questions(spark, sf_dir).select("query_id").withColumn("config", F.explode(F.array(*map(F.lit, CONFIGS))))
     every = every.withColumn("k", F.explode(F.array(*(F.lit(k).cast("long") for k in (1, 5, 20))))).withColumn("strict", F.explode(F.array(F.lit(True), F.lit(False))))
     first = F.when(F.col("strict"), F.col("exact")).otherwise(F.col("loose"))
@@ -226,3 +222,28 @@ def recall_pooled_best(spark, sf_dir):
     """The best of all settings, ties by an explicit order."""
     p = grid(spark, sf_dir).groupBy("config", "k", "strict").agg(F.round(F.sum(F.col("hit").cast("int")) / F.count("*"), 6).alias("pooled"))
     return p.orderBy(F.desc("pooled"), "k", "strict", "config").limit(1)
+
+
+#: Words of a question that the second data set asks by.
+SHORT = 8
+
+
+def datasets(spark, sf_dir):
+    """grid() of two data sets: `whole` asks by a question's text, `short` by its first words; both look for the whole text."""
+    q = V.questions(spark, sf_dir)
+    short = q.select("query_id", F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, SHORT), " ").alias("text"))
+    return grid(spark, sf_dir).withColumn("dataset", F.lit("whole")).unionByName(grid(spark, sf_dir, short).withColumn("dataset", F.lit("short")))
+
+
+@query()
+def study_by_dataset(spark, sf_dir):
+    """Recall of six retrievers on two data sets."""
+    return datasets(spark, sf_dir).groupBy("dataset", "config", "k", "strict").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("recall"))
+
+
+@query()
+def study_pooled(spark, sf_dir):
+    """Hits and cases of each setting summed over the data sets, the best first in a fixed order; `best` marks the first."""
+    p = study_by_dataset(spark, sf_dir).groupBy("config", "k", "strict").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n")).withColumn("recall", F.round(F.col("hits") / F.col("n"), 6))
+    place = F.row_number().over(Window.orderBy(F.desc("recall"), "k", "strict", "config"))  # 36 settings
+    return p.withColumn("best", place == 1)

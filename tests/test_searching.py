@@ -145,3 +145,17 @@ def test_six_retrievers_are_compared(spark, small):
         share[c, k, strict] = len(hit) / 8
     best = QUERIES["recall_pooled_best"](spark, d).collect()
     assert [(b.config, b.k, b.strict) for b in best] == [min(share, key=lambda x: (-share[x], x[1], x[2], x[0]))]
+
+
+def test_data_sets_are_pooled(spark, small):
+    d, docs, asked, _ = small
+    bodies = {i: t for i, t, *_ in docs}
+    rows = {(r.dataset, r.config, r.k, r.strict): r for r in QUERIES["study_by_dataset"](spark, d).collect()}
+    study = {(r.config, r.k, r.strict): r.hits for r in QUERIES["recall_study"](spark, d).collect()}
+    assert {x[1:]: r.hits for x, r in rows.items() if x[0] == "whole"} == study and len(rows) == 72
+    short = bm25(bodies, {q: " ".join(t.split()[: searching.SHORT]) for q, t in asked.items()})
+    for k in (1, 5, 20):
+        assert rows["short", "bm25", k, False].hits == sum(any(squeezed(a) in squeezed(bodies[i]) for _, i in short[q][:k]) for q, a in asked.items())
+    pooled = {(r.config, r.k, r.strict): (r.hits, r.n, r.best) for r in QUERIES["study_pooled"](spark, d).collect()}
+    assert {x: v[:2] for x, v in pooled.items()} == {x: (study[x] + rows["short", *x].hits, 16) for x in study}
+    assert [x for x, v in pooled.items() if v[2]] == [min(pooled, key=lambda x: (-round(pooled[x][0] / 16, 6), x[1], x[2], x[0]))]
