@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,9 +39,51 @@ def word_hashes(own: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_word_hash.__getitem__, own), dtype=np.uint64, count=len(own))
 
 
-def shingle_hashes(own: list[bytes], size: int) -> np.ndarray:
-    """A 64-bit hash for each run of `size` words; of all words if there are fewer; none without words."""
-    h = word_hashes(own)
+#: A random number for each byte, an odd factor and its inverse, by which words are hashed as polynomials modulo 2^64.
+_BYTE = np.random.default_rng(20240517).integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
+_FACTOR = 0xD1342543DE82EF95
+_WHITE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_WHITE_BYTE = re.compile(rb"[ \t\n\x0b\x0c\r]")
+#: Bytes of a text that are hashed at once, and a word more.
+HASHED = 1 << 20
+
+
+@lru_cache(maxsize=8)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the factor and of its inverse."""
+    out = []
+    for base in (_FACTOR, pow(_FACTOR, -1, 1 << 64)):
+        row = np.full(n, base, dtype=np.uint64)
+        row[0] = 1
+        out.append(np.cumprod(row))
+    return tuple(out)
+
+
+def text_hashes(text: str | None, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word of a text (None: none), with A-Z as a-z if `lower`; words() parts it at the same characters.
+
+    Sums of the bytes' numbers times powers give all words of a part at once: a word's sum, moved to power 0.
+    """
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    raw = raw.lower() if lower else raw
+    out, at = [np.zeros(0, dtype=np.uint64)], 0
+    while at < len(raw):
+        end = _WHITE_BYTE.search(raw, at + HASHED)
+        part = np.frombuffer(raw, dtype=np.uint8, count=(end.start() if end else len(raw)) - at, offset=at)
+        at += len(part)
+        solid = np.zeros(len(part) + 2, dtype=np.int8)
+        solid[1:-1] = ~_WHITE[part]
+        edges = np.flatnonzero(np.diff(solid))
+        start, stop = edges[::2], edges[1::2]
+        power, inverse = _powers(1 << max(12, (len(part)).bit_length()))
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[part] * power[: len(part)], out=sums[1:])
+        out.append(mix((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64)))
+    return np.concatenate(out)
+
+
+def shingle_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash for each run of `size` words, given by their hashes; of all words if there are fewer; none without words."""
     n = len(h)
     size = min(size, n)
     if not n:
@@ -105,7 +148,7 @@ def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                own = np.unique(shingle_hashes([w.lower() for w in words(text)], shingle_words))
+                own = np.unique(shingle_hashes(text_hashes(text, lower=True), shingle_words))
                 if len(own):
                     twice = mix(own + np.uint64(0x2545F4914F6CDD1D))
                     slots = signature(own)
