@@ -105,6 +105,56 @@ def test_fertility_base_equals_brute_force(crowded, rows, empty):
     assert fertility.judge(empty, PIECES, RANKS, P.PATTERN).count() == 0
 
 
+def verdicts(rows):
+    """Measures, bands and verdicts of op1 from the two libraries and the module's constants, with exact medians."""
+    import base64
+
+    import sentencepiece
+    import tiktoken
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    with open(RANKS, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    coder = tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    out = []
+    for i, t, lang, *_ in rows:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]
+        plain, n = " ".join(words), len(words)
+        ids = pieces.encode(plain) if words else []
+        share = [c / len(ids) for c in Counter(ids).values()]
+        m = {"i": i, "n": n, "script": fertility.script(t or ""), "lang": lang, "chars": sum(map(len, words)) / max(1, len(coder.encode_ordinary(plain))) if words else None, "bytes": sum(map(pieces.is_byte, ids)) / len(ids) if ids else 0.0, "entropy": -sum(x * math.log2(x) for x in share), "pieces": len(ids)}
+        out.append(m | {"shaky": math.sqrt(max(1.0, fertility.STEADY / max(n, 1)))})
+    middle = lambda values: sorted(values)[(len(values) - 1) // 2]
+    for m in out:
+        if m["chars"] is None:
+            m["failed"] = True
+            continue
+        low, high, most_bytes = fertility.BANDS[m["script"]]
+        median, deviation = (low + high) / 2, (high - low) / (2 * fertility.DEVIATIONS)
+        for key in ("script", "lang"):
+            own = [x for x in out if x["chars"] is not None and x[key] == m[key]]
+            mid = middle([x["chars"] for x in own])
+            far = middle([abs(x["chars"] - mid) / x["shaky"] for x in own])
+            median, deviation = ((len(own) * a + fertility.PRIOR_TEXTS * b) / (len(own) + fertility.PRIOR_TEXTS) for a, b in ((mid, median), (far, deviation)))
+        width = max(fertility.DEVIATIONS * deviation, fertility.LEAST_SHARE * median) * m["shaky"]
+        least = fertility.LEAST_ENTROPY * min(1.0, math.log2(max(m["pieces"], 1)) / math.log2(fertility.STEADY))
+        m["failed"] = m["chars"] < low or m["chars"] > high or m["bytes"] > most_bytes or m["entropy"] < least or abs(m["chars"] - median) > width
+    return out
+
+
+def test_fertility_verdicts_equal_brute_force(crowded, rows):
+    out = {r.doc_id: r for r in fertility.judge(crowded, PIECES, RANKS, P.PATTERN).collect() if r.doc_id is not None}
+    want = {m["i"]: m for m in verdicts(rows) if m["i"] is not None}
+    for i, m in want.items():
+        r = out[i]
+        if m["chars"] is None:
+            assert (r.chars_per_token, r.byte_share, r.token_entropy) == (None, None, None)
+        else:
+            assert math.isclose(r.chars_per_token, m["chars"]) and math.isclose(r.byte_share, m["bytes"], abs_tol=1e-12) and math.isclose(r.token_entropy, m["entropy"], abs_tol=1e-9)
+        assert (r.fertility_failed, r.kept) == (m["failed"], not m["failed"] and not r.base_failed), i
+    assert {m["failed"] for m in want.values()} == {True, False}
+
+
 def test_fertility_bands(spark):
     rng = np.random.default_rng(1)
     names = "table house river window people school water garden evening market stone paper letter doctor winter island bridge summer kitchen forest".split()
