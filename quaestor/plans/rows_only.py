@@ -16,8 +16,8 @@ from .registry import query
 
 @query()
 def line_similarity(spark, sf_dir):
-    """Neighbouring messages' first lines in normal form, by matching blocks."""
-    m = V.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring_index("text", "\n", 1).alias("line"))
+    """Neighbouring messages in normal form, by matching blocks."""
+    m = V.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("line"))
     w = Window.partitionBy("conv_id").orderBy("turn")
     pairs = m.withColumn("other", F.lead("line").over(w)).where("other IS NOT NULL")
     return pairs.select("conv_id", "turn", F.round(udfs.similarity(T.folded(F.col("line")), T.folded(F.col("other"))), 9).alias("similarity"))
@@ -53,3 +53,9 @@ def best_literal_line(spark, sf_dir):
 def file_hashes(spark, sf_dir):
     """Digests of all tables' files."""
     return tables.file_hashes(spark, f"{sf_dir}/*.parquet")
+
+
+@query()
+def accent_fold_full(spark, sf_dir):
+    """Texts case-folded, without any accents by compatibility decomposition, by their digests."""
+    return V.table(spark, sf_dir, "documents").select("doc_id", F.md5(udfs.without_accents("text")).alias("digest"))
