@@ -298,11 +298,11 @@ def zoned_times(spark, sf_dir):
 
 
 # Numbers in prose, with either separator and words of size.
-_SAID = "text || ' Ingresos de ' || item_id || ',' || (item_id % 10) || ' millones en FY2024 y 1.234,5 miles; also 2.5 Billion, 1,000.25, 0,125 or 10 200, -3, 12mn, 1.2.3 and ' || item_id || '.' || item_id || '.'"
+_PROSE = "text || ' Ingresos de ' || item_id || ',' || (item_id % 10) || ' millones en FY2024 y 1.234,5 miles; also 2.5 Billion, 1,000.25, 0,125 or 10 200, -3, 12mn, 1.2.3 and ' || item_id || '.' || item_id || '.'"
 _CLEAN = "regexp_replace(list_extract(raws, i), '[.,]+$', '')"
 
 
-@query(f"""WITH s AS (SELECT item_id AS query_id, {_SAID} AS said FROM benchmark), m AS (SELECT query_id, regexp_extract_all(said, '(?i)([0-9][0-9.,]*)\\s*(billion|billones|mil millones|million|millones|millón|thousand|miles)?', 1) AS raws, regexp_extract_all(said, '(?i)([0-9][0-9.,]*)\\s*(billion|billones|mil millones|million|millones|millón|thousand|miles)?', 2) AS sizes FROM s),
+@query(f"""WITH s AS (SELECT item_id AS query_id, {_PROSE} AS said FROM benchmark), m AS (SELECT query_id, regexp_extract_all(said, '(?i)([0-9][0-9.,]*)\\s*(billion|billones|mil millones|million|millones|millón|thousand|miles)?', 1) AS raws, regexp_extract_all(said, '(?i)([0-9][0-9.,]*)\\s*(billion|billones|mil millones|million|millones|millón|thousand|miles)?', 2) AS sizes FROM s),
 e AS (SELECT query_id, i, lower(list_extract(sizes, i)) AS size, {_CLEAN} AS n FROM (SELECT *, unnest(range(1, len(raws) + 1)) AS i FROM m)),
 v AS (SELECT query_id, i, size, TRY_CAST(CASE WHEN contains(n, ',') AND contains(n, '.') THEN CASE WHEN instr(reverse(n), ',') < instr(reverse(n), '.') THEN replace(replace(n, '.', ''), ',', '.') ELSE replace(n, ',', '') END
  WHEN contains(n, ',') THEN CASE WHEN instr(reverse(n), ',') <> 4 THEN replace(left(n, length(n) - instr(reverse(n), ',')), ',', '') || '.' || right(n, instr(reverse(n), ',') - 1) ELSE replace(n, ',', '') END WHEN contains(n, '.') AND instr(reverse(n), '.') = 4 THEN replace(n, '.', '') ELSE n END AS DOUBLE) AS value FROM e)
