@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Bytes of a text that become terms at once, and terms that a task counts before it passes them on.
 PART, HELD = 1 << 20, 500_000
+#: Rows of a batch that a task passes on.
+ROWS = 20_000
 #: Documents of a language that a term must stand in to be kept.
 LEAST_DOCS = 10
 #: Terms that a group reports.
@@ -46,22 +49,26 @@ def terms(text: bytes) -> Iterator[list[bytes]]:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, count, docs): occurrences of each term in each group and documents of the group that have it.
+    """(lang, term, docs, n, sources, counts): how often each term stands in each source, in parts that are to be summed.
 
-    Tasks count in tables of at most about HELD terms, so that little is shuffled; the shuffle's key has the term, so that no
-    source or language is in one place.
+    docs are the documents that have it and n is the sum of counts. Tasks count in tables of at most about HELD terms and
+    pass a term's sources on together, so that little is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
-        def flush() -> pa.RecordBatch:
-            groups = [(*group, *both) for group, both in held.items()]
-            repeated = lambda i: pa.array([g[i] for g in groups for _ in g[2]], pa.string())
-            name = pa.array([t for g in groups for t in g[2]], pa.binary()).cast(pa.string())
-            out = [repeated(0), repeated(1), name, pa.array([n for g in groups for n in g[2].values()], pa.int64()), pa.array([g[3][t] for g in groups for t in g[2]], pa.int64())]
+        def flush() -> Iterator[pa.RecordBatch]:
+            parts = []
+            for (lang, source), (every, once) in held.items():
+                repeated = lambda x: pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(every), dtype=np.int32)), pa.array([x], pa.string())).cast(pa.string())  # noqa: B023, E731
+                name = pa.array(list(every), pa.binary()).cast(pa.string())
+                found = pa.array(map(once.__getitem__, every), pa.int64(), size=len(every))
+                parts.append(pa.table([repeated(lang), name, repeated(source), pa.array(every.values(), pa.int64(), size=len(every)), found], names=["lang", "term", "source", "count", "docs"]))
             held.clear()
-            return pa.RecordBatch.from_arrays(out, names=["lang", "source", "term", "count", "docs"])
+            by_term = pa.concat_tables(parts).group_by(["lang", "term"], use_threads=False).aggregate([("docs", "sum"), ("count", "sum"), ("source", "list"), ("count", "list")])
+            by_term = by_term.select(["lang", "term", "docs_sum", "count_sum", "source_list", "count_list"]).rename_columns(["lang", "term", "docs", "n", "sources", "counts"])
+            yield from by_term.to_batches(max_chunksize=ROWS)
 
         size = 0
         for batch in batches:
@@ -74,14 +81,13 @@ def counts(docs: DataFrame) -> DataFrame:
                 once.update(seen)
                 size += len(every) - before
                 if size >= HELD:
-                    yield flush()
+                    yield from flush()
                     size = 0
-        if held:
-            yield flush()
+        if size:
+            yield from flush()
 
-    found = docs.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(run, "lang string, source string, term string, count long, docs long")
-    # dealt by language and term once: sums by source, and those over a term's sources, then need no other shuffle
-    return found.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    found = docs.select("lang", "source", F.col("text").cast("binary").alias("text"))
+    return found.mapInArrow(run, "lang string, term string, docs long, n long, sources array<string>, counts array<long>")
 
 
 def joint_counts(kept: DataFrame, groups: DataFrame) -> DataFrame:
@@ -127,9 +133,12 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
     rows is summed before each shuffle.
     """
     d = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    of_term = Window.partitionBy("lang", "term")  # a row for each source that has it
-    found = counts(d).withColumn("all_docs", F.sum("docs").over(of_term)).withColumn("all", F.sum("count").over(of_term)).withColumn("one", F.min("source").over(of_term) == F.col("source"))
-    kept = store(found.where(F.col("all_docs") >= least_docs).select("lang", "source", "term", "count", "all", "one"), "kept")
+    # dealt by language and term once: what is summed by term, and then by its sources, needs no other shuffle
+    of_term = Window.partitionBy("lang", "term")
+    found = counts(d).repartition("lang", "term").withColumn("all_docs", F.sum("docs").over(of_term)).withColumn("all", F.sum("n").over(of_term)).withColumn("least", F.min(F.array_min("sources")).over(of_term))
+    found = found.where(F.col("all_docs") >= least_docs).select("lang", "term", "all", "least", F.explode(F.arrays_zip("sources", "counts")).alias("s"))
+    found = found.groupBy("lang", F.col("s.sources").alias("source"), "term", "all", "least").agg(F.sum("s.counts").alias("count"))
+    kept = store(found.select("lang", "source", "term", "count", "all", (F.col("source") == F.col("least")).alias("one")), "kept")
     whole = kept.groupBy("lang").agg(F.count_if("one").alias("v"), F.sum("count").alias("lang_n"))
     own = kept.groupBy("lang", "source").agg(F.sum("count").alias("n"))
     groups = d.select("lang", "source").distinct().join(whole, "lang", "left").join(own, ["lang", "source"], "left")
