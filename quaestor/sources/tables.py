@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from urllib.parse import quote
 
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,10 +61,34 @@ def write_results(df: DataFrame, path: str) -> None:
     out.withColumn("coste_usd", F.coalesce("coste_usd", F.lit(0.0))).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+#: Files of more bytes are read in blocks of BLOCK, others by Spark's own reader, whole.
+WHOLE, BLOCK = 256 << 20, 1 << 20
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(name, bytes, sha256) of each file under a path; a file is read by one task, whole."""
+    """(name, bytes, sha256) of each file under a path; a file is one task's, as its digest goes from its first byte to its last.
+
+    A file of more than WHOLE bytes is read in blocks, through the file systems that Arrow knows, and never held whole. Files
+    without bytes have no row, as Spark deals none of them to a task.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    small = files.where(F.col("length") <= WHOLE).select(name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            digests = []
+            for place in batch["path"]:
+                system, inside = pafs.FileSystem.from_uri(quote(place, safe=":/@"))
+                digest = hashlib.sha256()
+                with system.open_input_stream(inside, compression=None) as stream:
+                    while block := stream.read(BLOCK):
+                        digest.update(block)
+                digests.append(digest.hexdigest())
+            yield pd.DataFrame({"name": batch["name"], "bytes": batch["bytes"], "sha256": digests})
+
+    large = files.where(F.col("length") > WHOLE).select("path", name, F.col("length").alias("bytes"))
+    return small.unionAll(large.mapInPandas(run, "name string, bytes long, sha256 string"))
 
 
 def write_audit(df: DataFrame, path: str) -> int:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaestor.operators import chunking, positions, quantiles
-from quaestor.sources import versions
+from quaestor.sources import tables, versions
 
 
 @pytest.mark.parametrize("sizes", [(512, 5000), (3, 1), (2, 4)])
@@ -138,3 +138,14 @@ def test_caches_keep_what_came_first(spark, tmp_path):
     again = {r.query_id: r.text for r in versions.cached_rewrites(q("two", "three"), at, rewriter).collect()}
     assert first == {0: "ONE", 1: "TWO", 2: "bad", 3: "ONE", 4: None} and again == {0: "TWO", 1: "THREE"}
     assert asked == [["bad", "one", "one", "two"], ["three"]]
+
+
+@pytest.mark.parametrize("whole", [0, 100, 1 << 20])
+def test_digests_of_files_read_whole_or_in_blocks(spark, tmp_path, monkeypatch, whole):
+    monkeypatch.setattr(tables, "WHOLE", whole)
+    files = {"a.bin": b"", "b.gz": b"not packed" * 3, "sub/c é.txt": bytes(range(256)) * 900, "d": b"x" * 100}
+    for name, content in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    out = {r.name: (r.bytes, r.sha256) for r in tables.file_hashes(spark, str(tmp_path)).collect()}
+    assert out == {name.split("/")[-1]: (len(c), hashlib.sha256(c).hexdigest()) for name, c in files.items() if c}
