@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from quaestor.operators import dense, evidence, golden, manifest, tools, traces
+from quaestor.operators import chunking, dense, evidence, golden, manifest, tools, traces
 
 SECTIONS = [("AB", 2024, "1A", "The anchor stands here."), ("AB", 2024, "7", "one"), ("AB", 2024, "7", "two"), ("CD", 2023, "8", "x")]
 FACTS = [("AB", 2024, "Revenue", 5.0, "USD")]
@@ -109,3 +109,13 @@ def test_a_variant_keeps_to_its_folder():
     for wrong in ({"chunks": {"path": "/x"}}, {"chunks": {"path": "../x"}}, {"chunks": {"path": "a/../../x"}}, {"chunks": {"path": "s3://x/y"}}, {"chunks": {"path": "."}}, {"chunks": {"path": "x"}, "vectors": {"path": "./x"}}, {"chunks": {"path": "x"}, "vectors": {"path": "x/y"}}):
         with pytest.raises(ValueError):
             manifest.check_paths(wrong)
+
+
+def test_a_variant_can_be_moved(spark, tmp_path):
+    """Its manifest's paths are relative to its folder."""
+    s = spark.createDataFrame([(1, "AB", 2024, "1A", "some words that are cut here")], "doc_id long, ticker string, fiscal_year int, item string, texto string")
+    manifest.build_variant(s, str(tmp_path / "a"), lambda x: chunking.character_windows(x, 10, 8))
+    (tmp_path / "a").rename(tmp_path / "elsewhere")
+    assert manifest.open_variant(spark, str(tmp_path / "elsewhere"))["chunks"].count() == 4
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        manifest.open_variant(spark, str(tmp_path / "a"))
