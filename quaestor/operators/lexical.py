@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from quaestor.functions import text as T
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Groups of terms of an index; a search reads the postings of those that its terms are in.
 BUCKETS = 64
+#: The bucket of the documents' own rows.
+DOCUMENTS = -1
 #: Postings that a task holds before it passes them on.
 HELD = 200_000
 
@@ -56,7 +59,10 @@ def bm25(corpus: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def counted(corpus: DataFrame) -> DataFrame:
-    """(id, dl, term, tf, df): a row for each different token of each document, counted inside its row; no shuffle. df is 1."""
+    """(id, dl, term, tf): a row for each different token of each document, counted inside its row, and one without a term for the document.
+
+    dl is the document's number of tokens. Nothing is shuffled.
+    """
     kind = dict(corpus.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,73 +77,92 @@ def counted(corpus: DataFrame) -> DataFrame:
         for batch in batches:
             own = batch.column("id").type
             for id_, tokens in zip(batch.column("id").to_pylist(), batch.column("tokens"), strict=True):
-                tokens = tokens.as_py()
+                tokens = tokens.as_py() or []
                 found = Counter(tokens)
-                ids += [id_] * len(found)
-                dls += [len(tokens)] * len(found)
-                terms += found.keys()
-                tfs += found.values()
+                ids += [id_] * (len(found) + 1)
+                dls += [len(tokens)] * (len(found) + 1)
+                terms += [None, *found.keys()]
+                tfs += [0, *found.values()]
                 if len(ids) >= HELD:
                     yield flush()
             if ids:
                 yield flush()
 
-    tokens = corpus.select("id", T.tokens(F.col("text")).alias("tokens")).where("size(tokens) > 0")
-    return tokens.mapInArrow(run, f"id {kind}, dl int, term string, tf long")
+    return corpus.select("id", T.tokens(F.col("text")).alias("tokens")).mapInArrow(run, f"id {kind}, dl int, term string, tf long")
 
 
-def _bucket(term: str = "term") -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def _bucket(buckets: int, term: str = "term") -> Column:
+    """A term's bucket; DOCUMENTS where there is none."""
+    return F.when(F.col(term).isNull(), DOCUMENTS).otherwise(F.pmod(F.xxhash64(term), F.lit(buckets))).cast("int")
 
 
 @dataclass
 class Index:
     """A stored inverted index of (id, text): postings by bucket of their term, document counts of terms, lengths of documents.
 
-    A folder has `postings` (id, dl, term, tf), sorted by term in files of one bucket or part of a hot one, `terms` (term,
-    df), `documents` (id, dl), all by batch, and `batches` (batch, n, length), a row for each batch that is whole: it is
-    written last, and what a writer that died left is never read. Ids are unique over all batches; null texts have no tokens.
+    A folder has `postings` (id, dl, term, tf), sorted by term in files of one bucket or part of a hot one, with the documents' own
+    rows in a bucket of theirs, `terms` (term, df), both by batch, and `batches` (batch, n, length, buckets), a row for each batch
+    that is whole: it is written last, and what a writer that died left is never read. Ids are unique over all batches; null texts
+    have no tokens. A search's cost in files follows the number of buckets, what it reads of them the terms that it asks for.
     """
 
     spark: SparkSession
     path: str
+    buckets: int = BUCKETS
+    id_type: str = "string"
 
     def append(self, corpus: DataFrame) -> Index:
-        """Adds a batch of documents; the counts of earlier ones stay as they are."""
+        """Adds a batch of documents, if it has any; the counts of earlier ones stay as they are. Texts are read once."""
         batch = uuid.uuid4().hex
-        postings = counted(corpus).withColumn("bucket", _bucket())
+        self.id_type = dict(corpus.dtypes)["id"]
+        postings = counted(corpus).withColumn("bucket", _bucket(self.buckets))
         postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/postings/batch={batch}")
-        kept = self.spark.read.schema("term string, bucket int").parquet(f"{self.path}/postings/batch={batch}")
-        kept.groupBy("bucket", "term").agg(F.count("*").alias("df")).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/terms/batch={batch}")
-        corpus.select("id", F.coalesce(F.size(T.tokens(F.col("text"))), F.lit(0)).alias("dl")).withColumn("dl", F.greatest("dl", F.lit(0))).write.parquet(f"{self.path}/documents/batch={batch}")
-        sizes = self.spark.read.parquet(f"{self.path}/documents/batch={batch}").agg(F.lit(batch).alias("batch"), F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length"))
-        sizes.coalesce(1).write.mode("append").parquet(f"{self.path}/batches")
+        kept = self._read("postings", [batch])
+        kept.where("bucket >= 0").groupBy("bucket", "term").agg(F.count("*").alias("df")).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/terms/batch={batch}")
+        n, length = kept.where(F.col("bucket") == DOCUMENTS).agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        if n:
+            self.spark.createDataFrame([(batch, n, length, self.buckets)], "batch string, n long, length long, buckets int").coalesce(1).write.mode("append").parquet(f"{self.path}/batches")
         return self
 
     def _read(self, table: str, batches: list[str]) -> DataFrame:
-        """A table's rows of whole batches; batches and buckets are folders, so that Spark reads only those it needs."""
-        return self.spark.read.option("basePath", f"{self.path}/{table}").parquet(*(f"{self.path}/{table}/batch={b}" for b in batches))
+        """A table's rows of some batches; batches and buckets are folders, so that Spark reads only those it needs."""
+        columns = {"postings": f"id {self.id_type}, dl int, term string, tf long", "terms": "term string, df long"}[table]
+        return self.spark.read.schema(f"{columns}, batch string, bucket int").option("basePath", f"{self.path}/{table}").parquet(*(f"{self.path}/{table}/batch={b}" for b in batches))
+
+    def _batches(self) -> list:
+        """The rows of whole batches, one for each append."""
+        try:
+            rows = self.spark.read.parquet(f"{self.path}/batches").collect()
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+        if any(r.buckets != self.buckets for r in rows):
+            raise ValueError(f"{self.path} has {rows[0].buckets} buckets")
+        return rows
 
     def search(self, queries: DataFrame) -> DataFrame:
         """(query_id, id, score) as bm25() gives it. Reads the postings of the buckets of the queries' terms alone."""
-        rows = self.spark.read.parquet(f"{self.path}/batches").collect()  # one for each append
-        n, length, batches = sum(r.n for r in rows), sum(r.length for r in rows), [r.batch for r in rows if r.length]
-        if not batches:
-            return queries.select("query_id").join(self._read("documents", [r.batch for r in rows]).select("id"), F.lit(False)).withColumn("score", F.lit(0.0))
-        asked = wanted(queries).withColumn("bucket", _bucket())
-        buckets = sorted(r.bucket for r in asked.select("bucket").distinct().collect())  # at most BUCKETS
+        rows = self._batches()
+        n, length, batches = sum(r.n for r in rows), sum(r.length for r in rows), [r.batch for r in rows]
+        if not length:
+            return queries.select("query_id").where("false").select("query_id", F.lit(None).cast(self.id_type).alias("id"), F.lit(0.0).alias("score"))
+        asked = wanted(queries).withColumn("bucket", _bucket(self.buckets))
+        buckets = sorted(r.bucket for r in asked.select("bucket").distinct().collect())  # at most self.buckets
         df = self._read("terms", batches).groupBy("bucket", "term").agg(F.sum("df").alias("df"))
-        idf = inverse_frequencies(df, F.lit(n), F.lit(length / max(n, 1)))
+        idf = inverse_frequencies(df, F.lit(n), F.lit(length / n))
         postings = self._read("postings", batches).where(F.col("bucket").isin(buckets))
         return weighted(postings.join(asked.join(idf, "term"), ["bucket", "term"]))
 
     def search_all(self, queries: DataFrame) -> DataFrame:
         """The same with a score of 0 for each document that shares no token with the query: a row for each of both."""
-        batches = [r.batch for r in self.spark.read.parquet(f"{self.path}/batches").collect()]
-        every = queries.select("query_id").join(self._read("documents", batches).select("id"))
-        return every.join(self.search(queries), ["query_id", "id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        some, batches = self.search(queries), [r.batch for r in self._batches()]
+        if not batches:
+            return some
+        every = queries.select("query_id").join(self._read("postings", batches).where(F.col("bucket") == DOCUMENTS).select("id"))
+        return every.join(some, ["query_id", "id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def build(corpus: DataFrame, path: str) -> Index:
+def build(corpus: DataFrame, path: str, buckets: int = BUCKETS) -> Index:
     """An index of a corpus in a folder that no index is in yet."""
-    return Index(corpus.sparkSession, path).append(corpus)
+    return Index(corpus.sparkSession, path, buckets).append(corpus)

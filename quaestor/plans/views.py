@@ -87,6 +87,8 @@ bm25 AS (SELECT query_id, tf.id, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (1
 BM25 = bm25_sql("documents", "doc_id", "text")
 
 
+#: The questions of the queries share most of their words' buckets, so that few do.
+INDEX_BUCKETS = 8
 _INDEXES: dict[tuple, lexical.Index] = {}
 
 
@@ -96,7 +98,7 @@ def index(spark: SparkSession, sf_dir: str, corpus: str) -> lexical.Index:
     key = (spark.sparkContext.applicationId, corpus, sf_dir, *files)
     if key not in _INDEXES:
         rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text") if corpus == "documents" else chunks(spark, sf_dir).select(F.col("chunk_id").alias("id"), F.col("texto").alias("text"))
-        _INDEXES[key] = lexical.build(rows, f"{shared_folder(spark)}/indexes/{corpus}-{uuid.uuid4().hex}")
+        _INDEXES[key] = lexical.build(rows, f"{shared_folder(spark)}/indexes/{corpus}-{uuid.uuid4().hex}", INDEX_BUCKETS)
     return _INDEXES[key]
 
 

@@ -56,7 +56,7 @@ def test_index_reads_the_buckets_of_wanted_terms_alone(spark, corpus, tmp_path):
     index = lexical.build(spark.createDataFrame(corpus, "id long, text string"), str(tmp_path / "i"))
     q = spark.createDataFrame([(1, "rare gain")], "query_id long, text string")
     plan = index.search(q)._jdf.queryExecution().sparkPlan().toString()
-    bucket = {r.b for r in q.select(F.explode(F.split("text", " ")).alias("term")).select(lexical._bucket().alias("b")).collect()}
+    bucket = {r.b for r in q.select(F.explode(F.split("text", " ")).alias("term")).select(lexical._bucket(lexical.BUCKETS).alias("b")).collect()}
     assert len(bucket) == 2 and len(glob.glob(f"{tmp_path}/i/postings/batch=*/bucket=*")) > 10
     read = [line for line in plan.splitlines() if "PartitionFilters" in line and "tf#" in line]
     assert read and all(str(b) in read[-1] for b in bucket)
@@ -64,7 +64,7 @@ def test_index_reads_the_buckets_of_wanted_terms_alone(spark, corpus, tmp_path):
 
 def test_index_ignores_batches_that_were_not_finished(spark, corpus, tmp_path):
     index = lexical.build(spark.createDataFrame(corpus[:50], "id long, text string"), str(tmp_path / "i"))
-    spark.createDataFrame([(999, 1, "cost", 1)], "id long, dl int, term string, tf long").withColumn("bucket", lexical._bucket()).write.partitionBy("bucket").parquet(f"{tmp_path}/i/postings/batch=dead")
+    spark.createDataFrame([(999, 1, "cost", 1)], "id long, dl int, term string, tf long").withColumn("bucket", lexical._bucket(lexical.BUCKETS)).write.partitionBy("bucket").parquet(f"{tmp_path}/i/postings/batch=dead")
     q = spark.createDataFrame([(1, "cost")], "query_id long, text string")
     assert 999 not in {r.id for r in index.search(q).collect()}
 
@@ -73,6 +73,8 @@ def test_index_without_tokens(spark, tmp_path):
     q = spark.createDataFrame([(1, "cost")], "query_id long, text string")
     index = lexical.build(spark.createDataFrame([(1, None), (2, "")], "id long, text string"), str(tmp_path / "i"))
     assert index.search(q).count() == 0 and [r.score for r in index.search_all(q).collect()] == [0.0, 0.0]
+    with pytest.raises(ValueError, match="64 buckets"):
+        lexical.Index(spark, str(tmp_path / "i"), 8).search(q)
     nothing = lexical.build(spark.createDataFrame([], "id long, text string"), str(tmp_path / "j"))
     assert nothing.search(q).count() == 0 and nothing.search_all(q).count() == 0
 
