@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import store, words
+from .minhash import shingle_hashes, text_hashes
 
 SYMBOLS = "#*$%&|<>"
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -81,7 +82,7 @@ class Meter:
         text = text or ""
         own = words(text)
         chars = len(text) - sum(map(text.count, WHITE))
-        base = len(own), chars, sum(map(text.count, SYMBOLS)), _repeated_lines(text), _repeated_words(own), script(text)
+        base = len(own), chars, sum(map(text.count, SYMBOLS)), _repeated_lines(text), _repeated_words(own) if _may_repeat(text) else 0, script(text)
         if not own:
             return (*base, None, None, None, 0)
         plain = b" ".join(own).decode("utf-8", "replace")
@@ -98,6 +99,13 @@ def _repeated_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
+def _may_repeat(text: str, size: int = 5) -> bool:
+    """Whether two windows of 5 words have one hash: if not, none is found twice."""
+    hashes = shingle_hashes(text_hashes(text), size)
+    hashes.sort()
+    return bool((hashes[1:] == hashes[:-1]).any())
+
+
 def _repeated_words(own: list[bytes], size: int = 5) -> int:
     """Words that lie in a window of 5 words found twice or more in the text."""
     n = len(own)
