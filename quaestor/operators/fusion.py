@@ -34,7 +34,12 @@ def fuse_global(dense: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
 
     dense: (query_id, id, score) of the candidates. lexical: (query_id, id, score) of documents that score above none.
     """
-    both = ranked(dense, "dense_rank").join(global_ranks(dense, lexical, "lexical_rank"), ["query_id", "id"], "left")
+    return fuse_ranks(dense, global_ranks(dense, lexical, "lexical_rank"), k)
+
+
+def fuse_ranks(dense: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
+    """The same by lexical ranks that are known: (query_id, id, lexical_rank) of those of the candidates that have one."""
+    both = ranked(dense, "dense_rank").join(lexical, ["query_id", "id"], "left")
     both = both.withColumn("lexical_rank", F.coalesce("lexical_rank", F.lit(ABSENT)))
     return _best(both, k)
 

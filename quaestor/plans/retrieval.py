@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quaestor.functions import numeric as N
 from quaestor.functions import text as T
 from quaestor.operators import containment, dense, fusion, lexical
+from quaestor.sources.tables import stored
 
 from . import views as V
 from .registry import query
@@ -17,11 +18,20 @@ CANDIDATES = 50
 
 
 def _dense(spark, sf_dir, k=CANDIDATES):
-    return dense.search(V.vectors(spark, sf_dir), V.question_vectors(spark, sf_dir), k).drop("rank")
+    """Candidates of each question, a bounded number, stored as more than one step reads them."""
+    return stored(dense.search(V.vectors(spark, sf_dir), V.question_vectors(spark, sf_dir), k).drop("rank"), "near")
 
 
-def _bm25(spark, sf_dir):
-    return V.index(spark, sf_dir, "documents").search(V.questions(spark, sf_dir))
+def _bm25(spark, sf_dir, allowed=None):
+    return V.index(spark, sf_dir, "documents").search(V.questions(spark, sf_dir), allowed)
+
+
+def _best(spark, sf_dir, k):
+    return V.index(spark, sf_dir, "documents").best(V.questions(spark, sf_dir), k)
+
+
+def _ranks(spark, sf_dir, near):
+    return V.index(spark, sf_dir, "documents").ranks(V.questions(spark, sf_dir), near, "lexical_rank")
 
 
 @query(f"""WITH {V.BM25} SELECT query_id, id, score FROM bm25""")
@@ -46,7 +56,7 @@ def bm25_unindexed(spark, sf_dir):
 @query(f"""WITH {V.BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm25) SELECT query_id, id, score, rank FROM r WHERE rank <= 5""")
 def bm25_topk(spark, sf_dir):
     """E02, F02."""
-    return dense.top_k(_bm25(spark, sf_dir), K).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+    return _best(spark, sf_dir, K).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH {V.DENSE}, r AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM dense) SELECT * FROM r WHERE rank <= 5""")
@@ -85,7 +95,8 @@ l AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank) AS rank FROM f) SELECT * FROM r WHERE rank <= 5""")
 def rrf_global(spark, sf_dir):
     """Dense rank and rank among all documents."""
-    out = fusion.fuse_global(_dense(spark, sf_dir), _bm25(spark, sf_dir), K)
+    near = _dense(spark, sf_dir)
+    out = fusion.fuse_ranks(near, _ranks(spark, sf_dir, near), K)
     return out.select("query_id", "id", *(F.col(c).cast("long").alias(c) for c in ("dense_rank", "lexical_rank", "rank")), "score")
 
 
@@ -93,7 +104,8 @@ def rrf_global(spark, sf_dir):
 f AS (SELECT *, round(1.0::DOUBLE / (60 + dense_rank) + 1.0::DOUBLE / (60 + lexical_rank), 9) AS score FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank) AS rank FROM f) SELECT * FROM r WHERE rank <= 5""")
 def rrf_candidates(spark, sf_dir):
     """Dense rank and rank among the candidates."""
-    out = fusion.fuse_candidates(_dense(spark, sf_dir), _bm25(spark, sf_dir), K)
+    near = _dense(spark, sf_dir)
+    out = fusion.fuse_candidates(near, V.index(spark, sf_dir, "documents").scores_of(V.questions(spark, sf_dir), near), K)
     return out.select("query_id", "id", *(F.col(c).cast("long").alias(c) for c in ("dense_rank", "lexical_rank", "rank")), "score")
 
 
@@ -102,7 +114,7 @@ s AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score, min(l
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, id) AS rank FROM s) SELECT query_id, id, score, rank FROM k WHERE rank <= 5""")
 def rrf_modes(spark, sf_dir):
     """A sum over the lists that have a document."""
-    best = dense.top_k(_bm25(spark, sf_dir), CANDIDATES).drop("rank")
+    best = _best(spark, sf_dir, CANDIDATES).drop("rank")
     return fusion.fuse_lists({"dense": _dense(spark, sf_dir), "bm25": best}, K).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -110,7 +122,7 @@ def rrf_modes(spark, sf_dir):
 def rank_merge(spark, sf_dir):
     """The two ranks side by side."""
     near = _dense(spark, sf_dir)
-    j = fusion.ranked(near, "dense_rank").join(fusion.global_ranks(near, _bm25(spark, sf_dir), "lexical_rank"), ["query_id", "id"], "left")
+    j = fusion.ranked(near, "dense_rank").join(_ranks(spark, sf_dir, near), ["query_id", "id"], "left")
     return j.select("query_id", "id", F.col("dense_rank").cast("long").alias("dense_rank"), F.coalesce("lexical_rank", F.lit(fusion.ABSENT)).cast("long").alias("lexical_rank"), F.round(N.reciprocal_rank(F.col("dense_rank")), 9).alias("dense_term"))
 
 
@@ -118,7 +130,7 @@ def rank_merge(spark, sf_dir):
 def allowed_semi(spark, sf_dir):
     """Candidates in the allowed set."""
     allowed = V.sections(spark, sf_dir).where("item = '1A' AND fiscal_year = 2024").select(F.col("doc_id").alias("id"))
-    return _bm25(spark, sf_dir).join(allowed, "id", "left_semi").select("query_id", "id", "score")
+    return _bm25(spark, sf_dir, allowed).select("query_id", "id", "score")
 
 
 @query("""SELECT b.item_id AS query_id, coalesce(c.text, b.text) AS query, c.text IS NOT NULL AS rewritten FROM benchmark b LEFT JOIN conversations c ON c.conv_id = b.item_id AND c.turn = 0 AND c.role = 'user'""")

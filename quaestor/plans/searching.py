@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quaestor.functions import text as T
 from quaestor.operators import containment, dense, fusion
+from quaestor.sources.tables import stored
 
 from . import views as V
 from .registry import query
@@ -27,14 +28,17 @@ _SCORE3 = "floor(score * 1000 + 0.50001) / 1000"
 
 def hits(spark, sf_dir, k=K, **wanted):
     """The k best chunks of each question, with their columns, score and rank; weights are those of all chunks, filters come before k."""
-    scored = V.index(spark, sf_dir, "chunks").search(V.questions(spark, sf_dir))
-    if wanted:
-        scored = scored.join(V.chunks(spark, sf_dir).where(dense.metadata_filter(**wanted)).select(F.col("chunk_id").alias("id")), "id", "left_semi")
-    best = dense.top_k(scored, k).withColumn("rank", F.col("rank").cast("long")).withColumnRenamed("id", "chunk_id")
-    # only documents of hits are cut again; their number stands in a chunk's id
-    best = best.withColumn("doc_id", F.regexp_extract("chunk_id", r"\.(\d+)-\d+-[^-]+-\d+$", 1).cast("long"))
-    named = V.table(spark, sf_dir, "documents").join(best.select("doc_id").distinct(), "doc_id", "left_semi")
-    return best.drop("doc_id").join(V.chunks(spark, sf_dir, named), "chunk_id")
+    q = V.questions(spark, sf_dir)
+    allowed = V.chunks(spark, sf_dir).where(dense.metadata_filter(**wanted)).select(F.col("chunk_id").alias("id")) if wanted else None
+    best = V.index(spark, sf_dir, "chunks").best(q, k, allowed).withColumn("rank", F.col("rank").cast("long")).withColumnRenamed("id", "chunk_id")
+    best = stored(best, "best")  # k rows for each question: a small table, so that no documents are shuffled to meet it
+    return stored(best.join(chunks_of(spark, sf_dir, best), "chunk_id"), "hits")
+
+
+def chunks_of(spark, sf_dir, ids):
+    """The chunks of the documents that some chunk ids (a stored table's chunk_id) name, whose number stands in the id; no other documents are cut."""
+    named = ids.select(F.regexp_extract("chunk_id", r"\.(\d+)-\d+-[^-]+-\d+$", 1).try_cast("long").alias("doc_id")).distinct()
+    return V.chunks(spark, sf_dir, V.table(spark, sf_dir, "documents").join(named, "doc_id", "left_semi"))
 
 
 @query(_HITS + """, one AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent ORDER BY rank, chunk_id) AS n FROM hits), k AS (SELECT query_id, parent, chunk_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS parent_rank FROM one WHERE n = 1) SELECT * FROM k WHERE parent_rank <= 3""")
@@ -113,7 +117,7 @@ def owners(spark, sf_dir):
 
 def owners_of(spark, sf_dir, questions):
     d = V.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
-    pairs = containment.containing(questions.where(T.lowered(F.col("text")) != ""), d, T.lowered)
+    pairs = stored(containment.containing(questions.where(T.lowered(F.col("text")) != ""), d, T.lowered), "pairs")
     at = F.expr("instr(body, text)").cast("long")
     return pairs.join(questions.select("query_id", "text"), "query_id").join(d, "doc_id").select("query_id", "doc_id", F.when(at > 0, at - 1).alias("start"), F.when(at > 0, at - 1 + F.length("text")).alias("stop"))
 
@@ -187,11 +191,11 @@ def configurations(spark, sf_dir, k=K, asked=None):
     c = V.table(spark, sf_dir, "conversations").where("turn = 0 AND role = 'user'").select(F.col("conv_id").alias("query_id"), F.col("text").alias("rewrite"))
     asked = V.questions(spark, sf_dir) if asked is None else asked
     said = asked.join(c, "query_id", "left").select("query_id", F.coalesce("rewrite", "text").alias("text"))
-    near = dense.search(v, q, CANDIDATES).drop("rank")
-    plain, rewritten = corpus.search(asked), corpus.search(said)
+    near = stored(dense.search(v, q, CANDIDATES).drop("rank"), "near")
+    fused = lambda texts: fusion.fuse_ranks(near, corpus.ranks(texts, near, "lexical_rank"), k)
     labelled = q.join(v.select(F.col("id").alias("query_id"), "label"), "query_id")
     filtered = dense.search(v, labelled, k, on="label")
-    lists = {"bm25": dense.top_k(plain, k), "flat": dense.top_k(near, k), "fused": fusion.fuse_global(near, plain, k), "rewrite": dense.top_k(rewritten, k), "rewrite_fused": fusion.fuse_global(near, rewritten, k), "filtered": filtered}
+    lists = {"bm25": corpus.best(asked, k), "flat": dense.top_k(near, k), "fused": fused(asked), "rewrite": corpus.best(said, k), "rewrite_fused": fused(said), "filtered": filtered}
     out = None
     for name, found_ in lists.items():
         part = found_.select(F.lit(name).alias("config"), "query_id", "id", F.col("rank").cast("long").alias("rank"))
