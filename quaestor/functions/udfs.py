@@ -6,6 +6,7 @@ import json
 import re
 import unicodedata
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ def _column(kind: str):
 # Limits of a match across ellipses.
 SEGMENT, TOTAL, REACH = 4, 20, 400
 _QUOTES = str.maketrans({**dict.fromkeys("“”„«»", '"'), **dict.fromkeys("‘’‚‹›", "'"), **dict.fromkeys("–—−", "-"), "…": "..."})
+_MARKS = re.compile("[“”„«»‘’‚‹›–—−…]+")
 
 
 @_column("double")
@@ -81,24 +83,41 @@ def parsed_answer(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([answer(t) or dict.fromkeys(ANSWER_FIELDS) for t in text], columns=list(ANSWER_FIELDS)).astype({"cifra": "float64", "ejercicio": "Int32"})
 
 
-def skeleton(text: str) -> tuple[str, list[int]]:
-    """A text without white space, with plain marks, case-folded; and for each character the place it came from."""
-    chars, places = [], []
-    for i, c in enumerate(text):
-        for x in c.translate(_QUOTES).casefold():
-            if not x.isspace():
-                chars.append(x)
-                places.append(i)
-    return "".join(chars), places
+def skeleton(text: str) -> str:
+    """A text without white space, with plain marks, case-folded. Character by character, so that a part's is a part of the whole's."""
+    plain = text if text.isascii() else _MARKS.sub(lambda m: m[0].translate(_QUOTES), text)
+    return "".join(plain.casefold().split())
+
+
+def place(text: str, n: int) -> int:
+    """Where the character that gives a text's skeleton its n-th (from 0) stands; stretches are skeletonised, no list of places is made."""
+    low, step = 0, n + 16
+    while low + step < len(text) and (size := len(skeleton(text[low : low + step]))) <= n:
+        low, n = low + step, n - size
+    high = min(len(text), low + step)
+    while high - low > 1:
+        middle = (low + high) // 2
+        size = len(skeleton(text[low:middle]))
+        if size > n:
+            high = middle
+        else:
+            low, n = middle, n - size
+    return low
+
+
+@lru_cache(maxsize=64)
+def _parts(quote: str) -> tuple[str, ...]:
+    """The skeletons of a quote's parts between ellipses; none if they are too short to be looked for."""
+    parts = tuple(p for p in map(skeleton, re.split(r"…|\.{3,}|\[\s*\]", quote)) if p)
+    return () if sum(map(len, parts)) < TOTAL or any(len(p) < SEGMENT for p in parts) else parts
 
 
 def span(quote: str, text: str) -> str | None:
     """The slice of a text that a quote stands for, its parts between ellipses in order and near each other."""
-    parts = [skeleton(p)[0] for p in re.split(r"…|\.{3,}|\[\s*\]", quote)]
-    parts = [p for p in parts if p]
-    if not parts or sum(map(len, parts)) < TOTAL or any(len(p) < SEGMENT for p in parts):
+    parts = _parts(quote)
+    if not parts:
         return None
-    bones, places = skeleton(text)
+    bones = skeleton(text)
     start = bones.find(parts[0])
     while start >= 0:
         end = start + len(parts[0])
@@ -108,7 +127,7 @@ def span(quote: str, text: str) -> str | None:
                 break
             end = nxt + len(p)
         else:
-            return text[places[start] : places[end - 1] + 1]
+            return text[place(text, start) : place(text, end - 1) + 1]
         start = bones.find(parts[0], start + 1)
     return None
 
