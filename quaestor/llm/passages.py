@@ -252,9 +252,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     A run's document is the smallest doc_id that has it; so what is repeated stays in one document. Equal runs of 12
     words make stretches; those of REACH tokens or more are passages as they are. Stretches with at most GAP tokens
-    between them are a chain, which is held against the document of most of its runs: its parts of PASSAGE words or
-    more with a similarity of 0.8 or more by their shingles are passages. Passages that touch are one. first_doc_id has
-    the passage's beginning, earlier_doc_ids are all documents of its runs.
+    between them are a chain, which is held against each document of its runs: its parts of PASSAGE words or more with a
+    similarity of 0.8 or more by their shingles are passages. Passages that touch are one. first_doc_id has the passage's
+    beginning, earlier_doc_ids are all documents of its runs.
 
     Every passage of PASSAGE words or more that two documents share word for word gives a row; what they share in under
     40 words doesn't. Ends of what has no changes can be up to 5 words short, but for a text's own first and last words.
@@ -279,17 +279,17 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     beyond = F.max("high") + RUN
     plain = parts.groupBy("doc_id", "stretch").agg(F.min("low").alias("low"), beyond.alias("high"), F.min_by(F.struct("first_doc_id", "first_low"), F.struct("low", "first_doc_id")).alias("f"), F.collect_set("first_doc_id").alias("ids"))
     plain = plain.where(F.col("high") - F.col("low") >= REACH).select("doc_id", "low", "high", F.col("f.first_doc_id").alias("first_doc_id"), F.col("f.first_low").alias("first_from"), "ids")
-    # a chain and the document of most of its runs, with where it begins and ends in both
+    # a chain and each document of its runs, with where it begins and ends in both
     by_first = parts.groupBy("doc_id", "chain", "first_doc_id").agg(
-        F.sum("n").alias("n"), F.min("low").alias("low"), beyond.alias("high"), F.count("*").alias("stretches"),
+        F.min("low").alias("low"), beyond.alias("high"), F.count("*").alias("stretches"),
         (F.min_by("first_low", "low") - F.min("low")).alias("shift"), (F.max_by("first_high", "high") - F.max("high")).alias("shift_end"),
         F.min("first_low").alias("first_low"), (F.max("first_high") + RUN).alias("first_high"),
     )
-    most = F.max_by(F.struct("first_doc_id", "shift", "shift_end", "first_low", "first_high", F.col("low").alias("own_low"), F.col("high").alias("own_high")), F.struct("n", -F.col("first_doc_id"))).alias("m")
-    chains = by_first.groupBy("doc_id", "chain").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("stretches").alias("stretches"), F.count("*").alias("firsts"), F.collect_set("first_doc_id").alias("ids"), most)
+    each = F.collect_list(F.struct("first_doc_id", "shift", "shift_end", "first_low", "first_high", F.col("low").alias("own_low"), F.col("high").alias("own_high"))).alias("each")
+    chains = by_first.groupBy("doc_id", "chain").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("stretches").alias("stretches"), F.count("*").alias("firsts"), F.collect_set("first_doc_id").alias("ids"), each)
     reach = F.col("high") - F.col("low")
     chains = chains.where((reach >= REACH_CHANGED) & ((reach < REACH) | (F.col("stretches") > 1) | (F.col("firsts") > 1)))
-    chains = chains.select("doc_id", "low", "high", "ids", "m.first_doc_id", "m.shift", "m.shift_end", (F.col("m.first_low") - (F.col("m.own_low") - F.col("low"))).alias("first_low"), (F.col("m.first_high") + (F.col("high") - F.col("m.own_high"))).alias("first_high"))
+    chains = chains.withColumn("m", F.explode("each")).select("doc_id", "low", "high", "ids", "m.first_doc_id", "m.shift", "m.shift_end", (F.col("m.first_low") - (F.col("m.own_low") - F.col("low"))).alias("first_low"), (F.col("m.first_high") + (F.col("high") - F.col("m.own_high"))).alias("first_high"))
     both = plain.unionByName(_verified(chains, read))
     order = Window.partitionBy("doc_id").orderBy("low", "high", "first_doc_id")
     reached = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
