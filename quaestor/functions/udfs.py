@@ -31,10 +31,21 @@ _QUOTES = str.maketrans({**dict.fromkeys("“”„«»", '"'), **dict.fromkeys(
 _MARKS = re.compile("[“”„«»‘’‚‹›–—−…]+")
 
 
+#: From this length of the second text on, SequenceMatcher leaves frequent characters out.
+JUNK = 200
+
+
+def ratio(a: str, b: str) -> float:
+    """SequenceMatcher's ratio. Where one text holds the other, that is the longest block and all that matches: no blocks are looked for."""
+    if len(b) < JUNK and a + b and (a in b or b in a):
+        return 2.0 * min(len(a), len(b)) / (len(a) + len(b))
+    return SequenceMatcher(None, a, b).ratio()
+
+
 @_column("double")
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """The ratio of matching characters of two texts, by longest matching blocks; null if either is."""
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 @_column("string")

@@ -20,21 +20,33 @@ def numbers(text: Column) -> Column:
     return F.filter(F.array_distinct(found), lambda d: ~((F.length(d) == 4) & d.try_cast("int").between(1900, 2100)))
 
 
+def quoted(texts: DataFrame, quote: str) -> DataFrame:
+    """texts with `_quoted`, a quote's words and numbers: they are found once for all lines that it is then held against."""
+    return texts.withColumn("_quoted", F.struct(T.long_words(F.col(quote)).alias("words"), numbers(F.col(quote)).alias("numbers")))
+
+
 def scored_lines(pairs: DataFrame, quote: str, line: str) -> DataFrame:
     """pairs with `score`: (numbers, words, coverage, similarity) that quote and line share; pairs that aren't alike enough go.
 
     Enough is a common number and word, or, for a quote without numbers, WORDS common words that are COVERAGE of the shorter's
-    and a SIMILARITY of matching blocks. That is computed last, for pairs that the rest leaves.
+    and a SIMILARITY of matching blocks. That is computed last, for pairs that the rest leaves and whose lengths allow it.
     """
-    own, other = T.long_words(F.col(quote)), T.long_words(F.col(line))
-    p = pairs.withColumn("_own", F.size(own)).withColumn("_other", F.size(other)).withColumn("_words", F.size(F.array_intersect(own, other)))
-    p = p.withColumn("_said", F.size(numbers(F.col(quote)))).withColumn("_numbers", F.size(F.array_intersect(numbers(F.col(quote)), numbers(F.col(line)))))
+    p = pairs if "_quoted" in pairs.columns else quoted(pairs, quote)
+    held = F.struct(T.long_words(F.col(line)).alias("words"), numbers(F.col(line)).alias("numbers"))
+    p = p.select("*", F.explode(F.array(held)).alias("_line"))  # one row: else each condition below finds a line's words again
+    own, other = F.col("_quoted.words"), F.col("_line.words")
+    p = p.withColumn("_own", F.size(own)).withColumn("_other", F.size(other)).withColumn("_words", F.size(F.array_intersect(own, other)))
+    p = p.withColumn("_said", F.size("_quoted.numbers")).withColumn("_numbers", F.size(F.array_intersect("_quoted.numbers", "_line.numbers")))
     p = p.withColumn("_coverage", F.col("_words") / F.greatest(F.lit(1), F.least("_own", "_other")))
     figures = (F.col("_numbers") >= 1) & (F.col("_words") >= 1)
     wording = (F.col("_said") == 0) & (F.col("_words") >= WORDS) & (F.col("_coverage") >= COVERAGE)
-    p = p.where(figures | wording).withColumn("_similarity", F.round(udfs.similarity(T.folded(F.col(quote)), T.folded(F.col(line))), 9)).where(figures | (F.col("_similarity") >= SIMILARITY))
+    a, b = T.folded(F.col(quote)), T.folded(F.col(line))
+    most = 2 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))  # no more can match than the shorter has
+    p = p.where(figures | (wording & (most >= SIMILARITY - 1e-8)))
+    p = p.select("*", F.explode(F.array(F.struct(a.alias("a"), b.alias("b")))).alias("_pair"))  # else Spark has all pairs compared, below that filter
+    p = p.withColumn("_similarity", F.round(udfs.similarity(F.col("_pair.a"), F.col("_pair.b")), 9)).where(figures | (F.col("_similarity") >= SIMILARITY))
     score = F.struct(F.col("_numbers").alias("numbers"), F.col("_words").alias("words"), F.col("_coverage").alias("coverage"), F.col("_similarity").alias("similarity"))
-    return p.withColumn("score", score).drop("_own", "_other", "_words", "_said", "_numbers", "_coverage", "_similarity")
+    return p.withColumn("score", score).drop("_quoted", "_line", "_pair", "_own", "_other", "_words", "_said", "_numbers", "_coverage", "_similarity")
 
 
 def only_best(scored: DataFrame, key: str) -> DataFrame:

@@ -44,7 +44,7 @@ def quote_repair(spark, sf_dir):
 def best_literal_line(spark, sf_dir):
     """The document's line that scores best for a quote, if it is alone at the top."""
     d = V.table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 80).alias("quote"), "text")
-    best = evidence.scored_lines(evidence.lines(d, "text").drop("text"), "quote", "line")
+    best = evidence.scored_lines(evidence.lines(evidence.quoted(d, "quote"), "text").drop("text"), "quote", "line")
     top = best.withColumn("r", F.rank().over(Window.partitionBy("doc_id").orderBy(F.desc("score")))).where("r = 1").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("line").alias("line"), F.max("score").alias("score"))
     return top.select("doc_id", F.when(F.col("n") == 1, F.col("line")).alias("line"), "score.similarity")
 
