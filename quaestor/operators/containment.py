@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaestor.sources.tables import stored
+
 #: Words, or characters, of a key at most.
 WORDS, CHARACTERS = 4, 4
 
@@ -26,7 +28,7 @@ def containing(questions: DataFrame, docs: DataFrame, form: Callable[[Column], C
     q = questions.select("query_id", form(F.col("text")).alias("q")).withColumn("words", F.split(_spaced(F.col("q")), " ")).withColumn("inner", F.size("words") - 2)
     q = q.withColumn("by_words", F.col("inner") > 0).withColumn("n", F.when(F.col("by_words"), F.least("inner", F.lit(WORDS))).otherwise(F.least(F.length("q"), F.lit(CHARACTERS))))
     key = F.when(F.col("by_words"), F.xxhash64(F.slice("words", F.lit(2), F.col("n")))).otherwise(F.xxhash64(F.lit(True), F.substring(_spaced(F.col("q")), F.lit(1), F.col("n"))))
-    asked = q.where("n > 0").select("query_id", "q", "by_words", "n", key.alias("key"))
+    asked = stored(q.where("n > 0").select("query_id", "q", "by_words", "n", key.alias("key")), "asked")
     kinds = asked.select("by_words", "n").distinct().collect()  # at most WORDS + CHARACTERS
 
     d = docs.select("doc_id", form(F.col("body")).alias("body"))
@@ -46,6 +48,7 @@ def containing(questions: DataFrame, docs: DataFrame, form: Callable[[Column], C
     runs = parts[0]
     for part in parts[1:]:
         runs = runs.unionAll(part)
-    pairs = asked.join(runs, "key").select("query_id", "q", "doc_id").distinct()
+    # stored, as their size is known then: where they are few, no documents are shuffled to meet them
+    pairs = stored(asked.select("query_id", "q", "key").join(runs, "key").select("query_id", "q", "doc_id").distinct(), "candidates")
     held = pairs.join(d, "doc_id").where(F.contains("body", F.col("q"))).select("query_id", "doc_id")
     return held.unionAll(empty)

@@ -119,7 +119,7 @@ def owners_of(spark, sf_dir, questions):
     d = V.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
     pairs = stored(containment.containing(questions.where(T.lowered(F.col("text")) != ""), d, T.lowered), "pairs")
     at = F.expr("instr(body, text)").cast("long")
-    return pairs.join(questions.select("query_id", "text"), "query_id").join(d, "doc_id").select("query_id", "doc_id", F.when(at > 0, at - 1).alias("start"), F.when(at > 0, at - 1 + F.length("text")).alias("stop"))
+    return pairs.join(d, "doc_id").join(questions.select("query_id", "text"), "query_id").select("query_id", "doc_id", F.when(at > 0, at - 1).alias("start"), F.when(at > 0, at - 1 + F.length("text")).alias("stop"))
 
 
 def found(spark, sf_dir):
