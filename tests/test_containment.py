@@ -27,12 +27,14 @@ def test_containing_equals_all_pairs(spark):
     assert containment.containing(q.limit(0), d).count() == 0 and containment.containing(q, d.limit(0)).count() == 0
 
 
-def test_documents_are_not_shuffled_to_meet_few_candidates(spark):
+def test_documents_are_not_shuffled_to_meet_few_candidates(spark, tmp_path):
     """Where Spark only estimates the candidates' number it takes them for as many as the documents, and shuffles both."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
     try:
         docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c d e f "), F.col("id").cast("string"), F.repeat(F.lit(" word"), 50)).alias("body"))
+        docs.write.parquet(str(tmp_path / "docs"))
+        docs = spark.read.parquet(str(tmp_path / "docs"))
         questions = spark.createDataFrame([(1, "e f 17 word"), (2, "none of these words")], "query_id long, text string")
         found = containment.containing(questions, docs)
         plan = found._jdf.queryExecution().sparkPlan().toString()
