@@ -35,9 +35,11 @@ SECTIONS = """sections AS (SELECT doc_id, upper(source) AS ticker, 2024 + doc_id
 def chunks(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
     """Windows of CHUNK characters, every STEP of them, of each section; a document is a ticker of its own."""
     s = sections(spark, sf_dir, of).withColumn("ticker", F.concat_ws(".", "ticker", "doc_id")).withColumn("length", F.length("texto"))
-    s = s.where("length > 0").withColumn("posicion", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.col("length") - 1 - (CHUNK - STEP), F.lit(0)) / STEP).cast("int"))))
+    pieces = F.regexp_extract_all("texto", F.lit(f"(?s).{{1,{STEP}}}"), F.lit(0))  # one pass; substring counts from a text's start for each window
+    s = s.where("length > 0").withColumn("_pieces", pieces).withColumn("posicion", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.col("length") - 1 - (CHUNK - STEP), F.lit(0)) / STEP).cast("int"))))
     start = F.col("posicion") * STEP
-    s = s.withColumn("texto", F.substring("texto", start + 1, F.lit(CHUNK))).withColumn("inicio_car", start.cast("long"))
+    after = F.coalesce(F.substring(F.get("_pieces", F.col("posicion") + 1), 1, CHUNK - STEP), F.lit(""))
+    s = s.withColumn("texto", F.concat(F.get("_pieces", F.col("posicion")), after)).withColumn("inicio_car", start.cast("long"))
     s = s.withColumn("fin_car", F.col("inicio_car") + F.length("texto")).withColumn("posicion", F.col("posicion").cast("long"))
     s = s.withColumn("contiene_tabla", F.contains("texto", F.lit("|"))).withColumn("n_tokens", F.size(T.tokens(F.col("texto"))).cast("long"))
     s = s.withColumn("chunk_id", T.chunk_id(F.col("ticker"), F.col("fiscal_year"), F.col("item"), F.col("posicion")))
